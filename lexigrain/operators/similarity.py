@@ -11,7 +11,8 @@ from lexigrain.functions.arrays import cosine
 def top_similar(vectors: DataFrame, query: Column, n: int = 10, key: str = "vec_id",
                 vector: str = "embedding") -> DataFrame:
     """The ``n`` rows most similar to one query vector (a literal or scalar subquery)."""
-    scored = vectors.select(key, cosine(F.col(vector), query).alias("similarity"))
+    held = vectors.select(key, vector, query.alias("_query"))
+    scored = held.select(key, cosine(F.col(vector), F.col("_query")).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), F.asc(key)).limit(n)
 
 

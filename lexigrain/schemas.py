@@ -44,16 +44,7 @@ DUMP_PAGE = T.StructType([
     T.StructField("revision", T.StructType([
         T.StructField("id", _L),
         T.StructField("text", T.StructType([
-            T.StructField("_VALUE", _S), T.StructField("_space", _S)])),
-    ])),
-])
-
-SITE_INFO = T.StructType([
-    T.StructField("sitename", _S),
-    T.StructField("base", _S),
-    T.StructField("namespaces", T.StructType([
-        T.StructField("namespace", T.ArrayType(T.StructType([
-            T.StructField("_VALUE", _S), T.StructField("_key", _I)]))),
+            T.StructField("_VALUE", _S)])),
     ])),
 ])
 

@@ -52,7 +52,7 @@ def parse_crawl(lines: DataFrame, dataset: str = "crawl") -> DataFrame:
     return fields.select(*_columns(
         id=at(4), dataset=F.lit(dataset), cat=F.lit(""), source=at(1), url=at(4),
         published=epoch_text(at(5).try_cast("double").cast("long")),
-        content=F.array_join(F.slice("f", 8 - 1, F.size("f")), " ")))
+        content=F.array_join(F.slice("f", 7, F.size("f")), " ")))
 
 
 def read_doc_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -71,7 +71,7 @@ def read_doc_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return docs.select(
         attribute("url").alias("url"), attribute("id").alias("id"),
         attribute("title").alias("title"), distinct_links(F.col("body")).alias("links"),
-        raw_text(F.col("body")).alias("text"))
+        F.trim(raw_text(F.col("body"))).alias("text"))
 
 
 def parse_wiki_rows(lines: DataFrame) -> DataFrame:

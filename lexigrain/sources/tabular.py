@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexigrain import schemas
 
@@ -31,10 +30,10 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_error_log(spark: SparkSession, path: str) -> DataFrame:
     """Error rows; a torn row (too few or too many fields) has ``_corrupt_record`` set."""
-    schema = T.StructType([*schemas.ERROR_LOG.fields,
-                           T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.csv(path, sep="\t", schema=schema, mode="PERMISSIVE", quote="",
-                          columnNameOfCorruptRecord="_corrupt_record")
+    fields = spark.read.text(path).select("value", F.split("value", "\t", -1).alias("f"))
+    named = [F.get("f", F.lit(i)).alias(n) for i, n in enumerate(schemas.ERROR_LOG.names)]
+    torn = F.size("f") != len(schemas.ERROR_LOG.names)
+    return fields.select(*named, F.when(torn, F.col("value")).alias("_corrupt_record"))
 
 
 def read_code_dictionary(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -1,7 +1,9 @@
 """XML sources: news corpora, encyclopedia dumps, landed feed files.
 
-Plain and bz2 files split across tasks. A gz file is one task, so readers spread
-its rows afterwards.
+Records are cut at their closing tag by the text reader, which splits plain and
+bz2 files over many tasks, and each one is parsed on its own with ``from_xml``. So
+one huge file feeds the whole cluster, files glued together need no common root,
+and a malformed record spoils only itself.
 """
 
 from __future__ import annotations
@@ -16,14 +18,32 @@ from lexigrain.operators.pages import dump_pages
 CORRUPT = "_corrupt_record"
 
 
+def parse_xml_records(chunks: DataFrame, row_tag: str, schema: T.StructType) -> DataFrame:
+    """Parse chunks that end where ``</row_tag>`` stood; other columns are kept.
+
+    A malformed record has its text in ``_corrupt_record``. Chunks without an
+    opening tag (what follows the last record) are left out.
+    """
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+               "rowTag": row_tag, "ignoreSurroundingSpaces": "false"}
+    others = [c for c in chunks.columns if c != "value"]
+    body = F.regexp_extract("value", rf"(?s)(<{row_tag}[\s>].*)$", 1)
+    records = chunks.select(*others, body.alias("value")).filter(F.col("value") != "")
+    xml = F.concat("value", F.lit(f"</{row_tag}>"))
+    return records.select(*others, F.from_xml(xml, full, options).alias("_r")).select(
+        *others, "_r.*")
+
+
 def read_xml_records(spark: SparkSession, path: str | list[str], row_tag: str,
                      schema: T.StructType) -> DataFrame:
-    """Records by row tag; a malformed one keeps its text in ``_corrupt_record``."""
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.format("xml").schema(full).option("rowTag", row_tag)
-    return (reader.option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .load(path if isinstance(path, str) else ",".join(path)))
+    """Records by row tag below one or many paths; gz and bz2 by extension.
+
+    A gz file cannot be split and arrives in one task; ``session.spread`` afterwards
+    shares its records out.
+    """
+    return parse_xml_records(
+        spark.read.text(path, lineSep=f"</{row_tag}>"), row_tag, schema)
 
 
 def good_records(records: DataFrame) -> DataFrame:
@@ -41,23 +61,27 @@ def read_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     ``pos`` is the place in the files: file, block and row within the block.
     """
-    raw = (spark.read.format("xml").schema(schemas.DUMP_PAGE).option("rowTag", "page")
-           .load(path if isinstance(path, str) else ",".join(path)))
+    chunks = spark.read.text(path, lineSep="</page>")
     place = F.struct(F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("row"))
-    return dump_pages(raw.select("*", place.alias("pos")))
+    pages = parse_xml_records(chunks.select("value", place.alias("pos")), "page",
+                              schemas.DUMP_PAGE)
+    return dump_pages(good_records(pages))
 
 
 def read_site_info(spark: SparkSession, path: str) -> DataFrame:
-    """(url_base, ns_key, ns_name) of a dump's header."""
-    info = (spark.read.format("xml").schema(schemas.SITE_INFO).option("rowTag", "siteinfo")
-            .load(path))
-    return info.select(
-        F.regexp_extract("base", "^(.*)/", 1).alias("url_base"),
-        F.explode("namespaces.namespace").alias("n")).select(
-        "url_base", F.col("n._key").alias("ns_key"),
-        F.coalesce("n._VALUE", F.lit("")).alias("ns_name"))
+    """(url_base, ns_key, ns_name) of a dump's header, found line by line."""
+    lines = spark.read.text(path)
+    base = lines.filter(F.col("value").contains("<base>")).agg(F.min(
+        F.regexp_extract("value", "<base>(.*)/[^/]*</base>", 1))).scalar()
+    spaces = lines.filter(F.col("value").contains("<namespace "))
+    return spaces.select(
+        base.alias("url_base"),
+        F.regexp_extract("value", r'<namespace [^>]*\bkey="(-?\d+)"', 1).cast("int")
+        .alias("ns_key"),
+        F.regexp_extract("value", r"<namespace [^>]*[^/]>([^<]*)</namespace>", 1)
+        .alias("ns_name"))
 
 
 def entry_columns(items: DataFrame) -> DataFrame:
@@ -75,7 +99,6 @@ def publication_time(text: Column) -> Column:
 
 
 def read_feed_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Entries of landed feed files."""
-    items = (spark.read.format("xml").schema(schemas.RSS_ITEM).option("rowTag", "item")
-             .load(path if isinstance(path, str) else ",".join(path)))
-    return entry_columns(items)
+    """Entries of landed feed files; malformed items are left out."""
+    return entry_columns(good_records(
+        read_xml_records(spark, path, "item", schemas.RSS_ITEM)))

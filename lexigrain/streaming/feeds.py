@@ -10,16 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 from lexigrain import schemas
 from lexigrain.operators.feeds import epoch_seconds, run_bucket, window_statistics
 from lexigrain.operators.rows import RUN_SECONDS, recent, route_rows
-from lexigrain.sources.xml import entry_columns
+from lexigrain.sources.xml import entry_columns, good_records, parse_xml_records
 
 LATENESS = "15 minutes"
 
 
 def stream_feed_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Entries of feed files as they land."""
-    items = (spark.readStream.format("xml").schema(schemas.RSS_ITEM).option("rowTag", "item")
-             .option("maxFilesPerTrigger", max_files).load(path))
-    return entry_columns(items)
+    chunks = (spark.readStream.option("maxFilesPerTrigger", max_files)
+              .text(path, lineSep="</item>"))
+    return entry_columns(good_records(parse_xml_records(chunks, "item", schemas.RSS_ITEM)))
 
 
 def stream_parquet(spark: SparkSession, path: str, schema: T.StructType,
