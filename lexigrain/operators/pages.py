@@ -104,5 +104,5 @@ def resolve_calls(calls: DataFrame, bodies: DataFrame, redirects: DataFrame,
 def known_namespaces(titles: DataFrame, namespaces: DataFrame) -> DataFrame:
     """Titles whose prefix names a namespace of the site (left semi join)."""
     prefixed = titles.withColumn("ns_name", F.regexp_extract("title", "^([^:]+):", 1))
-    names = namespaces.select("ns_name").distinct()
+    names = namespaces.select("ns_name").filter("ns_name <> ''").distinct()
     return lookup(prefixed, names, ["ns_name"], ["title"], how="left_semi")
