@@ -24,19 +24,17 @@ def sorted_distinct(values: Column) -> Column:
 def term_counts(words: Column) -> Column:
     """``array<struct<term, tf>>`` of a word array by run length on the sorted words."""
 
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+
     def runs(s: Column) -> Column:
-        heads = F.filter(
-            F.transform(s, lambda t, i: F.struct(
-                t.alias("term"), i.alias("at"),
-                ((i == 0) | (t != F.get(s, i - 1))).alias("head"))),
-            lambda m: m["head"],
-        )
-        return let(heads, lambda h: F.transform(h, lambda m, j: F.struct(
-            m["term"].alias("term"),
-            (F.coalesce(F.get(h, j + 1)["at"], F.size(s)) - m["at"]).cast("long").alias("tf"),
-        )))
-
-    return let(F.sort_array(words), runs)
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1),
+                          lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda h: F.transform(h, lambda at, j: F.struct(
+            F.get(s, at).alias("term"),
+            (F.coalesce(F.get(h, j + 1), F.size(s)) - at).cast("long").alias("tf"))))
+
+    return let(F.sort_array(words),
+               lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
 
 
 def cosine(a: Column, b: Column) -> Column:

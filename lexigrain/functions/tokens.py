@@ -45,8 +45,13 @@ def drop_punctuation(words: Column) -> Column:
     return F.transform(words, lambda w: F.regexp_replace(w, ASCII_PUNCT, ""))
 
 
+def has_digit(word: Column) -> Column:
+    """The word holds a digit sign; the wide class is tried only on numeric characters."""
+    return word.rlike(r"\p{N}") & word.rlike(f"[{DIGIT_CHAR}]")
+
+
 def drop_tokens_with_digits(words: Column) -> Column:
-    return F.filter(words, lambda w: ~w.rlike(f"[{DIGIT_CHAR}]"))
+    return F.filter(words, lambda w: ~has_digit(w))
 
 
 def keep_lengths(words: Column, min_len: int = 3, max_len: int | None = 20) -> Column:
@@ -76,7 +81,7 @@ def clean_words(text: Column, *, tags: bool = True, lower_first: bool = True,
     def wanted(w: Column) -> Column:
         size = F.length(w)
         ok = size >= min_len if max_len is None else size.between(min_len, max_len)
-        return ok if keep_digits else ok & ~w.rlike(f"[{DIGIT_CHAR}]")
+        return ok if keep_digits else ok & ~has_digit(w)
 
     words = F.filter(pieces, wanted)
     return words if lower_first else F.transform(words, F.lower)

@@ -27,6 +27,27 @@ def salted_lookup(facts: DataFrame, dims: DataFrame, keys: list[str], salt_by: l
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def frequent_split_lookup(facts: DataFrame, dims: DataFrame, key: str, weight: str,
+                          spread_by: list[str], frequent: int = 1000) -> DataFrame:
+    """Inner lookup of one value when the table tells how often each key occurs.
+
+    The ``frequent`` keys of largest weight are broadcast. Their fact rows get a
+    scattered key that matches nothing in the shuffle join of the rest, where no key
+    can hold more than one part in ``frequent`` of the total weight.
+    """
+    top = dims.orderBy(F.desc(weight), key).limit(frequent).select(
+        key, F.col(weight).alias("_top"))
+    rest = dims.join(F.broadcast(top.select(key)), key, "left_anti").select(
+        F.struct(F.col(key).alias("k"), F.lit(0).alias("s")).alias("_key"),
+        F.col(weight).alias("_rest"))
+    scattered = F.struct(F.lit("").alias("k"), F.xxhash64(*spread_by).cast("int").alias("s"))
+    plain = F.struct(F.col(key).alias("k"), F.lit(0).alias("s"))
+    marked = facts.join(F.broadcast(top), key, "left").withColumn(
+        "_key", F.when(F.col("_top").isNotNull(), scattered).otherwise(plain))
+    found = marked.join(rest, "_key", "left").withColumn(weight, F.coalesce("_top", "_rest"))
+    return found.filter(F.col(weight).isNotNull()).drop("_key", "_top", "_rest")
+
+
 def lookup(facts: DataFrame, dims: DataFrame, keys: list[str], salt_by: list[str],
            how: str = "left") -> DataFrame:
     """Look rows up in a table unique on ``keys``: broadcast if it measures small

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions.text import decode_entities, qualify_template_title
 from lexigrain.operators.joins import first_per_key, last_per_key, lookup
+from lexigrain.operators.once import explode_once, with_once
 
 TEMPLATE_NAMESPACES = (10, 828)
 
@@ -54,9 +55,9 @@ def template_body(text: Column) -> Column:
 def template_inventory(pages: DataFrame, order: str = "id") -> tuple[DataFrame, DataFrame]:
     """(title, body) of templates, last definition wins, and (title, target) redirects."""
     listed = pages.filter(F.col("ns").isin(*TEMPLATE_NAMESPACES))
-    bodies = (listed.filter(~F.col("is_redirect"))
-              .select("title", template_body(F.col("text")).alias("body"), order)
-              .filter(F.col("body").isNotNull()))
+    bodies = (with_once(listed.filter(~F.col("is_redirect")), "body",
+                        template_body(F.col("text")))
+              .filter(F.col("body").isNotNull()).select("title", "body", order))
     redirects = listed.filter("is_redirect").select(
         "title", F.col("redirect").alias("target"), order)
     return (last_per_key(bodies, ["title"], F.col(order)).select("title", "body"),
@@ -71,7 +72,7 @@ def template_calls(pages: DataFrame, namespaces: list[str], key: str = "id",
     """
     names = F.regexp_extract_all(
         "text", F.lit(r"(?<!\{)\{\{\s*([^{}|#<>\[\]\n]+?)\s*(?=\||\}\}|\n)"), F.lit(1))
-    return pages.select(key, F.explode(names).alias("name")).select(
+    return explode_once(pages, names, "name", key).select(
         key, qualify_template_title(F.col("name"), namespaces, prefix).alias("title"))
 
 

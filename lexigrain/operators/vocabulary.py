@@ -4,38 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from lexigrain.functions.arrays import term_counts
-from lexigrain.operators.joins import salted_lookup
+from lexigrain.operators.joins import fits_broadcast, frequent_split_lookup
+from lexigrain.operators.once import inline_once
+from lexigrain.session import ensure_checkpoint_dir
+
+
+def document_bags(docs: DataFrame, *keys: str, words: str = "words") -> DataFrame:
+    """(keys, bag): the term counts of a row as one array, counted inside the row."""
+    return docs.select(*keys, term_counts(F.col(words)).alias("bag"))
 
 
 def bag_of_words(docs: DataFrame, key: str, words: str = "words") -> DataFrame:
-    """(key, term, tf). Counted inside each row, so nothing is shuffled."""
-    return (docs.select(key, F.explode(term_counts(F.col(words))).alias("t"))
-            .select(key, "t.term", "t.tf"))
+    """(key, term, tf), without a shuffle."""
+    return inline_once(document_bags(docs, key, words=words), F.col("bag"), "term", key)
 
 
-def term_frequencies(docs: DataFrame, words: str = "words",
-                     by: list[str] | None = None) -> DataFrame:
+def bag_frequencies(bags: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(term, cf, df): corpus and document frequency, in one shuffle on the term.
 
     A row emits each of its terms once with its count, so document frequency needs
     no distinct, and map-side combine shrinks frequent terms before the shuffle.
     """
     groups = by or []
-    terms = docs.select(*groups, F.explode(term_counts(F.col(words))).alias("t"))
-    return (terms.groupBy(*groups, F.col("t.term").alias("term"))
-            .agg(F.sum("t.tf").alias("cf"), F.count("*").alias("df")))
+    return inline_once(bags, F.col("bag"), "term", *groups).groupBy(*groups, "term").agg(
+        F.sum("tf").alias("cf"), F.count("*").alias("df"))
 
 
-def vocabulary(docs: DataFrame, words: str = "words", min_df: float = 1,
-               vocab_size: int | None = None) -> DataFrame:
-    """(term, cf, df) with document frequency at least ``min_df``, largest cf first.
+def term_frequencies(docs: DataFrame, words: str = "words",
+                     by: list[str] | None = None) -> DataFrame:
+    return bag_frequencies(document_bags(docs, *(by or []), words=words), by)
 
-    ``min_df`` below 1 is a share of the documents, else a count. ``vocab_size``
-    keeps that many terms (ties by term) and numbers them as ``term_idx``.
-    """
-    terms = term_frequencies(docs, words)
+
+def _choose(terms: DataFrame, docs: DataFrame, min_df: float,
+            vocab_size: int | None) -> DataFrame:
     if min_df >= 1:
         terms = terms.filter(F.col("df") >= min_df)
     else:
@@ -49,6 +53,16 @@ def vocabulary(docs: DataFrame, words: str = "words", min_df: float = 1,
         (F.row_number().over(Window.orderBy(*order)) - 1).alias("term_idx"), "term", "cf", "df")
 
 
+def vocabulary(docs: DataFrame, words: str = "words", min_df: float = 1,
+               vocab_size: int | None = None) -> DataFrame:
+    """(term, cf, df) with document frequency at least ``min_df``, largest cf first.
+
+    ``min_df`` below 1 is a share of the documents, else a count. ``vocab_size``
+    keeps that many terms (ties by term) and numbers them as ``term_idx``.
+    """
+    return _choose(term_frequencies(docs, words), docs, min_df, vocab_size)
+
+
 def idf_weight(documents: Column, df: Column) -> Column:
     return F.log((documents + 1) / (df + 1))
 
@@ -57,18 +71,26 @@ def tf_idf(docs: DataFrame, key: str, words: str = "words", min_df: float = 1,
            vocab_size: int | None = None) -> DataFrame:
     """(key, term, tf, tfidf) over the vocabulary.
 
-    A sized vocabulary is bounded by its size and broadcast. An unsized one is
-    joined by shuffle, with the counts of one term spread over many tasks.
+    The counts are read twice (vocabulary, then weights), so they are kept on the
+    executors. A sized vocabulary is bounded by its size and broadcast. An unsized
+    one is checkpointed and measured: broadcast if small, else joined by shuffle with
+    the most frequent terms taken out of the shuffle keys.
     """
-    total = docs.agg(F.count("*")).scalar()
-    terms = vocabulary(docs, words, min_df, vocab_size).select(
-        "term", idf_weight(total, F.col("df")).alias("idf"))
-    counts = bag_of_words(docs, key, words)
+    bags = document_bags(docs, key, words=words).persist(StorageLevel.MEMORY_AND_DISK)
+    total = bags.agg(F.count("*")).scalar()
+    counts = inline_once(bags, F.col("bag"), "term", key)
+    terms = _choose(bag_frequencies(bags), bags, min_df, vocab_size).select("term", "df")
     if vocab_size is not None:
         joined = counts.join(F.broadcast(terms), "term")
     else:
-        joined = salted_lookup(counts, terms, ["term"], [key], how="inner")
-    return joined.select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
+        ensure_checkpoint_dir(docs.sparkSession)
+        terms = terms.checkpoint()
+        if fits_broadcast(terms):
+            joined = counts.join(F.broadcast(terms), "term")
+        else:
+            joined = frequent_split_lookup(counts, terms, "term", "df", [key])
+    weight = F.col("tf") * idf_weight(total, F.col("df"))
+    return joined.select(key, "term", "tf", weight.alias("tfidf"))
 
 
 def prune(terms: DataFrame, min_count: int, keep: Column | None = None,

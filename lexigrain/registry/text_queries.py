@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigrain.functions import html, stopwords, text, tokens
+from lexigrain.operators.once import inline_once
 from lexigrain.registry import sql as S
 from lexigrain.registry.core import documents, pages, query, table
 from lexigrain.session import spread
@@ -181,16 +182,14 @@ _LINK_ROWS = rf"""
 
 @query("page_links", f"{_LINK_ROWS} SELECT DISTINCT page_id, href, text FROM l")
 def page_links(spark, sf_dir):
-    linked = pages(spark, sf_dir).select(
-        "page_id", F.inline(html.distinct_links(F.col("html"))))
-    return linked.select("page_id", "href", "text")
+    return inline_once(pages(spark, sf_dir), html.distinct_links(F.col("html")), "href", "page_id")
 
 
 @query("link_map", f"""{_LINK_ROWS}
     SELECT page_id, href, arg_max(text, place) AS text FROM l GROUP BY ALL""")
 def link_map(spark, sf_dir):
-    return pages(spark, sf_dir).select(
-        "page_id", F.explode(html.link_map(F.col("html"))).alias("href", "text"))
+    return inline_once(pages(spark, sf_dir), F.map_entries(html.link_map(F.col("html"))), "key",
+                       "page_id").toDF("page_id", "href", "text")
 
 
 @query("distinct_link_counts", f"""{_LINK_ROWS}

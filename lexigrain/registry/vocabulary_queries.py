@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexigrain.functions.stopwords import remove_stop_words
 from lexigrain.functions.tokens import alphabetic_words, document_words
 from lexigrain.operators import vocabulary as V
+from lexigrain.operators.once import with_once
 from lexigrain.operators.rows import is_article_title, long_enough
 from lexigrain.registry import sql as S
 from lexigrain.registry.core import documents, query
@@ -167,8 +168,7 @@ def corpus_statistics(spark, sf_dir):
     SELECT doc_id, len(w) AS n_words FROM (SELECT doc_id, {S.words('text')} AS w FROM documents)
     WHERE len(w) >= 50""")
 def long_documents(spark, sf_dir):
-    docs = documents(spark, sf_dir).select(
-        "doc_id", document_words(F.col("text")).alias("words"))
+    docs = with_once(documents(spark, sf_dir), "words", document_words(F.col("text")))
     return docs.filter(long_enough(F.col("words"))).select(
         "doc_id", F.size("words").cast("long").alias("n_words"))
 
@@ -187,9 +187,9 @@ def language_terms(spark, sf_dir):
     total = docs.agg(F.count("*")).scalar()
     per_lang = V.term_frequencies(docs, by=["lang"])
     # every document has one language, so df over the corpus is the sum over languages
-    overall = per_lang.groupBy("term").agg(F.sum("df").alias("all_df"))
-    return per_lang.join(overall, "term").select("lang", "term", F.round(
-        F.col("cf") * V.idf_weight(total, F.col("all_df")), 6).alias("weight"))
+    all_df = F.sum("df").over(Window.partitionBy("term"))  # a row per language
+    return per_lang.select("lang", "term", F.round(
+        F.col("cf") * V.idf_weight(total, all_df), 6).alias("weight"))
 
 
 @query("top_terms_per_language", f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexigrain import schemas
 from lexigrain.functions.html import distinct_links, raw_text
 from lexigrain.functions.text import ascii_only
+from lexigrain.operators.once import with_once
 from lexigrain.operators.rows import epoch_text
 
 # Provenance labels of the two public news sets. The label of a
@@ -28,7 +29,7 @@ def _columns(**values: Column) -> list[Column]:
 def parse_news_json(lines: DataFrame, dataset: str = NEWS_DATASET) -> DataFrame:
     """News objects, one per line; lines that are no object are left out."""
     objects = lines.filter(F.col("value").startswith("{") & F.col("value").endswith("}"))
-    parsed = objects.select(F.from_json("value", schemas.NEWS_JSON).alias("d"))
+    parsed = with_once(objects, "d", F.from_json("value", schemas.NEWS_JSON))
     return parsed.select(*_columns(
         id=F.col("d.id"), dataset=F.lit(dataset), cat=F.col("d")["media-type"],
         source=F.col("d.source"), url=F.lit(""), published=F.col("d.published"),
@@ -38,7 +39,7 @@ def parse_news_json(lines: DataFrame, dataset: str = NEWS_DATASET) -> DataFrame:
 def parse_tagged(lines: DataFrame, dataset: str = TAGGED_DATASET) -> DataFrame:
     """Records of nine fields between tag pairs, framed by 4 and 10 characters."""
     body = F.substr("value", F.lit(5), F.length("value") - 14)
-    fields = lines.select(F.split(body, "<.*?><.*?>", -1).alias("f")).filter(F.size("f") >= 9)
+    fields = with_once(lines, "f", F.split(body, "<.*?><.*?>", -1)).filter(F.size("f") >= 9)
     at = lambda i: F.get("f", F.lit(i))
     return fields.select(*_columns(
         id=at(0), dataset=F.lit(dataset), cat=at(5), source=at(1), url=at(2),
@@ -47,7 +48,7 @@ def parse_tagged(lines: DataFrame, dataset: str = TAGGED_DATASET) -> DataFrame:
 
 def parse_crawl(lines: DataFrame, dataset: str = "crawl") -> DataFrame:
     """Crawled articles; tabs inside the text are kept as spaces, the key is the url."""
-    fields = lines.select(F.split("value", "\t", -1).alias("f")).filter(F.size("f") >= 7)
+    fields = with_once(lines, "f", F.split("value", "\t", -1)).filter(F.size("f") >= 7)
     at = lambda i: F.get("f", F.lit(i))
     return fields.select(*_columns(
         id=at(4), dataset=F.lit(dataset), cat=F.lit(""), source=at(1), url=at(4),
@@ -76,6 +77,6 @@ def read_doc_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def parse_wiki_rows(lines: DataFrame) -> DataFrame:
     """Five tab-separated fields ``url, id, title, tags, text``; other arities go."""
-    fields = lines.select(F.split("value", "\t", -1).alias("f")).filter(F.size("f") == 5)
+    fields = with_once(lines, "f", F.split("value", "\t", -1)).filter(F.size("f") == 5)
     names = ("url", "id", "title", "tags", "text")
     return fields.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)])

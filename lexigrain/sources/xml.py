@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrain import schemas
+from lexigrain.operators.once import with_once
 from lexigrain.operators.pages import dump_pages
 
 CORRUPT = "_corrupt_record"
@@ -28,11 +29,10 @@ def parse_xml_records(chunks: DataFrame, row_tag: str, schema: T.StructType) ->
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
                "rowTag": row_tag, "ignoreSurroundingSpaces": "false"}
     others = [c for c in chunks.columns if c != "value"]
-    body = F.regexp_extract("value", rf"(?s)(<{row_tag}[\s>].*)$", 1)
-    records = chunks.select(*others, body.alias("value")).filter(F.col("value") != "")
-    xml = F.concat("value", F.lit(f"</{row_tag}>"))
-    return records.select(*others, F.from_xml(xml, full, options).alias("_r")).select(
-        *others, "_r.*")
+    opening = rf"<{row_tag}[\s>]"
+    records = chunks.filter(F.col("value").rlike(opening))
+    xml = F.concat(F.regexp_extract("value", f"(?s)({opening}.*)$", 1), F.lit(f"</{row_tag}>"))
+    return with_once(records, "_r", F.from_xml(xml, full, options)).select(*others, "_r.*")
 
 
 def read_xml_records(spark: SparkSession, path: str | list[str], row_tag: str,
