@@ -29,7 +29,7 @@ def salted_lookup(facts: DataFrame, dims: DataFrame, keys: list[str], salt_by: l
 
 def frequent_split_lookup(facts: DataFrame, dims: DataFrame, key: str, weight: str,
                           spread_by: list[str], frequent: int = 1000) -> DataFrame:
-    """Inner lookup of one value when the table tells how often each key occurs.
+    """Inner lookup of one value by a string key when the table tells how often each occurs.
 
     The ``frequent`` keys of largest weight are broadcast. Their fact rows get a
     scattered key that matches nothing in the shuffle join of the rest, where no key
@@ -40,7 +40,7 @@ def frequent_split_lookup(facts: DataFrame, dims: DataFrame, key: str, weight: s
     rest = dims.join(F.broadcast(top.select(key)), key, "left_anti").select(
         F.struct(F.col(key).alias("k"), F.lit(0).alias("s")).alias("_key"),
         F.col(weight).alias("_rest"))
-    scattered = F.struct(F.lit("").alias("k"), F.xxhash64(*spread_by).cast("int").alias("s"))
+    scattered = F.struct(F.lit("").alias("k"), F.hash(*spread_by).alias("s"))
     plain = F.struct(F.col(key).alias("k"), F.lit(0).alias("s"))
     marked = facts.join(F.broadcast(top), key, "left").withColumn(
         "_key", F.when(F.col("_top").isNotNull(), scattered).otherwise(plain))
