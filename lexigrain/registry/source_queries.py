@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from lexigrain import schemas
 from lexigrain.functions.text import escape_markup
+from lexigrain.functions.tokens import document_words
 from lexigrain.operators import rows as R
 from lexigrain.operators.codes import describe_codes, hierarchy_closure
+from lexigrain.operators.measure import measured_write
 from lexigrain.operators.ordering import sort_for_output
 from lexigrain.plans.ingest import run_feeds, tokenize_documents, tokenize_encyclopedia
 from lexigrain.registry import sql as S
@@ -414,3 +416,10 @@ def feed_run_articles(spark, sf_dir):
         F.lit("2024-01-01 00:10:00").cast("timestamp").alias("published"))
     articles, _ = run_feeds(entries, landed, 1704068100)
     return articles.select("run_id", "feed_name", "article_id", "article_link", "text")
+
+
+@query("throughput_report")
+def throughput_report(spark, sf_dir):
+    words = documents(spark, sf_dir).select(
+        "doc_id", document_words(F.col("text")).alias("words"))
+    return measured_write(words, shared_path(spark, "measured"), "tokenize")
