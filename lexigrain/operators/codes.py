@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.operators.joins import lookup, salted_lookup
+from lexigrain.operators.joins import fits_broadcast, lookup, salted_lookup
 from lexigrain.session import ensure_checkpoint_dir
 
 
@@ -20,7 +20,8 @@ def hierarchy_closure(edges: DataFrame, parent: str = "parent", child: str = "ch
     """(ancestor, descendant, distance) for every pair on a path of a code tree.
 
     Paths climb one level per round. The edge table is unique on the child, so each
-    round is a lookup and the pairs of one ancestor are spread over many tasks.
+    round is a lookup: broadcast if the edges measure small, else the pairs of one
+    ancestor are spread over many tasks.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     up = edges.filter(F.col(parent) != root).select(
@@ -28,8 +29,11 @@ def hierarchy_closure(edges: DataFrame, parent: str = "parent", child: str = "ch
     level = up.select(F.col("next").alias("ancestor"), F.col("ancestor").alias("descendant"),
                       F.lit(1).alias("distance"))
     closure = level
+    small = fits_broadcast(up)
     for _ in range(max_depth):
-        level = salted_lookup(level, up, ["ancestor"], ["descendant"], how="inner").select(
+        climbed = (level.join(F.broadcast(up), "ancestor") if small else
+                   salted_lookup(level, up, ["ancestor"], ["descendant"], how="inner"))
+        level = climbed.select(
             F.col("next").alias("ancestor"), "descendant",
             (F.col("distance") + 1).alias("distance")).checkpoint()
         if level.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.operators.ordering import with_position
+from lexigrain.operators.ordering import top_rows, with_position
 
 
 def repeat_times(df: DataFrame, n: int) -> DataFrame:
@@ -32,7 +32,8 @@ def repeat_to_length(df: DataFrame, key: str, length: int) -> DataFrame:
 def random_items(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     """``n`` random rows, the same ones for the same seed."""
     shuffled = F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")))
-    return df.withColumn("_order", shuffled).orderBy("_order").limit(n).drop("_order")
+    return top_rows(df.withColumn("_order", shuffled), [F.asc("_order"), F.asc(key)], n).drop(
+        "_order")
 
 
 def invert_map(pairs: DataFrame, key: str, value: str) -> DataFrame:

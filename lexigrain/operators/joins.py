@@ -11,10 +11,9 @@ MAX_BROADCAST_BYTES = 128 * 1024 * 1024
 
 def fits_broadcast(dims: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
                    max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Measure (one bounded job) whether a table may be broadcast."""
-    width = F.length(F.to_json(F.struct(*dims.columns))).cast("long")
-    rows, size = dims.limit(max_rows + 1).agg(
-        F.count("*"), F.coalesce(F.sum(width), F.lit(0))).head()
+    """Measure (one aggregate job) whether a table may be broadcast."""
+    width = F.octet_length(F.to_json(F.struct(*dims.columns))).cast("long")
+    rows, size = dims.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).head()
     return rows <= max_rows and size <= max_bytes
 
 

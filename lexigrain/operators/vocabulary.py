@@ -9,6 +9,7 @@ from pyspark.storagelevel import StorageLevel
 from lexigrain.functions.arrays import term_counts
 from lexigrain.operators.joins import fits_broadcast, frequent_split_lookup
 from lexigrain.operators.once import inline_once
+from lexigrain.operators.ordering import top_rows
 from lexigrain.session import ensure_checkpoint_dir
 
 
@@ -48,7 +49,7 @@ def _choose(terms: DataFrame, docs: DataFrame, min_df: float,
     if vocab_size is None:
         return terms
     order = [F.desc("cf"), F.asc("term")]
-    top = terms.orderBy(*order).limit(vocab_size)
+    top = top_rows(terms, order, vocab_size)
     return top.select(  # at most vocab_size rows
         (F.row_number().over(Window.orderBy(*order)) - 1).alias("term_idx"), "term", "cf", "df")
 

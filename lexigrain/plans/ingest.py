@@ -12,6 +12,7 @@ from lexigrain.functions.lines import compact_lines
 from lexigrain.functions.markup import clean_markup
 from lexigrain.functions.text import page_url
 from lexigrain.functions.tokens import document_words, encyclopedia_words, feed_words
+from lexigrain.operators.joins import last_per_key
 from lexigrain.operators.once import with_once
 from lexigrain.operators.pages import content_pages, split_templates
 from lexigrain.operators.rows import RUN_SECONDS, recent, route_rows
@@ -53,7 +54,8 @@ def run_feeds(entries: DataFrame, landed_pages: DataFrame, run_id: int,
     due = entries.filter(
         F.col("article_id").isNotNull()
         & recent(F.lit(run_id), F.unix_timestamp("published"), window))
-    pages = landed_pages.select(F.col("url").alias("article_link"), "html")
+    pages = last_per_key(landed_pages.select(F.col("url").alias("article_link"), "html"),
+                         ["article_link"], F.col("html"))  # copies of one page shrink to one
     joined = due.join(pages, "article_link", "left")
     words = with_once(joined, "text", F.array_join(feed_words(visible_text(F.col("html"))), " "))
     good, bad = route_rows(words, {

@@ -409,7 +409,7 @@ def _land_items(spark, sf_dir):
            url AS article_link, words AS text FROM w WHERE words <> ''""")
 def feed_run_articles(spark, sf_dir):
     landed = pages(spark, sf_dir).select("page_id", "url", "html")
-    entries = landed.dropDuplicates(["url"]).select(
+    entries = landed.select(
         F.lit("feed").alias("feed_name"), F.lit("http://feed").alias("feed_link"),
         F.concat(F.lit("a"), "page_id").alias("article_id"),
         F.col("url").alias("article_link"),

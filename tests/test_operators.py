@@ -36,6 +36,15 @@ def test_positions_and_slices(skewed):
     assert [r["id"] for r in O.head(df, "id", 4).collect()] == ids[:4]
 
 
+def test_top_rows_in_groups(skewed, monkeypatch):
+    rows, df = skewed
+    order = [F.desc("v"), F.asc("id")]
+    want = [r[0] for r in sorted(rows, key=lambda r: (-r[2], r[0]))][:50]
+    assert [r["id"] for r in O.top_rows(df, order, 50).collect()] == want
+    monkeypatch.setattr(O, "SMALL_TOP", 10)
+    assert [r["id"] for r in O.top_rows(df, order, 50).collect()] == want
+
+
 def test_positions_with_one_range_and_empty_table(spark, skewed):
     rows, df = skewed
     assert O.with_position(df, "id", ranges=1).agg(F.max("pos")).head()[0] == 299
