@@ -218,6 +218,24 @@ def drop_elements(text: Column, elements: tuple[str, ...] = DISCARDED_ELEMENTS)
     return let(text, clean)
 
 
+def shield_code(text: Column) -> Column:
+    """Unwrap syntax-highlight blocks and escape their body, so that later steps see
+    no tags in it; the final entity decoding restores it."""
+    block = r"<syntaxhighlight .*?>.*?</syntaxhighlight>"
+
+    def piece(p: Column) -> Column:
+        body = F.regexp_extract(p, r"(?s)^<syntaxhighlight .*?>(.*)</syntaxhighlight>$", 1)
+        return F.when(p.startswith("<syntaxhighlight ") & p.endswith("</syntaxhighlight>"),
+                      escape_markup(body)).otherwise(p)
+
+    def shield(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit(rf"(?s)({block}|[^<]+|<)"), F.lit(1))
+        return F.when(t.contains("<syntaxhighlight "),
+                      F.array_join(F.transform(pieces, piece), "")).otherwise(t)
+
+    return let(text, shield)
+
+
 def name_placeholders(text: Column) -> Column:
     """The n-th math block becomes ``formula_n``, the n-th code block ``codice_n``."""
 
@@ -272,6 +290,7 @@ def clean_markup(text: Column, *, keep_links: bool = False, escape: bool = False
     """
     out = drop_tables(drop_templates(text))
     out = replace_internal_links(replace_external_links(out, keep_links), keep_links, accepted)
-    out = drop_elements(drop_tags(unquote_emphasis(drop_switches(out)), keep_links), discard)
+    out = unquote_emphasis(shield_code(drop_switches(out)))
+    out = drop_elements(drop_tags(out, keep_links), discard)
     out = tidy_whitespace(name_placeholders(decode_entities(out)))
     return escape_markup(out) if escape else out

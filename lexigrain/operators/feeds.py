@@ -20,15 +20,20 @@ def run_bucket(seconds: Column, window: int = RUN_SECONDS) -> Column:
 
 
 def run_statistics(entries: DataFrame, catalogue: DataFrame, run: str = "run_id",
-                   feed: str = "feed_name", latency: str = "latency") -> DataFrame:
+                   feed: str = "feed_name", latency: str = "latency",
+                   failed: Column | None = None) -> DataFrame:
     """Per run and catalogue feed: articles and mean latency, zero for silent feeds.
 
+    Failed articles count too, as they take their time; ``failed`` adds their number.
+
     The catalogue is a hand-kept list: after a check of its size it becomes one array
     that every run row explodes (past the check, the runs are the array instead).
     Feeds listed twice count twice, as they are run twice.
     """
-    stats = entries.groupBy(run, feed).agg(
-        F.count("*").alias("article_count"), F.avg(latency).alias("article_avg"))
+    measures = {"article_count": F.count("*"), "article_avg": F.avg(latency)}
+    if failed is not None:
+        measures["failed_count"] = F.count_if(failed)
+    stats = entries.groupBy(run, feed).agg(*[m.alias(name) for name, m in measures.items()])
     runs = entries.select(run).distinct()
     if fits_broadcast(catalogue.select(feed)):
         names = catalogue.agg(F.array_sort(F.collect_list(feed))).scalar()
@@ -37,8 +42,8 @@ def run_statistics(entries: DataFrame, catalogue: DataFrame, run: str = "run_id"
         grid = catalogue.select(feed).withColumn(
             run, F.explode(runs.agg(F.collect_list(run)).scalar()))
     return grid.join(stats, [run, feed], "left").select(
-        run, feed, F.coalesce("article_count", F.lit(0)).alias("article_count"),
-        F.coalesce("article_avg", F.lit(0.0)).alias("article_avg"))
+        run, feed, *[F.coalesce(name, F.lit(0.0 if name == "article_avg" else 0)).alias(name)
+                     for name in measures])
 
 
 def window_statistics(entries: DataFrame, published: str = "published",

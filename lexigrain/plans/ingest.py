@@ -36,10 +36,16 @@ def tokenize_encyclopedia(docs: DataFrame) -> DataFrame:
     return docs.withColumn("words", encyclopedia_words(F.col("text"))).drop("text")
 
 
-def extract_articles(pages: DataFrame, url_base: str, **cleaning: object) -> DataFrame:
-    """Dump pages to (id, url, title, text): markup removed, lines compacted."""
+def extract_articles(pages: DataFrame, url_base: str, *, keep_sections: bool = True,
+                     keep_lists: bool = False, **cleaning: object) -> DataFrame:
+    """Dump pages to (id, url, title, text): markup removed, lines compacted.
+
+    Further options go to ``clean_markup``.
+    """
     articles, _ = split_templates(content_pages(pages))
-    body = F.array_join(compact_lines(clean_markup(F.col("text"), **cleaning)), "\n")
+    body = F.array_join(compact_lines(
+        clean_markup(F.col("text"), **cleaning),
+        keep_sections=keep_sections, keep_lists=keep_lists), "\n")
     return articles.select(
         "id", page_url(F.lit(url_base), F.col("id")).alias("url"), "title", body.alias("text"))
 

@@ -53,6 +53,11 @@ def test_code_blocks_stay_undecoded(one):
     assert one(page, text.decode_outside_code) == "a &amp;lt; b <i>"
 
 
+def test_code_keeps_its_tags(one):
+    page = "<b>x</b> <syntaxhighlight lang=c>if (a<b) <i>y</i> &lt;</syntaxhighlight> <i>z</i>"
+    assert one(page, markup.clean_markup) == "x if (a<b) <i>y</i> &lt; z"
+
+
 def test_light_clean(one):
     page = "A [[b|c]] {{t}}<ref>r</ref> [http://x.y label] [[Category:Z]]\n{| x\n|-\n| cell || two\n|}\nend"
     assert one(page, markup.light_clean).split() == "A c label cell two end".split()

@@ -187,6 +187,9 @@ def test_run_statistics_lists_silent_feeds(spark, monkeypatch):
     want = [(900, "a", 2, 3.0), (900, "b", 0, 0.0), (900, "b", 0, 0.0), (1800, "a", 0, 0.0),
             (1800, "b", 1, 1.0), (1800, "b", 1, 1.0)]
     assert sorted(map(tuple, B.run_statistics(entries, feeds).collect())) == want
+    flagged = B.run_statistics(entries, feeds, failed=F.col("latency") > 3)
+    assert {(r["run_id"], r["feed_name"], r["failed_count"]) for r in flagged.collect()} == {
+        (900, "a", 1), (900, "b", 0), (1800, "a", 0), (1800, "b", 0)}
     monkeypatch.setattr(B, "fits_broadcast", lambda df: False)
     assert sorted(map(tuple, B.run_statistics(entries, feeds).collect())) == want
 
