@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexigrain import schemas
 from lexigrain.functions.text import escape_markup
 from lexigrain.functions.tokens import document_words
 from lexigrain.operators import rows as R
