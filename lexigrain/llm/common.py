@@ -1,14 +1,14 @@
-"""What several operators share: Arrow batches, words, folders on shared storage."""
+"""What several operators share: Arrow batches and words."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrain.session import shared_path, spread
+from lexigrain.session import spread
 
 WHITE = b"\t\n\x0b\x0c\r "  # what separates words
 BLOCK = 1 << 20  # bytes of a long text that are turned into words at a time
@@ -19,21 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def landed(df: DataFrame, label: str) -> DataFrame:
-    """Write a table below the shared folder and read it back.
-
-    This cuts the lineage: later jobs read the files, whatever executors are lost.
-    """
-    path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-             schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
                   limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one holds about ``limit`` bytes of a text column, or one row."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexigrain.llm import compression, packing, token_counts
+from lexigrain.llm import chat, compression, hash_tree, packing, token_counts
 from lexigrain.llm.common import table
 
 QUERIES = {}
@@ -32,6 +32,15 @@ def op2_compression_bands(spark, sf_dir):
     return compression.judge(docs).drop("text", "n_bytes")
 
 
+#: Four regions of two racks of five shards.
+SHARDS = hash_tree.Tree.regular(4, 2, 5)
+
+
+@query("op4_hash_tree_shards")
+def op4_hash_tree_shards(spark, sf_dir):
+    return hash_tree.shard_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), SHARDS)
+
+
 @query("op7_overlap_token_counts")
 def op7_overlap_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,3 +53,45 @@ def op9_power_of_two_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"),
                           public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op10_chat_layouts", r"""
+    WITH said AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    measured AS (
+        SELECT *, length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text,
+            '[<\[]\\*(\|start\|>|\|text\|>|\|end\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>'
+            || '|\|im_start\|>|\|im_end\|>|\|endoftext\|>)')) + 9 + 8 + 7 AS chars FROM said)
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+            AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+            FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(chars)::BIGINT AS formatted_chars
+    FROM measured GROUP BY conv_id""")
+def op10_chat_layouts(spark, sf_dir):
+    template = chat.Template()
+    probe = F.lit("</s>[INST] ok [/INST]").alias("text")
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), probe)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        "conv_id", "turn", "role", "text").unionByName(added)
+    records = chat.as_records(chat.conversations(rows))
+    formatted = chat.format_turns(chat.canonical_turns(records), template).select(
+        "conv_id", "formatted", "loss_spans")
+    read = formatted.select(
+        "conv_id", "formatted", template.turns(F.col("formatted")).alias("turns"),
+        F.array_join(chat.learned_texts(template), "").alias("learned"))
+    lines = F.transform("turns", lambda t: F.concat(
+        t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
