@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexigrain.llm import chat, compression, hash_tree, packing, token_counts
+from lexigrain.llm import chat, compression, hash_tree, jaccard_join, packing, token_counts
 from lexigrain.llm.common import table
 
 QUERIES = {}
@@ -41,6 +41,11 @@ def op4_hash_tree_shards(spark, sf_dir):
     return hash_tree.shard_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), SHARDS)
 
 
+@query("op5_jaccard_components")
+def op5_jaccard_components(spark, sf_dir):
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 @query("op7_overlap_token_counts")
 def op7_overlap_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
