@@ -9,6 +9,7 @@ library. Added tokens contain no white space, so the library still sees them who
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ BLOCK = 1 << 20  # characters of a long text that are encoded at a time
 class RunEncoder:
     """Encode texts as little-endian unsigned 32-bit ids, without special tokens added."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,6 +32,7 @@ class RunEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def blocks(self, text: str) -> Iterator[bytes]:
         """The ids of a text, a block of runs at a time."""
@@ -51,16 +53,17 @@ class RunEncoder:
         return np.frombuffer(b"".join(self.blocks(text)), "<u4")
 
     def _encode(self, runs: list[str]) -> bytes:
+        if len(self.known) > self.limit:  # runs of the generation before are kept if met again
+            self.before, self.known = self.known, {}
         known = self.known
         new = set(runs).difference(known)
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = set(runs)
-        if new:
-            fresh = list(new)
+        for run in new.intersection(self.before):
+            known[run] = self.before[run]
+        fresh = list(new.difference(self.before))
+        if fresh:
             for run, found in zip(fresh, self.tokenizer.encode_batch_fast(
                     fresh, add_special_tokens=False), strict=True):
-                known[run] = np.asarray(found.ids, "<u4").tobytes()
+                known[run] = array("I", found.ids).tobytes()
         return b"".join(map(known.__getitem__, runs))
 
 
