@@ -9,7 +9,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexigrain.llm import chat, compression, hash_tree, jaccard_join, packing, token_counts
+from lexigrain.llm import (
+    chat,
+    compression,
+    hash_tree,
+    jaccard_join,
+    packing,
+    string_tiling,
+    token_counts,
+)
 from lexigrain.llm.common import table
 
 QUERIES = {}
@@ -46,6 +54,12 @@ def op5_jaccard_components(spark, sf_dir):
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
 
 
+@query("op6_greedy_string_tiling")
+def op6_greedy_string_tiling(spark, sf_dir):
+    return string_tiling.decontaminated(table(spark, sf_dir, "documents"),
+                                        table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_overlap_token_counts")
 def op7_overlap_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
