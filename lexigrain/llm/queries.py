@@ -15,6 +15,7 @@ from lexigrain.llm import (
     hash_tree,
     jaccard_join,
     packing,
+    rule_ensemble,
     string_tiling,
     token_counts,
 )
@@ -40,6 +41,12 @@ def op2_compression_bands(spark, sf_dir):
     return compression.judge(docs).drop("text", "n_bytes")
 
 
+@query("op3_rule_ensemble")
+def op3_rule_ensemble(spark, sf_dir):
+    return rule_ensemble.classify(table(spark, sf_dir, "documents"),
+                                  spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 #: Four regions of two racks of five shards.
 SHARDS = hash_tree.Tree.regular(4, 2, 5)
 
