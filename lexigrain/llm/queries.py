@@ -14,6 +14,7 @@ from lexigrain.llm import (
     compression,
     hash_tree,
     jaccard_join,
+    languages,
     packing,
     rule_ensemble,
     string_tiling,
@@ -35,6 +36,20 @@ def query(name, sql=None):
     return register
 
 
+@query("op1_language_evidence")
+def op1_language_evidence(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return languages.identify(languages.document_records(docs, "doc_id"), languages.learn(docs))
+
+
+@query("language_evidence_pages")
+def language_evidence_pages(spark, sf_dir):
+    """The same over raw pages, with markup, address suffix, domain and host."""
+    model = languages.learn(table(spark, sf_dir, "documents"))
+    return languages.identify(
+        languages.page_records(table(spark, sf_dir, "pages"), "page_id"), model)
+
+
 @query("op2_compression_bands")
 def op2_compression_bands(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
