@@ -19,8 +19,10 @@ from lexigrain.llm import (
     rule_ensemble,
     string_tiling,
     token_counts,
+    training_order,
 )
 from lexigrain.llm.common import table
+from lexigrain.session import shared_path
 
 QUERIES = {}
 ORACLES = {}
@@ -89,6 +91,18 @@ def op7_overlap_token_counts(spark, sf_dir):
         docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+@query("op8_training_order")
+def op8_training_order(spark, sf_dir):
+    folder = shared_path(spark, "shards")
+    folder = folder if "://" in folder else f"file://{folder}"
+    rows = training_order.sequences(table(spark, sf_dir, "documents"),
+                                    public_tokenizers.path("byte_bpe_50k.json"))
+    index = training_order.materialise(rows, folder, key=2026)
+    stored = training_order.read_slots(spark, folder, index).select(
+        "slot", F.crc32("ids").alias("record_crc32"))
+    return index.join(stored, "slot")
+
+
 @query("op9_power_of_two_packing")
 def op9_power_of_two_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"),
