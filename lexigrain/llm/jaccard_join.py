@@ -23,9 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.bitmaps import bit_set, blocks_of, in_bit_set, merged, whole
-from lexigrain.llm.common import WordHashes, column_like, mixed, small_batches, texts_of, window_hashes
+from lexigrain.llm.common import (
+    WordHashes,
+    column_like,
+    mixed,
+    small_batches,
+    texts_of,
+    window_hashes,
+)
 from lexigrain.llm.components import components
 from lexigrain.llm.folders import landed
+from lexigrain.llm.keep import row_key, without
+from lexigrain.operators.joins import first_per_key
 
 WIDTH = 5
 PERCENT = 75
@@ -77,26 +86,28 @@ class Seen:
         return False
 
 
-def _sets(batches, width: int) -> Iterator[tuple[list, list[tuple[int | None, np.ndarray]]]]:
-    """Per batch the keys and the (signature, shingles) of its documents."""
+def _sets(batches, width: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches and the (signature, shingles) of their documents."""
     words = WordHashes()
     for batch in small_batches(batches):
         found = []
         for text in texts_of(batch):
             values = shingles(text, words, width)
             found.append((signature(values) if len(values) else None, values))
-        yield column_like(batch, "doc_id").to_pylist(), found
+        yield batch, found
 
 
-def set_table(docs: DataFrame, width: int, bits: int) -> DataFrame:
+def set_table(docs: DataFrame, width: int, bits: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """First pass: per document its set's signature, size and bins; counters of shingles."""
+    columns = {n: pa.int64() for n in carry}
     shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()),
-                            ("bins", pa.binary()), ("block", pa.int32()), ("cells", pa.binary())])
+                            ("bins", pa.binary()), ("block", pa.int32()), ("cells", pa.binary()),
+                            *((n, columns[n]) for n in carry)])
         counters, waiting, size, seen = np.zeros(1 << bits, np.uint32), [], 0, Seen()
-        for keys, found in _sets(batches, width):
+        for batch, found in _sets(batches, width):
             bins = []
             for sig, values in found:
                 bins.append(None if sig is None or len(values) > 65_535 else np.bincount(
@@ -109,11 +120,12 @@ def set_table(docs: DataFrame, width: int, bits: int) -> DataFrame:
                 counters += np.bincount(np.concatenate(waiting).astype(np.int64),
                                         minlength=1 << bits).astype(np.uint32)
                 waiting, size = [], 0
-            rows = len(keys)
+            rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([s for s, _ in found], pa.int64()),
+                [column_like(batch, "doc_id"), pa.array([s for s, _ in found], pa.int64()),
                  pa.array([len(v) for _, v in found], pa.int64()), pa.array(bins, pa.binary()),
-                 pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema)
+                 pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
+                 *(column_like(batch, n) for n in carry)], schema=schema)
         if waiting:
             counters += np.bincount(np.concatenate(waiting).astype(np.int64),
                                     minlength=1 << bits).astype(np.uint32)
@@ -122,10 +134,12 @@ def set_table(docs: DataFrame, width: int, bits: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()),
              pa.nulls(rows, pa.binary()), pa.array(blocks, pa.int32()),
-             pa.array(cells, pa.binary())], schema=schema)
+             pa.array(cells, pa.binary()), *(pa.nulls(rows, pa.int64()) for _ in carry)],
+            schema=schema)
 
     return landed(docs.mapInArrow(
-        run, "doc_id long, sig long, n long, bins binary, block int, cells binary"), "sets")
+        run, ", ".join(["doc_id long, sig long, n long, bins binary, block int, cells binary",
+                        *(f"{n} long" for n in carry)])), "sets")
 
 
 def frequency_classes(counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,27 +329,57 @@ def similar_links(docs: DataFrame, sets: DataFrame, width: int, percent: int,
 
 
 def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                    width: int = WIDTH, percent: int = PERCENT,
-                    bits: int = COUNTER_BITS) -> DataFrame:
+                    width: int = WIDTH, percent: int = PERCENT, bits: int = COUNTER_BITS,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id (smallest doc_id reached).
 
     Documents without words (null, empty, blank) have no shingles and are their own
     component. Repeated rows are equal sets and so linked; a component whose ids are
-    all null has a null id. Other columns are not read. Reads the texts four times and
-    shuffles prefix shingles and the sets of candidates only.
+    all null has a null id, and ``root`` tells it from others (null without words).
+    ``carry`` names columns of 64-bit numbers to keep; others are not read. Reads the
+    texts four times and shuffles prefix shingles and the sets of candidates only.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                         F.col(text).alias("text"))
-    table = set_table(source, width, bits)
-    sets = table.filter("block is null").select("doc_id", "sig", "n", "bins")
-    roots = similar_links(source, table, width, percent, bits)
+                         F.col(text).alias("text"), *carry)
+    table = set_table(source, width, bits, carry)
+    sets = table.filter("block is null")
+    roots = similar_links(source.select("text"), table, width, percent, bits)
 
     least = sets.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select(
         "sig", "least", F.coalesce("root", "sig").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = rooted.join(named, "root").select("sig", "component_id")
-    words = sets.select("doc_id", F.col("n").alias("n_shingles"), "sig").filter("sig is not null")
-    none = sets.filter("sig is null").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return words.join(by_set, "sig").select("doc_id", "n_shingles", "component_id").unionAll(none)
+    by_set = rooted.join(named, "root").select("sig", "component_id", "root")
+    shown = ["doc_id", "n_shingles", "component_id", "root", *carry]
+    words = sets.filter("sig is not null").withColumnRenamed("n", "n_shingles")
+    none = sets.filter("sig is null").withColumnRenamed("n", "n_shingles").withColumn(
+        "component_id", F.col("doc_id")).withColumn("root", F.col("sig"))
+    return words.join(by_set, "sig").select(*shown).unionAll(none.select(*shown))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents without near copies: of each component the row with the smallest
+    doc_id stays (ids before null, then by a hash of the text); of equal rows one.
+
+    Documents without words all stay.
+    """
+    a, b = (row_key("doc_id", "text")[part] for part in ("a", "b"))
+    found = landed(join_components(docs.select("doc_id", "text", a.alias("_a"), b.alias("_b")),
+                                   carry=("_a", "_b"), **options).filter("root is not null"),
+                   "components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_a"),
+                     F.col("_b"))
+    best = found.groupBy("root").agg(F.min(order).alias("best"))
+    key = F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    marked = found.join(best, "root").select(
+        key.alias("key"), ((F.col("best._a") == F.col("_a")) & (F.col("best._b") == F.col("_b")))
+        .alias("stays"))
+    kept = without(docs, row_key("doc_id", "text"), marked.filter("not stays").select("key"))
+    again = landed(marked.filter("stays").groupBy("key").count().filter("count > 1").select("key"),
+                   "repeated")
+    if again.isEmpty():
+        return kept
+    marked_docs = kept.withColumn("_key", row_key("doc_id", "text"))
+    repeated = marked_docs.join(again.withColumnRenamed("key", "_key"), "_key", "left_semi")
+    singles = without(kept, row_key("doc_id", "text"), again)
+    return singles.unionByName(first_per_key(repeated, ["_key"], F.col("doc_id")).drop("_key"))

@@ -75,7 +75,7 @@ def op4_hash_tree_shards(spark, sf_dir):
 
 @query("op5_jaccard_components")
 def op5_jaccard_components(spark, sf_dir):
-    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.join_components(table(spark, sf_dir, "documents")).drop("root")
 
 
 @query("op6_greedy_string_tiling")

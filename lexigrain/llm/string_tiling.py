@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lexigrain.llm.bitmaps import bit_set, in_bit_set
 from lexigrain.llm.common import WordHashes, column_like, small_batches, texts_of, window_hashes
 from lexigrain.llm.folders import landed
+from lexigrain.llm.keep import row_key
 
 SEED = 5  # words of a seed, and the shortest run
 COVERAGE = 0.5  # share of an item's words that makes it leaked
@@ -142,17 +143,21 @@ def seeded(docs: DataFrame, chosen, seed: int) -> DataFrame:
                 kept.append(region.tobytes())
                 hits.append(np.unique(grams[at]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [column_like(batch, "doc_id").cast(pa.int64()), pa.array(kept, pa.binary()),
-                 pa.array(hits, pa.list_(pa.int64()))], names=["doc_id", "region", "hits"])
+                [column_like(batch, "doc_id"), column_like(batch, "key"),
+                 pa.array(kept, pa.binary()), pa.array(hits, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "region", "hits"])
 
-    rows = docs.mapInArrow(run, "doc_id long, region binary, hits array<long>")
+    rows = docs.mapInArrow(
+        run, "doc_id long, key struct<a:long,b:long>, region binary, hits array<long>")
     return landed(rows.withColumn("row", F.monotonically_increasing_id()), "seeded")
 
 
 def leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE,
           text: str = "text", doc_id: str = "doc_id", item_text: str = "text",
           item_id: str = "item_id") -> tuple[DataFrame, DataFrame]:
-    """Documents (row, doc_id) and their leaked items (row, item_id, coverage, n_tiles).
+    """Documents (row, doc_id, key) and their leaked items (row, item_id, coverage, n_tiles).
+
+    ``key`` tells texts apart, whatever their ids are.
 
     Null and empty texts share no seed. Items shorter than a seed leak nowhere; repeated
     items count once per item_id and text. Repeated rows of documents stay rows. Only
@@ -164,7 +169,8 @@ def leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float =
                    "items").withColumn("item", F.xxhash64("item_id", "words"))
     seeds = items.select("item", F.explode("seeds").alias("h"))
     chosen = spark.sparkContext.broadcast(bit_set(seeds.select("h"), SET_BITS))
-    rows = seeded(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
+    rows = seeded(docs.select(F.col(doc_id).cast("long").alias("doc_id"),
+                              F.col(text).alias("text"), row_key(text).alias("key")),
                   chosen, seed)
     hits = rows.select("row", F.explode("hits").alias("h"))
     sized = items.select("item", (F.octet_length("words") / 8).alias("n"))
@@ -190,7 +196,7 @@ def leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float =
     met = (pairs.join(items.select("item", "item_id", "words"), "item")
            .join(rows.select("row", "region"), "row"))
     tiled = met.mapInArrow(run, "row long, item_id long, coverage double, n_tiles long")
-    return rows.select("row", "doc_id"), tiled.filter(F.col("coverage") >= coverage)
+    return rows.select("row", "doc_id", "key"), tiled.filter(F.col("coverage") >= coverage)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
