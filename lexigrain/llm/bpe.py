@@ -55,11 +55,12 @@ class RunEncoder:
     def _encode(self, runs: list[str]) -> bytes:
         if len(self.known) > self.limit:  # runs of the generation before are kept if met again
             self.before, self.known = self.known, {}
-        known = self.known
-        new = set(runs).difference(known)
-        for run in new.intersection(self.before):
-            known[run] = self.before[run]
-        fresh = list(new.difference(self.before))
+        known, before, fresh = self.known, self.before, []
+        for run in set(runs).difference(known):
+            if run in before:
+                known[run] = before[run]
+            else:
+                fresh.append(run)
         if fresh:
             for run, found in zip(fresh, self.tokenizer.encode_batch_fast(
                     fresh, add_special_tokens=False), strict=True):
