@@ -10,18 +10,20 @@ from lexigrain.session import ensure_checkpoint_dir
 
 
 def describe_codes(rows: DataFrame, codes: DataFrame, code: str) -> DataFrame:
-    """Add the description of a code; unknown codes get null."""
-    dims = codes.select(F.col("code").alias(code), "description").dropDuplicates([code])
+    """Add the description of a code, the first in order of text if it has several;
+    unknown codes get null."""
+    dims = codes.groupBy(F.col("code").alias(code)).agg(F.min("description").alias("description"))
     return lookup(rows, dims, [code], rows.columns)
 
 
 def hierarchy_closure(edges: DataFrame, parent: str = "parent", child: str = "child",
-                      root: str = "None", max_depth: int = 100) -> DataFrame:
+                      root: str = "None") -> DataFrame:
     """(ancestor, descendant, distance) for every pair on a path of a code tree.
 
-    Paths climb one level per round. The edge table is unique on the child, so each
-    round is a lookup: broadcast if the edges measure small, else the pairs of one
-    ancestor are spread over many tasks.
+    Paths climb one level per round until none is left, however deep the tree is. A
+    code that turns up among its own ancestors is an error. The edge table is unique on
+    the child, so each round is a lookup: broadcast if the edges measure small, else
+    the pairs of one ancestor are spread over many tasks.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     up = edges.filter(F.col(parent) != root).select(
@@ -30,13 +32,16 @@ def hierarchy_closure(edges: DataFrame, parent: str = "parent", child: str = "ch
                       F.lit(1).alias("distance"))
     closure = level
     small = fits_broadcast(up)
-    for _ in range(max_depth):
+    while True:
         climbed = (level.join(F.broadcast(up), "ancestor") if small else
                    salted_lookup(level, up, ["ancestor"], ["descendant"], how="inner"))
         level = climbed.select(
             F.col("next").alias("ancestor"), "descendant",
             (F.col("distance") + 1).alias("distance")).checkpoint()
-        if level.isEmpty():
+        found = level.agg(F.count("*"), F.min(F.when(
+            F.col("ancestor") == F.col("descendant"), F.col("descendant")))).head()
+        if found[1] is not None:
+            raise ValueError(f"the hierarchy has a cycle through {found[1]}")
+        if not found[0]:
             return closure
         closure = closure.unionByName(level)
-    raise ValueError(f"hierarchy deeper than {max_depth} levels or cyclic")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexigrain.functions.text import decode_entities, qualify_template_title
 from lexigrain.operators.joins import first_per_key, last_per_key, lookup
 from lexigrain.operators.once import explode_once, with_once
+from lexigrain.session import ensure_checkpoint_dir
 
 TEMPLATE_NAMESPACES = (10, 828)
 
@@ -26,10 +27,20 @@ def dump_pages(raw: DataFrame) -> DataFrame:
 
 
 def content_pages(pages: DataFrame) -> DataFrame:
-    """Pages that are no redirects, one per id (the first in the dump)."""
-    order = F.col("pos") if "pos" in pages.columns else F.struct("title", "text")
+    """Pages that are no redirects, one per id (the first in the dump).
+
+    With a place in the dump (``pos``) only ids and places are compared. The later
+    copies of an id are few; their places are taken out by a lookup, and the texts stay
+    where they are. Null ids are no copies of each other.
+    """
     kept = pages.filter(~F.col("is_redirect")).drop("redirect", "is_redirect")
-    return first_per_key(kept, ["id"], order)
+    if "pos" not in pages.columns:
+        return first_per_key(kept, ["id"], F.struct("title", "text"))
+    places = kept.filter(F.col("id").isNotNull()).groupBy("id").agg(
+        F.min("pos").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    ensure_checkpoint_dir(pages.sparkSession)
+    later = kept.select("id", "pos").join(places, "id").filter("pos > first").select("pos")
+    return lookup(kept, later.checkpoint(), ["pos"], ["id"], how="left_anti")
 
 
 def split_templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

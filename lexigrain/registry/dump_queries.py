@@ -2,7 +2,7 @@
 
 English and German documents are articles (the German ones appear twice, English
 ones of one source carry no namespace), Spanish ones template pages, French ones
-template redirects.
+template redirects, each after a page that is not closed.
 """
 
 from __future__ import annotations
@@ -13,20 +13,26 @@ from lexigrain.functions.text import escape_markup, upper_first
 from lexigrain.operators import pages as P
 from lexigrain.plans.ingest import extract_articles
 from lexigrain.registry import sql as S
-from lexigrain.registry.core import documents, query
+from lexigrain.registry.core import documents, query, table
 from lexigrain.session import shared_path
 from lexigrain.sinks.files import write_templates
-from lexigrain.sources.xml import read_dump, read_site_info
+from lexigrain.sources.xml import read_dump, read_dump_rejects, read_site_info
 
 NAMESPACES = ["Template", "Category", "Module"]
 
-_HEADER = [
-    "<mediawiki><siteinfo>", "<base>http://enc.example.org/wiki/Main_Page</base>",
-    "<namespaces>", '<namespace key="0" case="first-letter" />',
-    '<namespace key="10" case="first-letter">Template</namespace>',
-    '<namespace key="14" case="first-letter">Category</namespace>',
-    '<namespace key="828" case="first-letter">Module</namespace>', "</namespaces></siteinfo>",
-]
+def _header(spark, sf_dir):
+    """The header as one file: fixed namespaces, and one more for each nation."""
+    own = table(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") + 1000).alias("key"), F.initcap("n_name").alias("name"))
+    fixed = spark.createDataFrame(
+        [(0, ""), (10, "Template"), (14, "Category"), (828, "Module")], "key long, name string")
+    space = F.concat(F.lit('<namespace key="'), "key", F.when(F.col("name") == "", '" />').otherwise(
+        F.concat(F.lit('" case="first-letter">'), "name", F.lit("</namespace>"))))
+    spaces = fixed.unionByName(own).agg(F.array_join(F.array_sort(F.collect_list(space)), "\n"))
+    return spaces.select(F.concat(
+        F.lit("<mediawiki><siteinfo>\n<base>http://enc.example.org/wiki/Main_Page</base>\n"
+              "<namespaces>\n"), spaces.columns[0],
+        F.lit("\n</namespaces></siteinfo>")).alias("value"))
 
 
 def _ucfirst_sql(c: str) -> str:
@@ -56,12 +62,14 @@ def land_dump(spark, sf_dir):
         F.col("doc_id").cast("string"), F.lit("</id>\n    "), redirect,
         F.lit("<revision><id>7</id>\n<text xml:space=\"preserve\">"), escape_markup(text),
         F.lit("</text></revision>\n  </page>"))
-    copies = F.when(F.col("lang") == "de", F.array(page, page)).otherwise(F.array(page))
+    unclosed = F.lit("  <page>\n    <title>Torn</title><id>1</id>")
+    copies = (F.when(F.col("lang") == "de", F.array(page, page))
+              .when(F.col("lang") == "fr", F.array(unclosed, page)).otherwise(F.array(page)))
     # one range of pages per file, in order, as a dump is
     lines = documents(spark, sf_dir).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     path = shared_path(spark, "dump")
     lines.select(F.explode(copies).alias("value")).write.text(f"{path}/pages")
-    spark.createDataFrame([("\n".join(_HEADER),)], "value string").write.text(f"{path}/header")
+    _header(spark, sf_dir).write.text(f"{path}/header")
     return path
 
 
@@ -89,9 +97,18 @@ def dump_page_kinds(spark, sf_dir):
 @query("dump_site_info", """
     SELECT 'http://enc.example.org/wiki' AS url_base, k AS ns_key, n AS ns_name
     FROM (VALUES (0, ''), (10, 'Template'), (14, 'Category'), (828, 'Module')) t(k, n)
-    WHERE (SELECT count(*) FROM documents) > 0""")
+    UNION ALL SELECT 'http://enc.example.org/wiki', n_nationkey + 1000, array_to_string(
+        list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')
+    FROM nation""")
 def dump_site_info(spark, sf_dir):
-    return read_site_info(spark, land_dump(spark, sf_dir) + "/*")
+    return read_site_info(spark, land_dump(spark, sf_dir) + "/header")
+
+
+@query("dump_rejects", """
+    SELECT 'malformed record' AS reason, count(*) AS n_pages FROM documents WHERE lang = 'fr'""")
+def dump_rejects(spark, sf_dir):
+    return read_dump_rejects(spark, land_dump(spark, sf_dir) + "/pages").groupBy("reason").agg(
+        F.count("*").alias("n_pages"))
 
 
 _BODIES = f"""b AS (SELECT 'Template:' || {_ucfirst_sql('source')} AS title, arg_max(CASE
@@ -161,7 +178,7 @@ def saved_templates(spark, sf_dir):
     SELECT doc_id AS id FROM documents WHERE lang IN ('es', 'fr')""")
 def known_namespace_titles(spark, sf_dir):
     path = land_dump(spark, sf_dir)
-    names = read_site_info(spark, path + "/*")
+    names = read_site_info(spark, path + "/header")
     return P.known_namespaces(read_dump(spark, path + "/pages"), names).select("id")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions.text import escape_markup
 from lexigrain.functions.tokens import document_words
-from lexigrain.operators import rows as R
 from lexigrain.operators.codes import describe_codes, hierarchy_closure
 from lexigrain.operators.measure import measured_write
 from lexigrain.operators.ordering import sort_for_output
@@ -50,16 +49,17 @@ def _news_lines(spark, sf_dir):
     SELECT 'n' || doc_id AS id, 'signal' AS dataset, lang AS cat, source, '' AS url,
            '2015-09-01T00:00:00Z' AS published, text AS content FROM documents""")
 def news_json(spark, sf_dir):
-    lines = L.read_lines(spark, land(_news_lines(spark, sf_dir), "news"))
-    return R.route_rows(L.parse_news_json(lines), {"no object": F.col("id").isNull()})[0]
+    return L.parse_news_json(L.read_lines(spark, land(_news_lines(spark, sf_dir), "news")))
 
 
 @query("news_json_rejects", """
-    SELECT 'no object' AS reason, count(*) AS n_lines FROM documents WHERE lang = 'de'""")
+    SELECT reason, record, count(*) AS n_lines FROM documents, (VALUES ('no object', '[1, 2]'),
+        ('no object', ''), ('no known field', '{"id": broken}')) t(reason, record)
+    WHERE lang = 'de' GROUP BY ALL""")
 def news_json_rejects(spark, sf_dir):
     lines = L.read_lines(spark, land(_news_lines(spark, sf_dir), "news"))
-    bad = R.route_rows(L.parse_news_json(lines), {"no object": F.col("id").isNull()})[1]
-    return bad.groupBy("reason").agg(F.count("*").alias("n_lines"))
+    return L.reject_news_json(lines).groupBy("reason", "record").agg(
+        F.count("*").alias("n_lines"))
 
 
 @query("tagged_records", f"""
@@ -67,6 +67,18 @@ def news_json_rejects(spark, sf_dir):
            AS url, '2016-01-01' AS published, source || ' ' || {_ONE_LINE} AS content
     FROM documents WHERE lang <> 'de'""")
 def tagged_records(spark, sf_dir):
+    return L.parse_tagged(_tagged_lines(spark, sf_dir))
+
+
+@query("tagged_rejects", f"""
+    SELECT 'fewer than 9 fields' AS reason, '<a> ' || array_to_string(['t' || doc_id, source,
+        'http://x.org/' || doc_id, source, '', lang, {_ONE_LINE}, '5'], '</a><b>')
+        || '</a></doc>' AS record FROM documents WHERE lang = 'de'""")
+def tagged_rejects(spark, sf_dir):
+    return L.reject_tagged(_tagged_lines(spark, sf_dir))
+
+
+def _tagged_lines(spark, sf_dir):
     fields = (F.concat(F.lit("t"), "doc_id"), F.col("source"),
               F.concat(F.lit("http://x.org/"), "doc_id"), F.col("source"), F.lit(""),
               F.col("lang"), _one_line(), F.lit("5"), F.lit("2016-01-01"))
@@ -75,7 +87,7 @@ def tagged_records(spark, sf_dir):
     # German records lack the last field
     docs = documents(spark, sf_dir).select(
         F.when(F.col("lang") == "de", torn).otherwise(whole).alias("value"))
-    return L.parse_tagged(L.read_lines(spark, land(docs, "tagged")))
+    return L.read_lines(spark, land(docs, "tagged"))
 
 
 @query("crawl_articles", rf"""
@@ -84,6 +96,36 @@ def tagged_records(spark, sf_dir):
            strftime(make_timestamp((1476523800 + doc_id) * 1000000), '%Y-%m-%d %H:%M:%S')
            AS published, {_ONE_LINE} AS content FROM documents WHERE lang <> 'es'""")
 def crawl_articles(spark, sf_dir):
+    return L.parse_crawl(_crawl_lines(spark, sf_dir))
+
+
+@query("crawl_rejects", """
+    SELECT 'fewer than 7 fields' AS reason, '1476523800.0' || chr(9) || source || chr(9)
+        || 'http://f' AS record FROM documents WHERE lang = 'es'""")
+def crawl_rejects(spark, sf_dir):
+    return L.reject_crawl(_crawl_lines(spark, sf_dir))
+
+
+@query("crawl_round_trip", r"""
+    SELECT 'http://x.org/' || doc_id AS id, 'crawl' AS dataset, '' AS cat,
+           ' "' || source || '" ' AS source, 'http://x.org/' || doc_id AS url,
+           strftime(make_timestamp((1476523800 + doc_id) * 1000000), '%Y-%m-%d %H:%M:%S')
+           AS published, CASE WHEN lang = 'de' THEN '' ELSE ' "' ||
+           regexp_replace(text, '[\n\t\r]', ' ', 'g') || '" ' END AS content FROM documents""")
+def crawl_round_trip(spark, sf_dir):
+    """Articles appended to a log and read back, with quotes, blanks and empty fields."""
+    link = F.concat(F.lit("http://x.org/"), "doc_id")
+    content = F.when(F.col("lang") == "de", "").otherwise(
+        F.concat(F.lit(' "'), "text", F.lit('" ')))
+    rows = documents(spark, sf_dir).select(
+        F.lit("1476523800.0"), F.concat(F.lit(' "'), "source", F.lit('" ')), F.lit("http://f"),
+        F.lit("a"), link, F.col("doc_id") + 1476523800, content).toDF(*"abcdefg")
+    path = shared_path(spark, "crawl-log")
+    K.append_tsv(rows, path)
+    return L.parse_crawl(L.read_lines(spark, path))
+
+
+def _crawl_lines(spark, sf_dir):
     # commas become tabs, so the text itself spans fields; Spanish rows are cut short
     text = F.replace(_one_line(), F.lit(" "), F.lit("\t"))
     link = F.concat(F.lit("http://x.org/"), "doc_id")
@@ -92,7 +134,7 @@ def crawl_articles(spark, sf_dir):
     cut = F.concat_ws("\t", F.lit("1476523800.0"), "source", F.lit("http://f"))
     docs = documents(spark, sf_dir).select(
         F.when(F.col("lang") == "es", cut).otherwise(row).alias("value"))
-    return L.parse_crawl(L.read_lines(spark, land(docs, "crawl")))
+    return L.read_lines(spark, land(docs, "crawl"))
 
 
 @query("common_document_table", f"""
@@ -111,13 +153,16 @@ def common_document_table(spark, sf_dir):
 
 
 def _news_items(spark, sf_dir):
-    """XML items over several lines; those of two languages are malformed."""
+    """XML items over several lines; German ones are malformed, Spanish ones unclosed."""
     good = F.concat(F.lit('<newsitem itemid="'), "doc_id", F.lit('">\n<title>'), "source",
                     F.lit("</title>\n<text>"), escape_markup(F.col("text")),
                     F.lit("</text>\n</newsitem>"))
     bad = F.concat(F.lit("<newsitem><title>"), "source", F.lit("</newsitem>"))
-    return documents(spark, sf_dir).select(
-        F.when(F.col("lang").isin("de", "es"), bad).otherwise(good).alias("value"))
+    unclosed = F.concat(F.lit("<newsitem><title>"), "source", F.lit("</title>\n<text>lost</text>"))
+    # one file ends with a record that is whole, so that no unclosed one stands last
+    end = F.when(F.col("lang") == "es", F.array(unclosed, good)).otherwise(
+        F.array(F.when(F.col("lang") == "de", bad).otherwise(good)))
+    return documents(spark, sf_dir).select(F.explode(end).alias("value"))
 
 
 _NEWS_ITEM = "_itemid long, title string, text string"
@@ -130,7 +175,7 @@ def _read_items(spark, path):
 
 @query("xml_records", """
     SELECT doc_id, source AS title, trim(text, E' \\t\\n\\r') AS text FROM documents
-    WHERE lang NOT IN ('de', 'es')""")
+    WHERE lang <> 'de'""")
 def xml_records(spark, sf_dir):
     records = _read_items(spark, land(_news_items(spark, sf_dir), "newsitems"))
     good = X.good_records(records)
@@ -139,15 +184,25 @@ def xml_records(spark, sf_dir):
 
 
 @query("xml_record_counts", """
-    SELECT count(*) FILTER (lang NOT IN ('de', 'es')) AS good,
+    SELECT count(*) FILTER (lang <> 'de') AS good,
            count(*) FILTER (lang IN ('de', 'es')) AS corrupt FROM documents""")
 def xml_record_counts(spark, sf_dir):
     return X.record_counts(_read_items(spark, land(_news_items(spark, sf_dir), "newsitems")))
 
 
+@query("xml_rejects", """
+    SELECT 'malformed record' AS reason, CASE lang WHEN 'de' THEN '<newsitem><title>' || source
+        || '</newsitem>' ELSE '<newsitem><title>' || source || '</title> <text>lost</text>' END
+        AS record, count(*) AS n_records FROM documents WHERE lang IN ('de', 'es') GROUP BY ALL""")
+def xml_rejects(spark, sf_dir):
+    bad = X.rejected_records(_read_items(spark, land(_news_items(spark, sf_dir), "newsitems")))
+    return bad.groupBy("reason", F.trim(F.regexp_replace("record", r"\s+", " ")).alias(
+        "record")).agg(F.count("*").alias("n_records"))
+
+
 @query("compressed_inputs", """
-    SELECT doc_id, source FROM documents WHERE lang NOT IN ('de', 'es')
-    UNION ALL SELECT doc_id, source FROM documents WHERE lang NOT IN ('de', 'es')""")
+    SELECT doc_id, source FROM documents WHERE lang <> 'de'
+    UNION ALL SELECT doc_id, source FROM documents WHERE lang <> 'de'""")
 def compressed_inputs(spark, sf_dir):
     """The same items as gz and bz2 folders, read as one record set."""
     items = _news_items(spark, sf_dir)
@@ -157,9 +212,11 @@ def compressed_inputs(spark, sf_dir):
 
 
 @query("whole_files", """
-    SELECT sum(length(url))::BIGINT AS n_chars, count(*) AS n_lines FROM pages""")
+    SELECT sum(length(html))::BIGINT AS n_chars, count(*) AS n_lines FROM pages""")
 def whole_files(spark, sf_dir):
-    path = land(table(spark, sf_dir, "pages"), "urls", column="url")
+    one_line = table(spark, sf_dir, "pages").select(
+        F.translate("html", "\n\r", "  ").alias("html"))
+    path = land(one_line, "html", column="html")
     files = L.read_lines(spark, path, whole=True)
     text = files.select(F.explode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("line"))
     return text.agg(F.sum(F.length("line")).alias("n_chars"), F.count("*").alias("n_lines"))
@@ -167,19 +224,34 @@ def whole_files(spark, sf_dir):
 
 @query("doc_records", rf"""
     SELECT 'http://enc/wiki?curid=' || doc_id AS url, doc_id::VARCHAR AS id, source AS title,
-           1::BIGINT AS n_links, source || '  ' || trim(regexp_replace({_ONE_LINE},
+           1::BIGINT AS n_links, '[{{"href":"/' || lang || '","text":"' || lang || '"}}]' AS links,
+           source || '  ' || trim(regexp_replace({_ONE_LINE},
            '[^\x00-\x7F\t]+', ' ', 'g')) || ' see ' || lang AS text FROM documents""")
 def doc_records(spark, sf_dir):
     """``<doc>`` records written, read back and parsed."""
+    docs = L.read_doc_records(spark, _land_docs(spark, sf_dir))
+    return docs.select("url", "id", "title", F.size("links").cast("long").alias("n_links"),
+                       F.to_json("links").alias("links"), "text")
+
+
+@query("doc_record_rejects", """
+    SELECT 'no opening tag' AS reason, count(*) AS n_records FROM documents WHERE lang = 'de'""")
+def doc_record_rejects(spark, sf_dir):
+    return L.read_doc_rejects(spark, _land_docs(spark, sf_dir)).groupBy("reason").agg(
+        F.count("*").alias("n_records"))
+
+
+def _land_docs(spark, sf_dir):
+    """Records with a link each; after a German one stands a body without its tag."""
     body = F.concat(F.trim(F.regexp_replace(_one_line(), r"[^\x00-\x7F\t]+", " ")),
                     F.lit(' see <a href="/'), "lang", F.lit('">'), "lang", F.lit("</a>"))
     url = F.concat(F.lit("http://enc/wiki?curid="), F.col("doc_id").cast("string"))
-    records = documents(spark, sf_dir).select(
-        K.doc_record(F.col("doc_id"), url, F.col("source"), body).alias("record"))
+    record = K.doc_record(F.col("doc_id"), url, F.col("source"), body)
+    torn = F.when(F.col("lang") == "de", F.concat(
+        record, F.lit("torn\n</doc>\n"))).otherwise(record)
     path = shared_path(spark, "docs")
-    K.write_doc_records(records, path)
-    docs = L.read_doc_records(spark, path)
-    return docs.select("url", "id", "title", F.size("links").cast("long").alias("n_links"), "text")
+    K.write_doc_records(documents(spark, sf_dir).select(torn.alias("record")), path)
+    return path
 
 
 @query("doc_record_text", """
@@ -197,14 +269,25 @@ def doc_record_text(spark, sf_dir):
         {S.words(_ONE_LINE, tags=False, lower_first=False)}, ' ') AS words
     FROM documents WHERE lang <> 'fr'""")
 def encyclopedia_token_rows(spark, sf_dir):
+    rows = L.parse_wiki_rows(_wiki_lines(spark, sf_dir))
+    return tokenize_encyclopedia(rows).select(
+        "id", "title", F.array_join("words", " ").alias("words"))
+
+
+@query("encyclopedia_row_rejects", """
+    SELECT 'more than 5 fields' AS reason, count(*) AS n_lines FROM documents WHERE lang = 'fr'""")
+def encyclopedia_row_rejects(spark, sf_dir):
+    return L.reject_wiki_rows(_wiki_lines(spark, sf_dir)).groupBy("reason").agg(
+        F.count("*").alias("n_lines"))
+
+
+def _wiki_lines(spark, sf_dir):
     row = F.concat_ws("\t", F.lit("u"), F.col("doc_id").cast("string"), "source", F.lit("set()"),
                       _one_line())
     # French rows have one field too many
     docs = documents(spark, sf_dir).select(F.when(
         F.col("lang") == "fr", F.concat(row, F.lit("\tx"))).otherwise(row).alias("value"))
-    rows = L.parse_wiki_rows(L.read_lines(spark, land(docs, "wiki-rows")))
-    return tokenize_encyclopedia(rows).select(
-        "id", "title", F.array_join("words", " ").alias("words"))
+    return L.read_lines(spark, land(docs, "wiki-rows"))
 
 
 @query("feed_catalogue", """
@@ -270,7 +353,7 @@ def _tree_lines(spark, sf_dir):
         F.lit("parent: "), p, F.lit("    child: "), c, F.lit("   child-description: "), d)
     regions = table(spark, sf_dir, "region").select(edge(
         F.lit("Root"), F.concat(F.lit("R"), "r_regionkey"), F.col("r_name")).alias("value"))
-    root = table(spark, sf_dir, "region").limit(1).select(edge(
+    root = spark.range(1).select(edge(
         F.lit("None"), F.lit("Root"), F.lit("No Description")).alias("value"))
     nations = table(spark, sf_dir, "nation").select(edge(
         F.concat(F.lit("R"), "n_regionkey"), F.concat(F.lit("N"), "n_nationkey"),
@@ -353,18 +436,24 @@ def report_file(spark, sf_dir):
 
 
 @query("size_bounded_files", """
-    SELECT count(*) AS n_rows, sum(c_custkey)::BIGINT AS key_sum, true AS several_files
-    FROM customer""")
+    WITH s AS (SELECT doc_id, strlen(doc_id || ' ' || regexp_replace(text, '[\\n\\t\\r]', ' ', 'g'))
+        + 1 AS b FROM documents)
+    SELECT count(*) AS n_rows, sum(doc_id)::BIGINT AS key_sum, sum(b)::BIGINT AS n_bytes,
+        max(b) FILTER (b > 60000) AS above_bound, true AS within_bound FROM s""")
 def size_bounded_files(spark, sf_dir):
+    """Files of at most 60,000 bytes; only a row that is larger alone exceeds this."""
     path = shared_path(spark, "bounded")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    total = rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()[0]
-    K.write_bounded(rows, path, max_bytes=total // 4)
-    back = spark.read.schema("c_custkey long, c_name string").csv(path, sep="\t")
-    return back.withColumn("_file", F.input_file_name()).groupBy("_file").agg(
-        F.count("*").alias("n"), F.sum("c_custkey").alias("k")).agg(
-        F.sum("n").alias("n_rows"), F.sum("k").alias("key_sum"),
-        (F.count("*") >= 4).alias("several_files"))
+    K.write_bounded(documents(spark, sf_dir).select("doc_id", "text"), path, max_bytes=60_000)
+    lines = spark.read.text(path).select(
+        F.input_file_name().alias("file"), (F.octet_length("value") + 1).cast("long").alias("b"),
+        F.split("value", "\t")[0].cast("long").alias("doc_id"))
+    files = lines.groupBy("file").agg(F.count("*").alias("n"), F.sum("doc_id").alias("k"),
+                                      F.sum("b").alias("b"))
+    large = F.col("b") > 60_000
+    return files.agg(
+        F.sum("n").alias("n_rows"), F.sum("k").alias("key_sum"), F.sum("b").alias("n_bytes"),
+        F.max(F.when(large, F.col("b"))).alias("above_bound"),
+        F.bool_and(~large | (F.col("n") == 1)).alias("within_bound"))
 
 
 @query("ordered_output", "SELECT doc_id, n_chars FROM documents")
@@ -388,14 +477,24 @@ def feed_items(spark, sf_dir):
         "entry_id", "link", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
+@query("feed_item_rejects", """
+    SELECT 'malformed record' AS reason, count(*) AS n_records FROM events
+    WHERE event_type = 'click'""")
+def feed_item_rejects(spark, sf_dir):
+    return X.read_feed_rejects(spark, _land_items(spark, sf_dir)).groupBy("reason").agg(
+        F.count("*").alias("n_records"))
+
+
 def _land_items(spark, sf_dir):
+    """One item per event; an unclosed one stands before that of a click."""
     guid = F.when(F.col("event_type") != "click", F.concat(
         F.lit("<guid>e"), "event_id", F.lit("</guid>"))).otherwise("")
     date = F.when(F.col("event_type") != "view", F.concat(
         F.lit("<pubDate>"), F.date_format("ts", "E, dd MMM yyyy HH:mm:ss"),
         F.lit(" GMT</pubDate>"))).otherwise("")
+    unclosed = F.when(F.col("event_type") == "click", "<item><title>u</title>").otherwise("")
     items = table(spark, sf_dir, "events").select(F.concat(
-        F.lit("<item>"), guid, F.lit("<link>http://x.org/"), "event_id",
+        unclosed, F.lit("<item>"), guid, F.lit("<link>http://x.org/"), "event_id",
         F.lit("</link><title>t</title>"), date, F.lit("</item>")).alias("value"))
     return land(items, "items")
 

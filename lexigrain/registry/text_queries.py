@@ -220,7 +220,15 @@ def raw_page_text(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", html.raw_text(F.col("html")).alias("text"))
 
 
-_FIRST_LINE = "split_part(text, chr(10), 1)"
+# every line of a text stands for a title
+_LINES = """l AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"""
+
+
+def _lines(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", "source", "lang", F.posexplode(
+        F.split("text", "\n", -1)).alias("pos", "line")).withColumn(
+        "pos", F.col("pos").cast("long"))
 
 
 def _ucfirst(c: str) -> str:
@@ -228,15 +236,15 @@ def _ucfirst(c: str) -> str:
 
 
 @query("normalize_title", rf"""
-    WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(
-                 '  ' || source || '_x: ' || {_FIRST_LINE} || '_', '^[ _]+|[ _]+$', '', 'g'),
+    WITH {_LINES}, t AS (SELECT doc_id, pos, regexp_replace(regexp_replace(
+                 '  ' || source || '_x: ' || line || '_', '^[ _]+|[ _]+$', '', 'g'),
                  '[\s_]+', ' ', 'g') AS own,
                  regexp_replace(regexp_replace(
-                 'category:  ' || {_FIRST_LINE}, '^[ _]+|[ _]+$', '', 'g'),
+                 'category:  ' || line, '^[ _]+|[ _]+$', '', 'g'),
                  '[\s_]+', ' ', 'g') AS known,
-                 regexp_replace(regexp_replace({_FIRST_LINE}, '^[ _]+|[ _]+$', '', 'g'),
-                 '[\s_]+', ' ', 'g') AS plain FROM documents)
-    SELECT doc_id,
+                 regexp_replace(regexp_replace(line, '^[ _]+|[ _]+$', '', 'g'),
+                 '[\s_]+', ' ', 'g') AS plain FROM l)
+    SELECT doc_id, pos,
            {_ucfirst("split_part(own, ':', 1)")} || ': '
              || {_ucfirst("substr(own, strpos(own, ':') + 2)")} AS own,
            'Category:' || {_ucfirst("substr(known, 11)")} AS known,
@@ -249,13 +257,13 @@ def _ucfirst(c: str) -> str:
            ELSE {_ucfirst('plain')} END AS plain
     FROM t""")
 def normalize_title(spark, sf_dir):
-    first = F.substring_index("text", "\n", 1)
-    return documents(spark, sf_dir).select(
-        "doc_id",
-        text.normalize_title(F.concat(F.lit("  "), "source", F.lit("_x: "), first, F.lit("_")),
+    line = F.col("line")
+    return _lines(spark, sf_dir).select(
+        "doc_id", "pos",
+        text.normalize_title(F.concat(F.lit("  "), "source", F.lit("_x: "), line, F.lit("_")),
                              NAMESPACES).alias("own"),
-        text.normalize_title(F.concat(F.lit("category:  "), first), NAMESPACES).alias("known"),
-        text.normalize_title(first, NAMESPACES).alias("plain"))
+        text.normalize_title(F.concat(F.lit("category:  "), line), NAMESPACES).alias("known"),
+        text.normalize_title(line, NAMESPACES).alias("plain"))
 
 
 @query("first_letter_case", f"""
@@ -268,8 +276,8 @@ def first_letter_case(spark, sf_dir):
 
 
 @query("template_titles", rf"""
-    WITH t AS (SELECT doc_id, source, lang, {_FIRST_LINE} AS line FROM documents)
-    SELECT doc_id, 'Template:' || {_ucfirst('source')} AS plain,
+    WITH {_LINES}
+    SELECT doc_id, pos, 'Template:' || {_ucfirst('source')} AS plain,
            'Category:' || source AS known, {_ucfirst('source')} AS main,
            'Template:' || {_ucfirst("(source || ':' || lang)")} AS unknown,
            CASE WHEN line = '' THEN ''
@@ -277,17 +285,17 @@ def first_letter_case(spark, sf_dir):
                 WHEN contains(line, ':') AND {_ucfirst("split_part(line, ':', 1)")} IN {_NS_SQL}
                 THEN {_ucfirst("split_part(line, ':', 1)")} || substr(line, strpos(line, ':'))
                 ELSE 'Template:' || {_ucfirst('line')} END AS free
-    FROM t""")
+    FROM l""")
 def template_titles(spark, sf_dir):
     def qualified(column):
         return text.qualify_template_title(column, NAMESPACES)
 
-    return documents(spark, sf_dir).select(
-        "doc_id", qualified(F.col("source")).alias("plain"),
+    return _lines(spark, sf_dir).select(
+        "doc_id", "pos", qualified(F.col("source")).alias("plain"),
         qualified(F.concat(F.lit("category:"), "source")).alias("known"),
         qualified(F.concat(F.lit(":"), "source")).alias("main"),
         qualified(F.concat_ws(":", "source", "lang")).alias("unknown"),
-        qualified(F.substring_index("text", "\n", 1)).alias("free"))
+        qualified(F.col("line")).alias("free"))
 
 
 @query("escape_markup", """

@@ -1,9 +1,10 @@
 """XML sources: news corpora, encyclopedia dumps, landed feed files.
 
 Records are cut at their closing tag by the text reader, which splits plain and
-bz2 files over many tasks, and each one is parsed on its own with ``from_xml``. So
-one huge file feeds the whole cluster, files glued together need no common root,
-and a malformed record spoils only itself.
+bz2 files over many tasks, then before every opening tag, and each one is parsed on
+its own with ``from_xml``. So one huge file feeds the whole cluster, files glued
+together need no common root, and a malformed or unclosed record spoils only itself.
+A closing tag inside CDATA ends its record, which then counts as corrupt.
 """
 
 from __future__ import annotations
@@ -22,17 +23,22 @@ CORRUPT = "_corrupt_record"
 def parse_xml_records(chunks: DataFrame, row_tag: str, schema: T.StructType) -> DataFrame:
     """Parse chunks that end where ``</row_tag>`` stood; other columns are kept.
 
-    A malformed record has its text in ``_corrupt_record``. Chunks without an
-    opening tag (what follows the last record) are left out.
+    A chunk is cut before every opening tag: what stands before the last one was
+    never closed. Unclosed and malformed records have their text in
+    ``_corrupt_record``. Text without an opening tag (what stands around the
+    records) is left out.
     """
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
                "rowTag": row_tag, "ignoreSurroundingSpaces": "false"}
     others = [c for c in chunks.columns if c != "value"]
     opening = rf"<{row_tag}[\s>]"
-    records = chunks.filter(F.col("value").rlike(opening))
-    xml = F.concat(F.regexp_extract("value", f"(?s)({opening}.*)$", 1), F.lit(f"</{row_tag}>"))
-    return with_once(records, "_r", F.from_xml(xml, full, options)).select(*others, "_r.*")
+    started = F.filter(F.split("value", f"(?={opening})", -1), lambda p: p.rlike(f"^{opening}"))
+    pieces = with_once(chunks.filter(F.col("value").rlike(opening)), "_pieces", started)
+    closed = F.transform("_pieces", lambda p, i: F.when(
+        i == F.size("_pieces") - 1, F.concat(p, F.lit(f"</{row_tag}>"))).otherwise(p))
+    records = pieces.select(*others, F.explode_outer(closed).alias("_xml"))
+    return with_once(records, "_r", F.from_xml("_xml", full, options)).select(*others, "_r.*")
 
 
 def read_xml_records(spark: SparkSession, path: str | list[str], row_tag: str,
@@ -50,38 +56,57 @@ def good_records(records: DataFrame) -> DataFrame:
     return records.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
+def rejected_records(records: DataFrame) -> DataFrame:
+    """(record, reason) of unclosed and malformed records."""
+    return records.filter(F.col(CORRUPT).isNotNull()).select(
+        F.col(CORRUPT).alias("record"), F.lit("malformed record").alias("reason"))
+
+
 def record_counts(records: DataFrame) -> DataFrame:
     """How many records were read well and how many are corrupt."""
     corrupt = F.col(CORRUPT).isNotNull()
     return records.agg(F.count_if(~corrupt).alias("good"), F.count_if(corrupt).alias("corrupt"))
 
 
+def _dump_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    chunks = spark.read.text(path, lineSep="</page>")
+    place = F.struct(F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return parse_xml_records(chunks.select("value", place.alias("pos")), "page",
+                             schemas.DUMP_PAGE)
+
+
 def read_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Encyclopedia pages (id, title, ns, text, redirect, is_redirect, pos).
 
     ``pos`` is the place in the files: file, block and row within the block.
     """
-    chunks = spark.read.text(path, lineSep="</page>")
-    place = F.struct(F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("row"))
-    pages = parse_xml_records(chunks.select("value", place.alias("pos")), "page",
-                              schemas.DUMP_PAGE)
-    return dump_pages(good_records(pages))
+    return dump_pages(good_records(_dump_records(spark, path)))
+
+
+def read_dump_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(record, reason) of the pages that ``read_dump`` cannot read."""
+    return rejected_records(_dump_records(spark, path))
 
 
 def read_site_info(spark: SparkSession, path: str) -> DataFrame:
-    """(url_base, ns_key, ns_name) of a dump's header, found line by line."""
-    lines = spark.read.text(path)
-    base = lines.filter(F.col("value").contains("<base>")).agg(F.min(
-        F.regexp_extract("value", "<base>(.*)/[^/]*</base>", 1))).scalar()
-    spaces = lines.filter(F.col("value").contains("<namespace "))
-    return spaces.select(
-        base.alias("url_base"),
-        F.regexp_extract("value", r'<namespace [^>]*\bkey="(-?\d+)"', 1).cast("int")
-        .alias("ns_key"),
-        F.regexp_extract("value", r"<namespace [^>]*[^/]>([^<]*)</namespace>", 1)
-        .alias("ns_name"))
+    """(url_base, ns_key, ns_name) of a dump's header.
+
+    ``path`` is the file that starts the dump. The text reader cuts at the end of the
+    header, and only its first block is searched.
+    """
+    header = spark.read.text(path, lineSep="</siteinfo>").filter(
+        (F.col("_metadata.file_block_start") == 0) & F.col("value").contains("<siteinfo"))
+    space = r'<namespace [^>]*?\bkey="(-?\d+)"[^>]*?(?:/>|>([^<]*)</namespace>)'
+    found = header.select(
+        F.regexp_extract("value", "<base>(.*)/[^/]*</base>", 1).alias("url_base"),
+        F.regexp_extract_all("value", F.lit(space), F.lit(1)).alias("keys"),
+        F.regexp_extract_all("value", F.lit(space), F.lit(2)).alias("names"))
+    return found.select("url_base", F.inline(F.transform(
+        F.arrays_zip("keys", "names"), lambda s: F.struct(
+            s["keys"].cast("int").alias("ns_key"),
+            F.coalesce(s["names"], F.lit("")).alias("ns_name")))))
 
 
 def entry_columns(items: DataFrame) -> DataFrame:
@@ -99,6 +124,11 @@ def publication_time(text: Column) -> Column:
 
 
 def read_feed_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Entries of landed feed files; malformed items are left out."""
+    """Entries of landed feed files; ``read_feed_rejects`` has the malformed items."""
     return entry_columns(good_records(
         read_xml_records(spark, path, "item", schemas.RSS_ITEM)))
+
+
+def read_feed_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(record, reason) of the items that are no entries."""
+    return rejected_records(read_xml_records(spark, path, "item", schemas.RSS_ITEM))

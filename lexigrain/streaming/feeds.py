@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +18,15 @@ LATENESS = "15 minutes"
 
 def stream_feed_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Entries of feed files as they land."""
+    return entry_columns(good_records(stream_feed_records(spark, path, max_files)))
+
+
+def stream_feed_records(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """Items as they land; ``start_routed`` parts good ones from those with a
+    ``_corrupt_record``."""
     chunks = (spark.readStream.option("maxFilesPerTrigger", max_files)
               .text(path, lineSep="</item>"))
-    return entry_columns(good_records(parse_xml_records(chunks, "item", schemas.RSS_ITEM)))
+    return parse_xml_records(chunks, "item", schemas.RSS_ITEM)
 
 
 def stream_parquet(spark: SparkSession, path: str, schema: T.StructType,
@@ -66,15 +73,18 @@ def start_routed(df: DataFrame, problems: dict[str, Column], good_path: str,
     """Write good rows and rejected rows of each micro-batch to their own tables.
 
     The batch id is a partition column and each batch overwrites its own
-    partitions, so a batch replayed after a failure is not written twice.
+    partitions, so a batch replayed after a failure is not written twice. A batch is
+    kept while both tables are written, so its source is read once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, rejected = route_rows(batch, problems)
+        held = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        good, rejected = route_rows(held, problems)
         for rows, path in ((good, good_path), (rejected, rejected_path)):
             (rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
              .parquet(path))
+        held.unpersist()
 
     return (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
