@@ -264,8 +264,9 @@ def tidy_whitespace(text: Column) -> Column:
     return F.replace(F.replace(out, F.lit(",,"), F.lit(",")), F.lit(",."), F.lit("."))
 
 
-def light_clean(text: Column) -> Column:
-    """Approximate all-in-one cleaner: up to three passes over the flat rules."""
+def light_clean(text: Column, passes: int | None = 3) -> Column:
+    """Approximate all-in-one cleaner: passes over the flat rules until nothing changes,
+    ``passes`` at most (None: as many as the text has characters)."""
 
     def once(t: Column) -> Column:
         out = drop_categories(raw_tags_dropped(drop_inline_blocks(drop_comments(t))))
@@ -277,7 +278,8 @@ def light_clean(text: Column) -> Column:
         return _replace(t, r"(?s)<.*?>")
 
     start = file_captions(drop_templates(drop_language_links(decode_entities(text)), "cut"))
-    return F.translate(until_stable(start, F.lit(3), once), "[]", "")
+    return F.translate(until_stable(
+        start, F.length(start) if passes is None else F.lit(passes), once), "[]", "")
 
 
 def clean_markup(text: Column, *, keep_links: bool = False, escape: bool = False,

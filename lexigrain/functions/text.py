@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
 from html.entities import name2codepoint
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from lexigrain.functions.arrays import let
 
 
-@F.arrow_udf(StringType())
-def _strip_marks(values: pa.Array) -> pa.Array:
-    decomposed = pc.utf8_normalize(values, "NFD")
-    return pc.utf8_normalize(pc.replace_substring_regex(decomposed, r"\p{Mn}", ""), "NFC")
+@cache
+def _unmarked() -> tuple[dict[str, str], dict[str, str]]:
+    """What characters become without combining marks: one character or none, and several."""
+    single, several = {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        category = unicodedata.category(char)
+        if category == "Mn":
+            single[char] = ""
+        elif unicodedata.decomposition(char) and category != "Cs":
+            bare = "".join(c for c in unicodedata.normalize("NFD", char)
+                           if unicodedata.category(c) != "Mn")
+            bare = unicodedata.normalize("NFC", bare)
+            if bare != char:
+                (single if len(bare) < 2 else several)[char] = bare
+    return single, several
 
 
 def remove_accents(text: Column) -> Column:
-    """Drop combining marks. Spark has no Unicode normaliser, so Arrow's runs on batches."""
-    return _strip_marks(text)
+    """Drop combining marks, precomposed or not.
+
+    The table of characters comes from the Unicode database when the plan is made.
+    Characters that only other normal forms would join (Korean letters) stay apart.
+    """
+    single, several = _unmarked()
+    changed = sorted(single, key=lambda c: single[c] == "")  # those without a target last
+    out = F.translate(text, "".join(changed), "".join(single[c] for c in changed))
+    for char, bare in several.items():
+        out = F.replace(out, F.lit(char), F.lit(bare))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
 
 
 def to_unicode(data: Column, errors: str = "strict") -> Column:

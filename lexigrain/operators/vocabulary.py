@@ -73,23 +73,19 @@ def tf_idf(docs: DataFrame, key: str, words: str = "words", min_df: float = 1,
     """(key, term, tf, tfidf) over the vocabulary.
 
     The counts are read twice (vocabulary, then weights), so they are kept on the
-    executors. A sized vocabulary is bounded by its size and broadcast. An unsized
-    one is checkpointed and measured: broadcast if small, else joined by shuffle with
-    the most frequent terms taken out of the shuffle keys.
+    executors. The vocabulary is checkpointed and measured: broadcast if small, else
+    joined by shuffle with the most frequent terms taken out of the shuffle keys.
     """
     bags = document_bags(docs, key, words=words).persist(StorageLevel.MEMORY_AND_DISK)
     total = bags.agg(F.count("*")).scalar()
     counts = inline_once(bags, F.col("bag"), "term", key)
     terms = _choose(bag_frequencies(bags), bags, min_df, vocab_size).select("term", "df")
-    if vocab_size is not None:
+    ensure_checkpoint_dir(docs.sparkSession)
+    terms = terms.checkpoint()
+    if fits_broadcast(terms):
         joined = counts.join(F.broadcast(terms), "term")
     else:
-        ensure_checkpoint_dir(docs.sparkSession)
-        terms = terms.checkpoint()
-        if fits_broadcast(terms):
-            joined = counts.join(F.broadcast(terms), "term")
-        else:
-            joined = frequent_split_lookup(counts, terms, "term", "df", [key])
+        joined = frequent_split_lookup(counts, terms, "term", "df", [key])
     weight = F.col("tf") * idf_weight(total, F.col("df"))
     return joined.select(key, "term", "tf", weight.alias("tfidf"))
 

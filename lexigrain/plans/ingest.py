@@ -12,7 +12,7 @@ from lexigrain.functions.lines import compact_lines
 from lexigrain.functions.markup import clean_markup
 from lexigrain.functions.text import page_url
 from lexigrain.functions.tokens import document_words, encyclopedia_words, feed_words
-from lexigrain.operators.joins import last_per_key
+from lexigrain.operators.joins import last_per_key, lookup
 from lexigrain.operators.once import with_once
 from lexigrain.operators.pages import content_pages, split_templates
 from lexigrain.operators.rows import RUN_SECONDS, recent, route_rows
@@ -55,13 +55,20 @@ def run_feeds(entries: DataFrame, landed_pages: DataFrame, run_id: int,
     """One feed run: (articles, errors) from feed entries and landed raw pages.
 
     Entries need an id and a date within the window. An entry whose page did not
-    land, or whose page gives no text, is an error row.
+    land, or whose page gives no text, is an error row. Pages that no entry asks for go
+    before any shuffle; of several copies of a page the latest counts, by a column
+    ``landed`` (by the text of the page where there is no such column).
     """
     due = entries.filter(
         F.col("article_id").isNotNull()
         & recent(F.lit(run_id), F.unix_timestamp("published"), window))
-    pages = last_per_key(landed_pages.select(F.col("url").alias("article_link"), "html"),
-                         ["article_link"], F.col("html"))  # copies of one page shrink to one
+    time = [F.col("landed")] if "landed" in landed_pages.columns else []
+    asked = lookup(landed_pages.select(F.col("url").alias("article_link"), "html",
+                                       *[t.alias("_landed") for t in time]),
+                   due.select("article_link").distinct(), ["article_link"], ["html"],
+                   how="left_semi")
+    order = F.struct("_landed", "html") if time else F.col("html")
+    pages = last_per_key(asked, ["article_link"], order).select("article_link", "html")
     joined = due.join(pages, "article_link", "left")
     words = with_once(joined, "text", F.array_join(feed_words(visible_text(F.col("html"))), " "))
     good, bad = route_rows(words, {

@@ -90,9 +90,18 @@ def quarantined_rows(spark, sf_dir):
     return _routed(spark, sf_dir)[1].select("doc_id", "reason")
 
 
-@query("bernoulli_sample")
+@query("bernoulli_sample", """
+    SELECT count(*) AS n_docs, 0::BIGINT AS not_given, true AS near_share FROM documents""")
 def bernoulli_sample(spark, sf_dir):
-    return R.bernoulli_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), 0.25)
+    """Draws differ by partitioning; each row comes once and about a quarter comes at all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    drawn = R.bernoulli_sample(docs, 0.25).groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
+    both = docs.join(drawn, ["doc_id", "lang"], "full")
+    share = F.sum("n") / F.count("*")
+    return both.agg(
+        F.count("*").alias("n_docs"), F.count_if(F.col("n") > 1).alias("not_given"),
+        # five standard deviations of a draw of a quarter
+        (F.abs(share - 0.25) < 5 * F.sqrt(0.1875 / F.count("*"))).alias("near_share"))
 
 
 @query("hash_sample", """
@@ -275,7 +284,8 @@ def described_codes(spark, sf_dir):
 @query("repartitioned_by_column", """
     SELECT source, count(*) AS n_docs FROM documents GROUP BY source""")
 def repartitioned_by_column(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source"),
-                  partitions=16).persist()
-    out = docs.repartition("source").groupBy("source").agg(F.count("*").alias("n_docs"))
-    return out.coalesce(1)
+    """Rows are rebalanced by source: a source with most rows is split over tasks, and
+    counts are combined before the second shuffle."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    dealt = docs.hint("rebalance", "source")
+    return dealt.groupBy("source").agg(F.count("*").alias("n_docs"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import IDF, CountVectorizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions.stopwords import remove_stop_words
 from lexigrain.functions.tokens import alphabetic_words, document_words
 from lexigrain.operators import vocabulary as V
+from lexigrain.operators.joins import lookup
 from lexigrain.operators.once import with_once
 from lexigrain.operators.rows import is_article_title, long_enough
 from lexigrain.registry import sql as S
@@ -114,10 +114,18 @@ def ml_tf_idf_vectors(spark, sf_dir):
 
 
 def _decode(model, vectors, column, value):
-    """(doc_id, term, value) of the non-zero vector entries."""
-    terms = F.array(*[F.lit(t) for t in model.vocabulary])
-    entries = vectors.select("doc_id", F.posexplode(vector_to_array(column)).alias("i", value))
-    return entries.filter(F.col(value) > 0).select("doc_id", F.get(terms, "i").alias("term"), value)
+    """(doc_id, term, value) of the non-zero vector entries.
+
+    The vectors are sparse: their indices and values become rows, never the whole
+    width. The vocabulary is a table; a lookup measures it.
+    """
+    spark = vectors.sparkSession
+    terms = spark.createDataFrame(list(enumerate(model.vocabulary)), "i int, term string")
+    entries = vectors.select("doc_id", F.unwrap_udt(column).alias("_v")).select(
+        "doc_id", F.inline(F.arrays_zip(F.col("_v.indices").alias("i"),
+                                        F.col("_v.values").alias(value))))
+    return lookup(entries.filter(F.col(value) > 0), terms, ["i"], ["doc_id"], how="inner").select(
+        "doc_id", "term", value)
 
 
 @query("vocabulary_pruned", rf"""
