@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.operators.joins import fits_broadcast, lookup, salted_lookup
+from lexigrain.operators.joins import lookup
 from lexigrain.session import ensure_checkpoint_dir
 
 
@@ -20,28 +20,25 @@ def hierarchy_closure(edges: DataFrame, parent: str = "parent", child: str = "ch
                       root: str = "None") -> DataFrame:
     """(ancestor, descendant, distance) for every pair on a path of a code tree.
 
-    Paths climb one level per round until none is left, however deep the tree is. A
-    code that turns up among its own ancestors is an error. The edge table is unique on
-    the child, so each round is a lookup: broadcast if the edges measure small, else
-    the pairs of one ancestor are spread over many tasks.
+    Paths double: those of the length reached so far are joined with all that are known,
+    so a tree of any depth takes as many rounds as its depth has binary digits. A code
+    has one parent; one that turns up among its own ancestors is an error.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    up = edges.filter(F.col(parent) != root).select(
-        F.col(child).alias("ancestor"), F.col(parent).alias("next")).checkpoint()
-    level = up.select(F.col("next").alias("ancestor"), F.col("ancestor").alias("descendant"),
-                      F.lit(1).alias("distance"))
-    closure = level
-    small = fits_broadcast(up)
+    closure = edges.filter(F.col(parent) != root).select(
+        F.col(parent).alias("ancestor"), F.col(child).alias("descendant"),
+        F.lit(1).alias("distance")).checkpoint()
+    reached = 1
     while True:
-        climbed = (level.join(F.broadcast(up), "ancestor") if small else
-                   salted_lookup(level, up, ["ancestor"], ["descendant"], how="inner"))
-        level = climbed.select(
-            F.col("next").alias("ancestor"), "descendant",
-            (F.col("distance") + 1).alias("distance")).checkpoint()
-        found = level.agg(F.count("*"), F.min(F.when(
+        longest = closure.filter(F.col("distance") == reached).select(
+            F.col("ancestor").alias("_middle"), F.col("descendant").alias("_end"))
+        grown = closure.join(longest, F.col("descendant") == F.col("_middle")).select(
+            "ancestor", F.col("_end").alias("descendant"),
+            (F.col("distance") + reached).alias("distance")).checkpoint()
+        found = grown.agg(F.count("*"), F.min(F.when(
             F.col("ancestor") == F.col("descendant"), F.col("descendant")))).head()
         if found[1] is not None:
             raise ValueError(f"the hierarchy has a cycle through {found[1]}")
         if not found[0]:
             return closure
-        closure = closure.unionByName(level)
+        closure, reached = closure.unionByName(grown), 2 * reached

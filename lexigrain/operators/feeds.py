@@ -9,6 +9,9 @@ from lexigrain.operators.joins import fits_broadcast
 from lexigrain.operators.rows import RUN_SECONDS
 
 
+PARTS = 64  # of a catalogue that is too large for one array
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since the epoch with fraction."""
     return F.unix_micros(ts.cast("timestamp")).cast("double") / 1e6
@@ -27,20 +30,22 @@ def run_statistics(entries: DataFrame, catalogue: DataFrame, run: str = "run_id"
     Failed articles count too, as they take their time; ``failed`` adds their number.
 
     The catalogue is a hand-kept list: after a check of its size it becomes one array
-    that every run row explodes (past the check, the runs are the array instead).
-    Feeds listed twice count twice, as they are run twice.
+    that every run row explodes. Past the check its feeds are dealt into parts, and
+    each run meets each part. Feeds listed twice count twice, as they are run twice.
     """
     measures = {"article_count": F.count("*"), "article_avg": F.avg(latency)}
     if failed is not None:
         measures["failed_count"] = F.count_if(failed)
     stats = entries.groupBy(run, feed).agg(*[m.alias(name) for name, m in measures.items()])
-    runs = entries.select(run).distinct()
+    runs = stats.select(run).distinct()
     if fits_broadcast(catalogue.select(feed)):
         names = catalogue.agg(F.array_sort(F.collect_list(feed))).scalar()
         grid = runs.withColumn(feed, F.explode(names))
     else:
-        grid = catalogue.select(feed).withColumn(
-            run, F.explode(runs.agg(F.collect_list(run)).scalar()))
+        parts = F.sequence(F.lit(0), F.lit(PARTS - 1))
+        dealt = catalogue.select(feed, F.pmod(F.xxhash64(feed), F.lit(PARTS)).cast("int").alias(
+            "_part"))
+        grid = runs.withColumn("_part", F.explode(parts)).join(dealt, "_part").drop("_part")
     return grid.join(stats, [run, feed], "left").select(
         run, feed, *[F.coalesce(name, F.lit(0.0 if name == "article_avg" else 0)).alias(name)
                      for name in measures])

@@ -12,6 +12,7 @@ from lexigrain.functions.lines import compact_lines
 from lexigrain.functions.markup import clean_markup
 from lexigrain.functions.text import page_url
 from lexigrain.functions.tokens import document_words, encyclopedia_words, feed_words
+from lexigrain.operators.feeds import run_statistics
 from lexigrain.operators.joins import last_per_key, lookup
 from lexigrain.operators.once import with_once
 from lexigrain.operators.pages import content_pages, split_templates
@@ -78,3 +79,19 @@ def run_feeds(entries: DataFrame, landed_pages: DataFrame, run_id: int,
         "article_link", F.unix_timestamp("published").alias("publish_time"), "text")
     errors = bad.select("feed_name", "article_id", "article_link", F.col("reason").alias("error"))
     return articles, errors
+
+
+def feed_run_log(articles: DataFrame, errors: DataFrame, catalogue: DataFrame,
+                 run_id: int) -> DataFrame:
+    """One row per catalogue feed of a run: articles, their mean age in seconds, failures.
+
+    Failed articles count as articles too. Nothing is fetched here, so the age of an
+    article at the run stands where a crawler logs its time.
+    """
+    run = F.lit(run_id).cast("long").alias("run_id")
+    tried = articles.select(
+        run, "feed_name", (F.lit(run_id) - F.col("publish_time")).alias("latency"),
+        F.lit(False).alias("failed")).unionByName(errors.select(
+            run, "feed_name", F.lit(None).cast("long").alias("latency"),
+            F.lit(True).alias("failed")))
+    return run_statistics(tried, catalogue, failed=F.col("failed"))

@@ -72,14 +72,19 @@ def test_sinks(spark, tmp_path):
     rows = spark.range(1000).select("id", F.repeat(F.lit("x"), 100).alias("t"),
                                     (F.col("id") % 3).alias("topic"))
     K.write_bounded(rows, str(tmp_path / "b"), 20_000)
-    files = [f for f in os.listdir(tmp_path / "b") if f.endswith(".gz")]
-    assert len(files) >= 6
-    assert spark.read.csv(str(tmp_path / "b"), sep="\t").count() == 1000
+    files = spark.read.text(str(tmp_path / "b")).groupBy(F.input_file_name()).agg(
+        F.count("*").alias("n"), F.sum(F.length("value") + 1).alias("b")).collect()
+    assert len(files) >= 6 and sum(f.n for f in files) == 1000
+    assert all(f.b <= 20_000 for f in files)
+    K.write_bounded(spark.range(9).select(F.repeat(F.lit("y"), 30_000)), str(tmp_path / "c"), 20_000)
+    assert spark.read.text(str(tmp_path / "c")).select(F.input_file_name()).distinct().count() == 9
     K.write_report(rows.groupBy("topic").count(), str(tmp_path / "r"))
     assert sum(f.startswith("part-") for f in os.listdir(tmp_path / "r")) == 1
     for _ in range(2):
         K.append_tsv(rows.select("id", "t"), str(tmp_path / "a"))
     assert spark.read.csv(str(tmp_path / "a"), sep="\t").count() == 2000
+    with pytest.raises(ValueError):
+        K.write_report(rows, str(tmp_path / "r"), max_rows=10)
     K.write_by_topic(rows, str(tmp_path / "t"))
     assert {d for d in os.listdir(tmp_path / "t") if d.startswith("topic=")} == {
         "topic=0", "topic=1", "topic=2"}

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexigrain.operators import pages as P
@@ -20,10 +21,66 @@ def test_news(spark, fixtures):
     parsed = L.parse_news_json(L.read_lines(spark, f"{fixtures}/news.jsonl"))
     good, bad = route_rows(parsed, {"no content": F.col("content").isNull()})
     assert sorted(r["id"] for r in good.collect()) == ["a1", "true"]
-    assert bad.count() == 2
+    assert bad.count() == 1
     assert good.filter("id = 'a1'").head()["dataset"] == "signal"
 
 
+def test_every_line_is_parsed_or_rejected(spark, fixtures):
+    lines = L.read_lines(spark, f"{fixtures}/news.jsonl")
+    assert sorted((r.record, r.reason) for r in L.reject_news_json(lines).collect()) == [
+        ("", "no object"), ('{"id": "a3", "media-type": "News"', "no object"),
+        ("plain words", "no object"), ("{broken}", "no known field")]
+    for good, bad, least in ((L.parse_tagged, L.reject_tagged, 9), (L.parse_crawl, L.reject_crawl, 7),
+                             (L.parse_wiki_rows, L.reject_wiki_rows, 5)):
+        assert good(lines).count() + bad(lines).count() == lines.count()
+        assert {r.reason for r in bad(lines).collect()} <= {
+            f"fewer than {least} fields", f"more than {least} fields"}
+
+
+def test_unclosed_records_spoil_only_themselves(spark, tmp_path):
+    text = ("<r><i n='1'><t>a</t></i><i n='2'><t>lost</t><i n='3'><t>b</t></i>"
+            "<i n='4'><t><![CDATA[x</i>y]]></t></i> <i n='5'><t>c</t></i></r>")
+    (tmp_path / "a.xml").write_text(text)
+    schema = spark.createDataFrame([], "_n long, t string").schema
+    records = X.read_xml_records(spark, str(tmp_path), "i", schema)
+    assert sorted(tuple(r) for r in X.good_records(records).collect()) == [
+        (1, "a"), (3, "b"), (5, "c")]
+    bad = [r.record for r in X.rejected_records(records).collect()]
+    assert len(bad) == 2 and "lost" in bad[0] + bad[1] and "CDATA" in bad[0] + bad[1]
+
+
+def test_deep_and_cyclic_hierarchies(spark):
+    deep = spark.range(150).selectExpr(
+        "IF(id = 0, 'None', string(id - 1)) AS parent", "string(id) AS child")
+    found = hierarchy_closure(deep)
+    assert found.count() == 150 * 149 // 2
+    assert found.filter("ancestor = '0' AND descendant = '149'").head().distance == 149
+    cycle = spark.createDataFrame([("None", "r"), ("r", "x"), ("c", "a"), ("a", "b"), ("b", "c")],
+                                  "parent string, child string")
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy_closure(cycle)
+
+
+def test_a_code_with_two_descriptions(spark):
+    codes = spark.createDataFrame([("a", "y"), ("a", "x")], "code string, description string")
+    rows_ = spark.createDataFrame([("a",), ("b",)], "code string")
+    assert sorted((r.code, r.description) for r in describe_codes(rows_, codes, "code").collect()) == [
+        ("a", "x"), ("b", None)]
+
+
+def test_crawl_log_round_trip(spark, tmp_path):
+    from lexigrain.sinks.files import append_tsv
+
+    values = [("1.0", ' "s" ', "f", "a", f"http://x/{i}", "1476523800", t)
+              for i, t in enumerate(["", ' f "q" ', "plain", "a\tb\nc", None])]
+    append_tsv(spark.createDataFrame(values, ", ".join(f"c{i} string" for i in range(7))),
+               str(tmp_path / "log"))
+    got = {r.url[-1]: (r.source, r.content) for r in L.parse_crawl(
+        L.read_lines(spark, str(tmp_path / "log"))).collect()}
+    assert got == {"0": (' "s" ', ""), "1": (' "s" ', ' f "q" '), "2": (' "s" ', "plain"),
+                   "3": (' "s" ', "a b c"), "4": (' "s" ', "")}
+
+
 def test_tagged(spark, fixtures):
     got = rows(L.parse_tagged(L.read_lines(spark, f"{fixtures}/tagged.txt")))
     assert got == [

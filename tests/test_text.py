@@ -1,3 +1,5 @@
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from lexigrain.functions import arrays, html, stopwords, text, tokens
@@ -100,3 +102,17 @@ def test_links(one):
     assert one(PAGE, html.link_map) == {"/a?1&2": "again"}
     assert [tuple(x) for x in one(PAGE, html.distinct_links)] == [
         ("/a?1&2", "again"), ("/a?1&2", "go on")]
+
+
+def test_accents_of_all_characters(spark):
+    def bare(c):
+        return unicodedata.normalize("NFC", "".join(
+            x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"))
+
+    chars = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF]
+    words = ["x" + "|".join(chars[i:i + 2000]) for i in range(0, len(chars), 2000)]
+    df = spark.createDataFrame(list(enumerate(words)), "id int, t string").repartition(8)
+    out = df.select("id", text.remove_accents(F.col("t")).alias("t"))
+    assert "Python" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        assert r.t == "x" + "|".join(bare(c) for c in chars[r.id * 2000:(r.id + 1) * 2000])
