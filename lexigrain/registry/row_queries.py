@@ -13,7 +13,6 @@ from lexigrain.operators.similarity import top_similar, with_texts
 from lexigrain.plans.ingest import union_sources
 from lexigrain.registry import sql as S
 from lexigrain.registry.core import documents, query, table
-from lexigrain.session import spread
 
 
 @query("selected_columns", "SELECT doc_id, lang FROM documents")
