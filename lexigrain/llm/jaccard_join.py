@@ -6,7 +6,8 @@ documents. Two sets that are similar enough share a shingle among the first of b
 positional and a suffix filter, and each pair is verified once on whole sets.
 
 Equal sets are one node from the start. Documents that share a prefix shingle are
-first compared with one of them, the pivot; what this connects needs no more
+first compared with one of them, the pivot: the set whose shingles are the most
+frequent, as the original of near copies is. What this connects needs no more
 comparisons, so a large group of near copies is not expanded into its pairs. All
 pairs between different components that remain are then verified, so no link is lost.
 
@@ -34,7 +35,7 @@ from lexigrain.llm.common import (
 from lexigrain.llm.components import components
 from lexigrain.llm.folders import landed
 from lexigrain.llm.keep import row_key, without
-from lexigrain.operators.joins import first_per_key
+from lexigrain.operators.joins import first_per_key, lookup
 
 WIDTH = 5
 PERCENT = 75
@@ -43,12 +44,15 @@ SET_BITS = 24  # bits of the set of candidates that tells which documents to rea
 BINS = 64  # ranges of shingles whose counts the suffix filter compares
 SEEN = 200_000  # sets a task remembers to send copies once
 SALTED = 4096  # documents of one shingle that one group may hold
+# one number holds, from the low bits: the place of a shingle in its prefix, the size of the
+# set, the part of a hot shingle (1 to 32; 0 for others), how frequent its shingles are
+PLACE_BITS, SIZE_BITS, PART_BITS, SCORE_BITS = 23, 25, 6, 9
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text: str, words: WordHashes, width: int) -> np.ndarray:
+def shingles(data: bytes, words: WordHashes, width: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    hashes = words(text.encode().translate(UPPER))
+    hashes = words(data.translate(UPPER))
     if len(hashes) == 0:
         return hashes
     if len(hashes) < width:
@@ -86,14 +90,33 @@ class Seen:
         return False
 
 
-def _sets(batches, width: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Batches and the (signature, shingles) of their documents."""
-    words = WordHashes()
+def text_key(data: bytes) -> int:
+    """A 64-bit hash of a text, as a signed number."""
+    from xxhash import xxh3_64_intdigest
+
+    number = xxh3_64_intdigest(data)
+    return number - (1 << 64) if number >= 1 << 63 else number
+
+
+def _sets(batches, width: int, wanted=None) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches and the (text key, signature, shingles) of their documents.
+
+    ``wanted`` is a bit set of text keys: other texts, and texts met before, have none.
+    """
+    words, seen = WordHashes(), Seen()
+    nothing = np.empty(0, np.uint64)
     for batch in small_batches(batches):
+        texts = [text.encode() for text in texts_of(batch)]
+        keys = [text_key(data) for data in texts]
+        hits = [True] * len(keys) if wanted is None else in_bit_set(
+            wanted, np.asarray(keys, np.int64), SET_BITS)
         found = []
-        for text in texts_of(batch):
-            values = shingles(text, words, width)
-            found.append((signature(values) if len(values) else None, values))
+        for data, key, hit in zip(texts, keys, hits, strict=True):
+            if not hit or (wanted is not None and seen(key)):
+                found.append((key, None, nothing))
+                continue
+            values = shingles(data, words, width)
+            found.append((key, signature(values) if len(values) else None, values))
         yield batch, found
 
 
@@ -103,13 +126,14 @@ def set_table(docs: DataFrame, width: int, bits: int, carry: tuple[str, ...] = (
     shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()),
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()),
+                            ("sig", pa.int64()), ("n", pa.int64()),
                             ("bins", pa.binary()), ("block", pa.int32()), ("cells", pa.binary()),
                             *((n, columns[n]) for n in carry)])
         counters, waiting, size, seen = np.zeros(1 << bits, np.uint32), [], 0, Seen()
         for batch, found in _sets(batches, width):
             bins = []
-            for sig, values in found:
+            for _, sig, values in found:
                 bins.append(None if sig is None or len(values) > 65_535 else np.bincount(
                     (values >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(
                         "<u2").tobytes())
@@ -122,8 +146,9 @@ def set_table(docs: DataFrame, width: int, bits: int, carry: tuple[str, ...] = (
                 waiting, size = [], 0
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [column_like(batch, "doc_id"), pa.array([s for s, _ in found], pa.int64()),
-                 pa.array([len(v) for _, v in found], pa.int64()), pa.array(bins, pa.binary()),
+                [column_like(batch, "doc_id"), pa.array([f[0] for f in found], pa.int64()),
+                 pa.array([f[1] for f in found], pa.int64()),
+                 pa.array([len(f[2]) for f in found], pa.int64()), pa.array(bins, pa.binary()),
                  pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
                  *(column_like(batch, n) for n in carry)], schema=schema)
         if waiting:
@@ -132,13 +157,13 @@ def set_table(docs: DataFrame, width: int, bits: int, carry: tuple[str, ...] = (
         blocks, cells = blocks_of(counters)
         rows = len(blocks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()),
-             pa.nulls(rows, pa.binary()), pa.array(blocks, pa.int32()),
+            [*(pa.nulls(rows, pa.int64()) for _ in range(4)), pa.nulls(rows, pa.binary()), pa.array(blocks, pa.int32()),
              pa.array(cells, pa.binary()), *(pa.nulls(rows, pa.int64()) for _ in carry)],
             schema=schema)
 
     return landed(docs.mapInArrow(
-        run, ", ".join(["doc_id long, sig long, n long, bins binary, block int, cells binary",
+        run, ", ".join(["doc_id long, text_key long, sig long, n long, bins binary, block int, "
+                        "cells binary",
                         *(f"{n} long" for n in carry)])), "sets")
 
 
@@ -149,13 +174,13 @@ def frequency_classes(counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     classes = np.minimum(np.floor(4 * np.log2(counts + 1)), 255).astype(np.uint8)
     above = counts - 4 * counts.mean()
     salts = np.where(above > SALTED, np.ceil(np.log2(np.maximum(above, 1) / SALTED * 4)), 0)
-    return classes, salts.astype(np.uint8)
+    return classes, np.minimum(salts, 5).astype(np.uint8)
 
 
 def postings(docs: DataFrame, width: int, percent: int, bits: int, table) -> DataFrame:
     """Second pass: prefix shingles that at least two sets have, with a pivot for each row.
 
-    ``pivot`` is the first set of the row's group, or null if it is this one or the
+    ``pivot`` is the most central set of the row's group, or null if it is this one or the
     filters exclude the pair.
     """
     shift = np.uint64(64 - bits)
@@ -164,53 +189,58 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, table) -> Dat
         classes, salts = table.value
         seen = Seen()
         for _, found in _sets(batches, width):
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            for sig, values in found:
+            parts: list[list[np.ndarray]] = [[], [], []]
+            for _, sig, values in found:
                 if sig is None or seen(sig):
                     continue
                 cells = values >> shift
-                order = np.argsort(classes[cells], kind="stable")[
+                found_classes = classes[cells]
+                order = np.argsort(found_classes, kind="stable")[
                     :prefix_length(len(values), percent)]
-                size = len(order)
+                score = min(int(3 * found_classes.mean()), (1 << SCORE_BITS) - 1)
                 parts[0].append(values[order].view(np.int64))
+                parts[1].append(np.full(len(order), sig, np.int64))
                 dealt = salts[cells[order]].astype(np.uint64)
-                part = np.uint64(sig & 0xFFFFFFFF) & ((np.uint64(1) << dealt) - np.uint64(1))
-                parts[1].append(np.where(dealt > 0, part.astype(np.int32), -1).astype(np.int32))
-                parts[2].append(np.full(size, sig, np.int64))
-                parts[3].append(np.full(size, len(values), np.int32))
-                parts[4].append(np.arange(size, dtype=np.int32))
+                part = np.uint64(sig & 0xFFFF) & ((np.uint64(1) << dealt) - np.uint64(1))
+                part = np.where(dealt > 0, part + np.uint64(1), np.uint64(0)).astype(np.int64)
+                size = min(len(values), (1 << SIZE_BITS) - 1)
+                parts[2].append(((score << PART_BITS | part) << SIZE_BITS | size) << PLACE_BITS
+                                | np.minimum(np.arange(len(order)), (1 << PLACE_BITS) - 1))
             if parts[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(p)) for p in parts],
-                    names=["h", "part", "sig", "n", "pos"])
+                    [pa.array(np.concatenate(p)) for p in parts], names=["h", "sig", "at"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        whole_part = pa.Table.from_batches(held)
-        h, part, sig, n, pos = (whole_part.column(c).to_numpy() for c in range(5))
-        del held, whole_part
-        order = np.lexsort((sig, part, h))
-        h, part, sig, n, pos = h[order], part[order], sig[order], n[order], pos[order]
+        rows = pa.Table.from_batches(held)
+        h, sig, at = (rows.column(c).to_numpy() for c in range(3))
+        del held, rows
+        part = at >> PLACE_BITS + SIZE_BITS & (1 << PART_BITS) - 1
+        score = at >> PLACE_BITS + SIZE_BITS + PART_BITS
+        order = np.lexsort((sig, -score, part, h))
+        h, part, sig, at = h[order], part[order], sig[order], at[order]
         first = np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])]
         fresh = first | np.r_[True, sig[1:] != sig[:-1]]  # copies sent by several tasks
-        h, part, sig, n, pos, first = (x[fresh] for x in (h, part, sig, n, pos, first))
-        number = np.cumsum(first) - 1
-        sizes = np.bincount(number)
-        starts = np.flatnonzero(first)[number]
-        keep = (sizes[number] > 1) | (part >= 0)
-        passed = (keep & ~first & within(n, n[starts], pos, pos[starts], percent))
-        columns = [h[keep], part[keep], sig[keep], n[keep], pos[keep]]
+        h, part, sig, at, first = (x[fresh] for x in (h, part, sig, at, first))
+        sizes = np.bincount(np.cumsum(first) - 1)
+        starts = np.repeat(np.flatnonzero(first), sizes)
+        keep = (np.repeat(sizes, sizes) > 1) | (part > 0)
+        n = (at >> PLACE_BITS & (1 << SIZE_BITS) - 1).astype(np.int32)
+        pos = (at & (1 << PLACE_BITS) - 1).astype(np.int32)
+        passed = ~first & within(n, n[starts], pos, pos[starts], percent)
         pivot = pa.array(sig[starts][keep], pa.int64(), mask=~passed[keep])
-        for at in range(0, len(columns[0]), 100_000):
+        columns = [h[keep], sig[keep], n[keep], pos[keep]]
+        for low in range(0, len(pivot), 100_000):
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c[at:at + 100_000]) for c in columns), pivot[at:at + 100_000]],
-                names=["h", "part", "sig", "n", "pos", "pivot"])
+                [*(pa.array(c[low:low + 100_000]) for c in columns), pivot[low:low + 100_000]],
+                names=["h", "sig", "n", "pos", "pivot"])
 
-    rows = docs.mapInArrow(emit, "h long, part int, sig long, n int, pos int")
-    return landed(rows.repartition("h", "part").mapInArrow(
-        group, "h long, part int, sig long, n int, pos int, pivot long"), "postings")
+    rows = docs.mapInArrow(emit, "h long, sig long, at long")
+    part = F.shiftright("at", PLACE_BITS + SIZE_BITS).bitwiseAND((1 << PART_BITS) - 1)
+    return landed(rows.repartition(F.col("h"), part).mapInArrow(
+        group, "h long, sig long, n int, pos int, pivot long"), "postings")
 
 
 def within(n_a, n_b, pos_a, pos_b, percent: int):
@@ -230,9 +260,24 @@ def within_columns(percent: int) -> Column:
             & ((100 + percent) * most.cast("long") >= percent * total))
 
 
-def suffix_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Keep pairs whose counts per range of shingles allow the needed overlap."""
-    bins = sets.filter("sig is not null").groupBy("sig").agg(
+def among(sets: DataFrame, chosen, *columns: str) -> DataFrame:
+    """Columns of the documents whose sets are in a bit set; the sig comes first."""
+    schema = ", ".join(f"{c} {'binary' if c == 'bins' else 'long'}" for c in ("sig", *columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(in_bit_set(chosen.value, keys, SET_BITS)))
+
+    return sets.filter("sig is not null").select("sig", *columns).mapInArrow(run, schema)
+
+
+def suffix_filter(pairs: DataFrame, sets: DataFrame, chosen, percent: int) -> DataFrame:
+    """Keep pairs whose counts per range of shingles allow the needed overlap.
+
+    Only sets of candidates (those in ``chosen``) are shuffled.
+    """
+    bins = among(sets, chosen, "n", "bins").groupBy("sig").agg(
         F.first("n").alias("n"), F.first("bins").alias("bins"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,21 +298,27 @@ def suffix_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Third pass: fetch the sets of candidate pairs (u, v) and keep the similar ones."""
-    spark = docs.sparkSession
+def members(pairs: DataFrame):
+    """The broadcast bit set of all sets in pairs; it has the same size for any input."""
     wanted = pairs.select("u").unionAll(pairs.select("v")).distinct()
-    chosen = spark.sparkContext.broadcast(bit_set(wanted, SET_BITS))
+    return pairs.sparkSession.sparkContext.broadcast(bit_set(wanted, SET_BITS))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int,
+             percent: int) -> DataFrame:
+    """Third pass: fetch the sets of candidate pairs (u, v) and keep the similar ones.
+
+    One text stands for each set. Texts are told by a hash, so only these are cut into
+    shingles again.
+    """
+    texts = among(sets, members(pairs), "text_key").groupBy("sig").agg(
+        F.min("text_key").alias("text_key"))
+    chosen = docs.sparkSession.sparkContext.broadcast(
+        bit_set(texts.select("text_key"), SET_BITS))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
-        for _, found in _sets(batches, width):
-            found = [(s, v) for s, v in found if s is not None]
-            if not found:
-                continue
-            hit = in_bit_set(chosen.value, np.asarray([s for s, _ in found], np.int64), SET_BITS)
-            rows = [(s, v.tobytes()) for (s, v), ok in zip(found, hit, strict=True)
-                    if ok and not seen(s)]
+        for _, found in _sets(batches, width, chosen.value):
+            rows = [(sig, values.tobytes()) for _, sig, values in found if sig is not None]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s for s, _ in rows], pa.int64()),
@@ -307,14 +358,14 @@ def similar_links(docs: DataFrame, sets: DataFrame, width: int, percent: int,
     table = spark.sparkContext.broadcast(frequency_classes(counters))
     posted = postings(docs, width, percent, bits, table)
 
-    stars = posted.filter("pivot is not null").select(
-        F.col("pivot").alias("u"), F.col("sig").alias("v")).distinct()
-    tried = landed(suffix_filter(stars, sets, percent), "pairs")
-    links = verified(tried, docs, width, percent)
+    stars = landed(posted.filter("pivot is not null").select(
+        F.col("pivot").alias("u"), F.col("sig").alias("v")).distinct(), "stars")
+    tried = landed(suffix_filter(stars, sets, members(stars), percent), "pairs")
+    links = verified(tried, sets, docs, width, percent)
     roots = landed(components(links), "roots")
 
-    labelled = posted.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select(
-        "h", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
+    labelled = lookup(posted.drop("pivot"), roots.withColumnRenamed("node", "sig"), ["sig"],
+                      ["h"]).withColumn("root", F.coalesce("root", "sig"))
     split = labelled.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter(
         "_a != _b").select("h")
     open_rows = landed(labelled.join(split, "h", "left_semi"), "open")
@@ -322,9 +373,10 @@ def similar_links(docs: DataFrame, sets: DataFrame, width: int, percent: int,
     rest = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.sig") < F.col("b.sig"))
                   & (F.col("a.root") != F.col("b.root")) & within_columns(percent)).select(
         F.col("a.sig").alias("u"), F.col("b.sig").alias("v")).distinct()
-    untried = rest.join(tried, ["u", "v"], "left_anti")
-    left = landed(suffix_filter(untried, sets, percent), "pairs")
-    more = verified(left, docs, width, percent)
+    tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    untried = landed(rest.join(tested, ["u", "v"], "left_anti"), "rest")
+    left = landed(suffix_filter(untried, sets, members(untried), percent), "pairs")
+    more = verified(left, sets, docs, width, percent)
     return landed(components(links.unionAll(more)), "roots")
 
 
