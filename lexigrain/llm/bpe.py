@@ -36,22 +36,15 @@ class RunEncoder:
 
     def blocks(self, text: str) -> Iterator[bytes]:
         """The ids of a text, a block of runs at a time."""
-        if len(text) <= BLOCK:
-            yield self._encode(RUNS.findall(text))
-            return
-        runs: list[str] = []
-        size = 0
-        for found in RUNS.finditer(text):
-            runs.append(found.group())
-            size += len(runs[-1])
-            if size >= BLOCK:
-                yield self._encode(runs)
-                runs, size = [], 0
-        yield self._encode(runs)
+        yield from map(self._encode, _run_blocks(text))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.blocks(text)), "<u4")
 
+    def forget(self) -> None:
+        """Give the memory of remembered runs back; later tasks of the worker need it."""
+        self.known, self.before = {}, {}
+
     def _encode(self, runs: list[str]) -> bytes:
         if len(self.known) > self.limit:  # runs of the generation before are kept if met again
             self.before, self.known = self.known, {}
@@ -76,3 +69,77 @@ def encoder(path: str) -> RunEncoder:
     if path not in _encoders:
         _encoders[path] = RunEncoder(path)
     return _encoders[path]
+
+
+class RankEncoder:
+    """Ids of whole texts under a rank file, as unsigned 16-bit numbers, run by run as above.
+
+    ``pattern`` splits text before the merges. Strings of special tokens are plain text.
+    """
+
+    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("ids do not fit into 16 bits")
+        self.merge = tiktoken.Encoding(
+            "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.limit = limit
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self._encode, _run_blocks(text)))
+
+    def forget(self) -> None:
+        self.known, self.before, self.sizes = {}, {}, {}
+
+    def count(self, text: str) -> int:
+        return sum(map(self._count, _run_blocks(text)))
+
+    def _encode(self, runs: list[str]) -> bytes:
+        if len(self.known) > self.limit:
+            self.before, self.known = self.known, {}
+        known, before, merge = self.known, self.before, self.merge
+        for run in set(runs).difference(known):
+            known[run] = before[run] if run in before else array("H", merge(run)).tobytes()
+        return b"".join(map(known.__getitem__, runs))
+
+    def _count(self, runs: list[str]) -> int:
+        if len(self.sizes) > 2 * self.limit:
+            self.sizes.clear()
+        sizes, merge = self.sizes, self.merge
+        for run in set(runs).difference(sizes):
+            sizes[run] = len(merge(run))
+        return sum(map(sizes.__getitem__, runs))
+
+
+def _run_blocks(text: str) -> Iterator[list[str]]:
+    """The runs of a text, a block of them at a time."""
+    if len(text) <= BLOCK:
+        yield RUNS.findall(text)
+        return
+    runs: list[str] = []
+    size = 0
+    for found in RUNS.finditer(text):
+        runs.append(found.group())
+        size += len(runs[-1])
+        if size >= BLOCK:
+            yield runs
+            runs, size = [], 0
+    yield runs
+
+
+_rank_encoders: dict[tuple[str, str], RankEncoder] = {}
+
+
+def rank_encoder(path: str, pattern: str) -> RankEncoder:
+    """The encoder of this worker process for a rank file; it outlives a task."""
+    if (path, pattern) not in _rank_encoders:
+        _rank_encoders[path, pattern] = RankEncoder(path, pattern)
+    return _rank_encoders[path, pattern]

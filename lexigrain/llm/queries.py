@@ -95,9 +95,11 @@ def op7_overlap_token_counts(spark, sf_dir):
 def op8_training_order(spark, sf_dir):
     folder = shared_path(spark, "shards")
     folder = folder if "://" in folder else f"file://{folder}"
-    rows = training_order.sequences(table(spark, sf_dir, "documents"),
-                                    public_tokenizers.path("byte_bpe_50k.json"))
-    index = training_order.materialise(rows, folder, key=2026)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents")
+    rows = training_order.sequences(docs, *tokenizer)
+    counts = training_order.sequence_counts(docs, *tokenizer)
+    index = training_order.materialise(rows, counts, folder, key=2026)
     stored = training_order.read_slots(spark, folder, index).select(
         "slot", F.crc32("ids").alias("record_crc32"))
     return index.join(stored, "slot")

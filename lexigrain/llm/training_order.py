@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrain.llm.bpe import encoder
+from lexigrain.llm.bpe import rank_encoder
 from lexigrain.llm.common import column_like, mixed, small_batches, texts_of
 from lexigrain.llm.folders import landed
 
@@ -70,28 +70,26 @@ def unpermuted(slots: np.ndarray, count: int, key: int) -> np.ndarray:
     return _walk(slots, count, step)
 
 
-def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = 50256,
-              text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def sequences(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH,
+              end_id: int = 50256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, piece, n_tokens, body): documents cut into sequences, each ended by ``end_id``.
 
-    ``body`` holds the ids as compressed unsigned 16-bit numbers, without the padding that
-    the shards have. Null and empty texts hold the end id alone. Repeated rows stay.
+    ``ranks`` is the path of a rank file. ``body`` holds the ids as compressed unsigned
+    16-bit numbers, without the padding that the shards have. Null and empty texts hold
+    the end id alone. Repeated rows stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encode = encoder(tokenizer)
-        if encode.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids do not fit into 16 bits")
+        encode = rank_encoder(ranks, pattern)
         squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True)
         end = np.asarray([end_id], "<u2").tobytes()
         for batch in small_batches(batches):
             rows: list[tuple] = []
             for key, value in zip(column_like(batch, "doc_id").to_pylist(), texts_of(batch),
                                   strict=True):
-                data = b"".join([np.frombuffer(part, "<u4").astype("<u2").tobytes()
-                                 for part in encode.blocks(value)] + [end])
+                data = encode.ids(value) + end
                 for at in range(0, len(data), 2 * length):
                     piece = data[at:at + 2 * length]
                     rows.append((key, at // (2 * length), len(piece) // 2,
@@ -101,38 +99,63 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int
                 [pa.array(c, t) for c, t in zip(columns, (
                     pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                 names=["doc_id", "piece", "n_tokens", "body"])
+        encode.forget()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                          F.col(text).alias("text"))
     return source.mapInArrow(run, "doc_id long, piece long, n_tokens long, body binary")
 
 
-def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows in the shared folder with a number from 0 without a gap, and how many there are.
+def sequence_counts(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH,
+                    text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(task, n): how many sequences each task of ``sequences`` makes of the same documents.
 
-    Numbers follow the tasks that wrote the rows: a window over one row per task.
+    A pass of its own: to count takes a fraction of what it takes to keep all ids on disk.
     """
-    held = landed(rows.withColumn("_id", F.monotonically_increasing_id()), "sequences")
-    task = F.shiftright("_id", TASK)
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    tasks = held.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
-    offsets = landed(tasks.select("_task", "_n", F.coalesce(
-        F.sum("_n").over(before), F.lit(0)).alias("_from")), "offsets")
-    count = offsets.agg(F.coalesce(F.sum("_n"), F.lit(0))).head()[0]
-    inside = F.col("_id").bitwiseAND((1 << TASK) - 1)
-    found = held.withColumn("_task", task).join(
-        F.broadcast(offsets.select("_task", "_from")), "_task")  # one row per task
-    return found.withColumn("number", F.col("_from") + inside).drop("_task", "_from", "_id"), count
-
-
-def materialise(rows: DataFrame, folder: str, key: int = 1, length: int = LENGTH,
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, count = rank_encoder(ranks, pattern), 0
+        for batch in small_batches(batches):
+            count += sum(encode.count(value) // length + 1 for value in texts_of(batch))
+        encode.forget()
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["n"])
+
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
+                         F.col(text).alias("text"))
+    return source.mapInArrow(run, "n long").select(F.spark_partition_id().alias("task"), "n")
+
+
+def numbered(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with a number from 0 without a gap, and how many there are.
+
+    Numbers follow the tasks that make the rows, by a window over one row per task.
+    A scan is cut into the same tasks each time; a row beyond its task's count, which
+    would mean that the input has changed, stops the job.
+    """
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = landed(counts.groupBy("task").agg(F.sum("n").alias("n")).select(
+        F.col("task").alias("_task"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(
+            "_from")), "offsets")
+    count = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << TASK) - 1)
+    marked = rows.withColumn("_task", F.spark_partition_id()).withColumn("_inside", inside)
+    found = marked.join(F.broadcast(offsets), "_task")  # one row per task
+    number = F.when(F.col("_inside") < F.col("n"), F.col("_from") + F.col("_inside")).otherwise(
+        F.raise_error(F.lit("the documents changed between counting and writing")))
+    return found.withColumn("number", number).drop("_task", "_from", "_inside", "n"), count
+
+
+def materialise(rows: DataFrame, counts: DataFrame, folder: str, key: int = 1, length: int = LENGTH,
                 pad_id: int = 50256, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Write the shards and return their index (slot, shard, doc_id, piece, n_tokens).
 
+    ``rows`` and ``counts`` come from ``sequences`` and ``sequence_counts`` of the same
+    documents.
+
     One task writes one shard, under a name of its own that is then moved into place,
     so a repeated or doubled task leaves the same whole file. No rows write nothing.
     """
-    placed, count = numbered(rows)
+    placed, count = numbered(rows, counts)
 
     @F.pandas_udf("long")
     def slot_of(numbers):

@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers as TOKENIZERS
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from lexigrain.llm import packing, token_counts, training_order
-from lexigrain.llm.bpe import RunEncoder
+from lexigrain.llm.bpe import RankEncoder, RunEncoder
 from lexigrain.session import shared_path
 from llm_samples import sample_texts
 
@@ -26,6 +27,16 @@ def test_runs_give_the_ids_of_whole_texts(bpe):
         assert encoder.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_ranks_give_the_ids_of_whole_texts(bpe):
+    encoder = RankEncoder(TOKENIZERS.path("byte_bpe_50k.tiktoken"), TOKENIZERS.PATTERN, limit=50)
+    whole = Tokenizer.from_file(bpe)
+    whole.encode_special_tokens = True
+    for text in [t or "" for t in sample_texts()] + odd_texts(7):
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(text), "<u2").tolist() == ids
+        assert encoder.count(text) == len(ids)
+
+
 @pytest.mark.parametrize("chunk,overlap", [(64, 8), (300, 16), (500, 200)])
 def test_spliced_chunks_count_as_whole_texts(pieces, chunk, overlap):
     counter = token_counts.Pieces(pieces, chunk, overlap)
@@ -89,8 +100,10 @@ def test_permutation_is_a_bijection():
 
 def test_shards_hold_every_sequence_at_its_slot(spark, edge, empty, bpe):
     folder = f"file://{shared_path(spark, 'test-shards')}"
-    rows = training_order.sequences(edge, bpe, length=64)
-    index = training_order.materialise(rows, folder, key=3, length=64, shard_rows=100)
+    ranks = TOKENIZERS.path("byte_bpe_50k.tiktoken"), TOKENIZERS.PATTERN
+    rows = training_order.sequences(edge, *ranks, length=64)
+    counts = training_order.sequence_counts(edge, *ranks, length=64)
+    index = training_order.materialise(rows, counts, folder, key=3, length=64, shard_rows=100)
     placed = {r.slot: r for r in index.collect()}
     assert sorted(placed) == list(range(len(placed)))
     assert all(r.shard == r.slot // 100 for r in placed.values())
@@ -105,5 +118,7 @@ def test_shards_hold_every_sequence_at_its_slot(spark, edge, empty, bpe):
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids + [50256]
     tail = {r.slot for r in training_order.read_slots(spark, folder, index, 64, 150, 100).collect()}
     assert tail == set(range(150, len(placed)))
-    nothing = training_order.materialise(training_order.sequences(empty, bpe), folder + "-none")
+    nothing = training_order.materialise(
+        training_order.sequences(empty, *ranks), training_order.sequence_counts(empty, *ranks),
+        folder + "-none")
     assert nothing.count() == 0
