@@ -97,7 +97,8 @@ class RankEncoder:
         return b"".join(map(self._encode, _run_blocks(text)))
 
     def forget(self) -> None:
-        self.known, self.before, self.sizes = {}, {}, {}
+        """Give the memory of remembered ids back; the sizes are small and stay."""
+        self.known, self.before = {}, {}
 
     def count(self, text: str) -> int:
         return sum(map(self._count, _run_blocks(text)))
