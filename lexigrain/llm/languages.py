@@ -6,6 +6,11 @@ chance of its address suffix, and the prior of its host. Host priors are smoothe
 towards the registered domain, and that towards the whole corpus. All tables but
 the trigrams are grouped sums, over all records, of what the texts alone say; a
 record's own share is taken out of the prior it meets.
+
+The posterior weighs known languages against each other and nears 1 on any long text.
+Whether a text is in a known language at all, and in one only, is judged beside it: by
+its mean log likelihood a trigram against a floor that labelled texts set, and by the
+share of its blocks that vote for the same language.
 """
 
 from __future__ import annotations
@@ -31,6 +36,13 @@ TEMPER = 1 / 3  # a byte lies in three trigrams, which are not independent
 SMOOTH = 0.5  # added to each count of trigrams, suffixes and declarations
 PULL = 20.0  # records of the level above that a host or domain is smoothed with
 CONFIDENT = 0.5
+STRANGE = 0.01  # prior odds that a text is in no known language
+CHANCE = -BITS * np.log(2)  # log likelihood of a trigram if all cells are alike
+DEPTH = 1 / 3  # where the floor lies between the labelled texts of a language and chance
+LOW = 0.05  # this share of the labelled texts may lie below the floor, no more
+VOTE = 64  # trigrams of a block that votes
+VOTES = 64  # blocks scored at a time
+AGREED = 2 / 3  # more than this share of the votes must be for one language
 BLOCK = 1 << 20
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -54,10 +66,11 @@ def blocks_of_text(text: str) -> Iterator[bytes]:
 
 @dataclass(frozen=True)
 class Trigrams:
-    """Languages and the log likelihood of each cell in each."""
+    """Languages, the log likelihood of each cell in each, and the mean of a strange text."""
 
     languages: tuple[str, ...]
     weights: np.ndarray  # cells x languages
+    floors: np.ndarray  # one a language
 
 
 def learn(labelled: DataFrame, size: int = SAMPLE) -> Trigrams:
@@ -93,34 +106,106 @@ def learn(labelled: DataFrame, size: int = SAMPLE) -> Trigrams:
     table = whole(merged(sample.mapInArrow(run, "block int, cells binary"), "<u8"), bits, "<u8")
     counts = table.reshape(-1, 1 << BITS)[:len(names)].astype(float) + SMOOTH
     shares = counts / counts.sum(axis=1, keepdims=True) if names else counts
-    return Trigrams(tuple(names), np.ascontiguousarray(np.log(shares).T))
+    return Trigrams(tuple(names), np.ascontiguousarray(np.log(shares).T),
+                    _floors(sample, number, counts))
+
+
+def _floors(sample: DataFrame, number: dict[str, int], counts: np.ndarray) -> np.ndarray:
+    """Per language the mean log likelihood a trigram below which a text is strange to it.
+
+    Every labelled text is scored with its own trigrams taken out of the counts. The floor
+    lies ``DEPTH`` of the way from their median to ``CHANCE``, or at their ``LOW`` quantile
+    if that is lower (as in a language of few texts). A language without letters knows none.
+    """
+    floors = np.zeros(len(number))
+    if not number:
+        return floors
+    chosen = sample.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = chosen.value
+        totals = table.sum(axis=1)
+        for batch in small_batches(batches):
+            langs, means = [], []
+            for lang, text in zip(column_like(batch, "lang").to_pylist(), texts_of(batch),
+                                  strict=True):
+                if lang in number:
+                    own = np.zeros(1 << BITS)
+                    for part in blocks_of_text(text):
+                        own += np.bincount(trigram_cells(part), minlength=1 << BITS)
+                    at, size = np.flatnonzero(own), own.sum()
+                    if size:
+                        i = number[lang]
+                        rest = (table[i, at] - own[at]) / (totals[i] - size)
+                        langs.append(lang)
+                        means.append(float(own[at] @ np.log(rest) / size))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(means, pa.float64())],
+                names=["lang", "mean"])
+
+    scored = sample.mapInArrow(run, "lang string, mean double")
+    for row in scored.groupBy("lang").agg(
+            F.percentile("mean", F.array(F.lit(LOW), F.lit(0.5))).alias("q")).collect():
+        low, middle = row["q"]
+        floors[number[row["lang"]]] = min(low, middle + DEPTH * (CHANCE - middle))
+    return floors
+
+
+def scores(text: str, model: Trigrams) -> tuple[int, np.ndarray, float, float]:
+    """Trigrams of a text, its log likelihoods, the chance that it is in no known language,
+    and the largest share of one language in the votes of its blocks. A block in no known
+    language does not vote; it counts in the whole."""
+    count = len(model.languages)
+    total, size, votes = np.zeros(count), 0, np.zeros(count)
+    for part in blocks_of_text(text):
+        cells = trigram_cells(part)
+        size += len(cells)
+        if not len(cells) or not count:
+            continue
+        blocks = max(1, round(len(cells) / VOTE))
+        edges = np.arange(blocks + 1) * len(cells) // blocks
+        for first in range(0, blocks, VOTES):
+            ends = edges[first:first + VOTES + 1]
+            sums = np.add.reduceat(model.weights[cells[ends[0]:ends[-1]]],
+                                   ends[:-1] - ends[0], axis=0)
+            best, lengths = sums.argmax(axis=1), np.diff(ends)
+            told = _strange(sums[np.arange(len(best)), best], lengths, model.floors[best]) <= 0
+            votes += np.bincount(best[told], lengths[told], minlength=count)
+            total += sums.sum(axis=0)
+    if not size or not count:
+        return size, total, 1.0, 0.0
+    best = total.argmax()
+    odds = _strange(total[best], size, model.floors[best])
+    unknown = float(1 / (1 + np.exp(np.clip(-odds, -700, 700))))
+    return size, total, unknown, float(votes.max() / max(votes.sum(), 1))
+
+
+def _strange(found, size, floor):
+    """Log odds that trigrams of a log likelihood are in no known language."""
+    return np.log(STRANGE) + TEMPER * (size * floor - found)
 
 
 def text_evidence(records: DataFrame, model: Trigrams) -> DataFrame:
-    """Replace ``text`` by ``n_grams`` and ``p``, the likelihoods of the text scaled to sum 1."""
+    """Replace ``text`` by ``n_grams``, ``unknown``, ``agreement`` (see :func:`scores`) and
+    ``p``, the likelihoods of the text scaled to sum 1."""
     kept = [f for f in records.schema.fields if f.name != "text"]
     names = [f.name for f in kept]
-    count = len(model.languages)
-    chosen = records.sparkSession.sparkContext.broadcast(model.weights)
+    chosen = records.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept),
-                        "n_grams long", "p array<double>"])
+                        "n_grams long", "unknown double", "agreement double",
+                        "p array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = chosen.value
+        model = chosen.value
         for batch in small_batches(batches):
-            grams, shares = [], []
-            for text in texts_of(batch):
-                total, size = np.zeros(count), 0
-                for part in blocks_of_text(text):
-                    cells = trigram_cells(part)
-                    size += len(cells)
-                    total += np.bincount(cells, minlength=1 << BITS) @ weights
-                odds = np.exp(TEMPER * (total - total.max(initial=-np.inf)))
-                grams.append(size)
-                shares.append(odds / odds.sum())
+            found = [scores(text, model) for text in texts_of(batch)]
+            grams, totals, unknown, agreement = zip(*found, strict=True)
+            odds = [np.exp(TEMPER * (t - t.max(initial=-np.inf))) for t in totals]
             yield pa.RecordBatch.from_arrays(
                 [*(column_like(batch, n) for n in names), pa.array(grams, pa.int64()),
-                 pa.array(shares, pa.list_(pa.float64()))], names=[*names, "n_grams", "p"])
+                 pa.array(unknown, pa.float64()), pa.array(agreement, pa.float64()),
+                 pa.array([o / o.sum() for o in odds], pa.list_(pa.float64()))],
+                names=[*names, "n_grams", "unknown", "agreement", "p"])
 
     return records.mapInArrow(run, schema)
 
@@ -148,7 +233,8 @@ def fuse(scored: DataFrame, model: Trigrams) -> DataFrame:
     """Add ``lang``, ``confidence``, ``text_lang`` and ``kept`` to records with text evidence.
 
     Needs host, domain, suffix and declared (each may be null: no evidence). ``kept``
-    asks for some letters and a confidence of at least ``CONFIDENT``.
+    asks for some letters, a confidence of at least ``CONFIDENT``, a text that is rather in
+    a known language than in none, and an agreement of its blocks above ``AGREED``.
     """
     count = len(model.languages)
     if not count:
@@ -194,7 +280,8 @@ def fuse(scored: DataFrame, model: Trigrams) -> DataFrame:
         (1 / total).alias("confidence"),
         F.when(F.col("n_grams") > 0, F.get(names, (F.array_position(
             "p", F.array_max("p")) - 1).cast("int"))).alias("text_lang"),
-    ).withColumn("kept", (F.col("n_grams") > 0) & (F.col("confidence") >= CONFIDENT))
+    ).withColumn("kept", (F.col("n_grams") > 0) & (F.col("confidence") >= CONFIDENT)
+                 & (F.col("unknown") <= 0.5) & (F.col("agreement") > AGREED))
 
 
 def identify(records: DataFrame, model: Trigrams) -> DataFrame:

@@ -73,6 +73,37 @@ def test_fusion_equals_brute_force(spark):
         assert got[i].kept == (got[i].n_grams > 0 and got[i].confidence >= 0.5)
 
 
+def invented(rng, alphabet, words):
+    return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9)))
+                    for _ in range(words))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_strange_and_mixed_texts_are_not_kept(spark):
+    """Gibberish, another script and halves of two languages go; plain text of any length stays."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").repartition(8)
+    rng = random.Random(3)
+    plain = {lang: [r.text.split() for r in docs.filter(
+        (F.col("lang") == lang) & ~F.col("text").rlike(r"[$%|!@0-9]")).orderBy("doc_id").collect()
+        if len(r.text.split()) >= 200][:20] for lang in ("en", "de")}
+    rows = []
+    for n in (15, 50, 200, 2000):
+        for i in range(20):
+            en, de = plain["en"][i % len(plain["en"])], plain["de"][i % len(plain["de"])]
+            rows += [("latin", invented(rng, "abcdefghijklmnopqrstuvwxyz", n)),
+                     ("script", invented(rng, "абвгдежзийклмнопрстуфхцчшщыэюя", n)),
+                     ("mixed", " ".join(en[:n] + de[:min(n, len(en))]))]
+    for n in (1, 2, 5, 15, 50, 200):
+        rows += [("plain", " ".join(words[:n])) for side in plain.values() for words in side]
+    df = spark.createDataFrame([(i, k, t, "s") for i, (k, t) in enumerate(rows)],
+                               "doc_id long, kind string, text string, source string")
+    found = L.identify(L.document_records(df, "doc_id", "kind"), L.learn(docs))
+    share = {r.kind: r.s for r in found.groupBy("kind").agg(
+        F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    assert share["latin"] == 0 and share["script"] == 0
+    assert share["mixed"] < 0.1 and share["plain"] > 0.98
+
+
 def test_evidence_beside_the_text(spark):
     """A text that fits two languages alike follows declaration and host."""
     rows = [(i, "aaa bbb", f"{side}.x.org", "x.org", "org", side)
