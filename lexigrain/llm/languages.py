@@ -31,7 +31,8 @@ from lexigrain.operators.joins import lookup
 
 BITS = 15  # cells of trigrams
 SAMPLE = 20_000  # labelled documents the trigrams come from (in expectation), by hash
-MIN_LABELLED = 3  # documents a language needs in the sample
+LEAST = 1_000  # of these, documents of each language (or all it has)
+MIN_LABELLED = 3  # labelled documents a language needs
 TEMPER = 1 / 3  # a byte lies in three trigrams, which are not independent
 SMOOTH = 0.5  # added to each count of trigrams, suffixes and declarations
 PULL = 20.0  # records of the level above that a host or domain is smoothed with
@@ -76,16 +77,23 @@ class Trigrams:
 def learn(labelled: DataFrame, size: int = SAMPLE) -> Trigrams:
     """Trigram counts of a bounded sample of (doc_id, text, lang).
 
-    Rows are chosen by a hash of their id; the sample has ``size`` rows in expectation
-    at most. Counting is per task, and tables of fixed size are merged.
+    Rows are chosen by a hash of their id: a share of all that gives ``size`` rows in
+    expectation, and more of a language that would have fewer than ``LEAST``. So every
+    language of ``MIN_LABELLED`` documents is known, whatever the number of rows.
+    Counting is per task, and tables of fixed size are merged.
     """
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = known.select("lang").count()
     scale = 1 << 30
-    cut = int(min(1.0, size / max(rows, 1)) * scale)
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < cut).select("lang", "text")
-    names = sorted(r["lang"] for r in sample.groupBy("lang").count().collect()
-                   if r["count"] >= MIN_LABELLED)
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(chance).alias("first"))
+    rows = found.collect()
+    total = sum(r["n"] for r in rows)
+    cuts = [(r["lang"], max(int(min(1.0, max(size / total, LEAST / r["n"])) * scale),
+                            r["first"] + 1)) for r in rows if r["n"] >= MIN_LABELLED]
+    names = sorted(lang for lang, _ in cuts)
+    cut = labelled.sparkSession.createDataFrame(cuts, "lang string, _cut long")
+    sample = known.withColumn("_chance", chance).join(F.broadcast(cut), "lang").filter(
+        "_chance < _cut").select("lang", "text")
     number = {name: i for i, name in enumerate(names)}
     bits = BITS + max(len(names) - 1, 1).bit_length()
 

@@ -73,6 +73,19 @@ def test_fusion_equals_brute_force(spark):
         assert got[i].kept == (got[i].n_grams > 0 and got[i].confidence >= 0.5)
 
 
+def test_rare_languages_stay_known(spark):
+    """A language of few documents is known however many rows the table has."""
+    rows = [(i, "ka lo mi ren tas", "aa") for i in range(3000)]
+    rows += [(5000 + i, "xyz vwq zzy xxw", "bb") for i in range(3)]
+    rows += [(6000 + i, "efg hij ghe jif", "cc") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = L.learn(df, size=30)
+    assert model.languages == ("aa", "bb")
+    docs = df.filter("lang <> 'cc'").withColumn("source", F.lit("s"))
+    found = L.identify(L.document_records(docs, F.col("lang").alias("told")), model)
+    assert found.filter("lang <> told").count() == 0
+
+
 def invented(rng, alphabet, words):
     return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9)))
                     for _ in range(words))
