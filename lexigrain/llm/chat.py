@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURNS = "array<struct<role:string,text:string>>"
+PART = 256  # turns of a conversation that are formatted together
+LARGE = 32 << 20  # bytes of turns that become no record; variants end at 128 MB
 
 
 @dataclass(frozen=True)
@@ -228,23 +230,50 @@ def learned_texts(template: Template = Template()) -> Column:
         F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
 
 
+def _said() -> Column:
+    return F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"),
+                    F.col("text").alias("text"))
+
+
+def known_conversations(rows: DataFrame) -> DataFrame:
+    """The part of :func:`conversations` that has conv_ids."""
+    return (rows.filter(F.col("conv_id").isNotNull()).groupBy(F.col("conv_id").cast("long").alias(
+        "conv_id")).agg(F.sort_array(F.collect_list(_said())).alias("said")))
+
+
+def lone_rows(rows: DataFrame) -> DataFrame:
+    """The part of :func:`conversations` that has none."""
+    return rows.filter(F.col("conv_id").isNull()).select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.array(_said()).alias("said"))
+
+
 def conversations(rows: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) to one row per conversation with its turns in order.
 
     Rows of equal turn are ordered by role and text; repeated rows stay. A row
     without conv_id belongs to no other row and is a conversation of its own.
     """
-    said = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"),
-                    F.col("text").alias("text"))
-    known = (rows.filter(F.col("conv_id").isNotNull()).groupBy(F.col("conv_id").cast("long").alias(
-        "conv_id")).agg(F.sort_array(F.collect_list(said)).alias("said")))
-    alone = rows.filter(F.col("conv_id").isNull()).select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.array(said).alias("said"))
-    return known.unionByName(alone)
+    return known_conversations(rows).unionByName(lone_rows(rows))
 
 
-def as_records(grouped: DataFrame) -> DataFrame:
-    """Conversations to JSON records of the layout that fits their roles."""
+def parts(grouped: DataFrame, size: int = PART) -> DataFrame:
+    """Conversations cut into rows (conv_id, part, said) of at most ``size`` turns, in order.
+
+    Turns are formatted one by one, so the formatted parts in order are the formatted
+    conversation. Nothing is shuffled.
+    """
+    last = F.floor((F.size("said") - 1) / size).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(
+        F.col("said"), i * size + 1, F.lit(size)))
+    return grouped.select("conv_id", F.posexplode(cut).alias("part", "said"))
+
+
+def as_records(grouped: DataFrame, limit: int = LARGE) -> DataFrame:
+    """Conversations (or parts of them) to JSON records of the layout that fits their roles.
+
+    Beyond ``limit`` bytes there is no record; the turns are in ``direct`` then, see
+    :func:`with_direct`.
+    """
     role = F.transform("said", lambda s: s["role"])
 
     def text(at: int) -> Column:
@@ -259,8 +288,30 @@ def as_records(grouped: DataFrame) -> DataFrame:
 
     messages = F.transform("said", lambda s: F.struct(
         s["role"].alias("role"), s["text"].alias("content")))
-    return grouped.select("conv_id", F.when(
-        is_roles("user", "assistant"), record(prompt=text(0), response=text(1))).when(
-        is_roles("system", "user", "assistant") & text(1).isNotNull(),
-        record(instruction=text(0), input=text(1), output=text(2))).otherwise(
-        record(messages=messages)).alias("record"))
+    def width(name: str, turn: Column) -> Column:
+        return F.coalesce(F.octet_length(turn[name]), F.lit(0)).cast("long")
+
+    large = F.aggregate("said", F.lit(0).cast("long"), lambda n, s: n + width("role", s)
+                        + width("text", s)) > limit
+    direct = F.transform("said", lambda s: F.struct(
+        F.coalesce(s["role"], F.lit("")).alias("role"),
+        F.coalesce(s["text"], F.lit("")).alias("text")))
+    return grouped.select(
+        *[c for c in grouped.columns if c != "said"], F.when(
+            large, F.lit(None).cast("string")).when(
+            is_roles("user", "assistant"), record(prompt=text(0), response=text(1))).when(
+            is_roles("system", "user", "assistant") & text(1).isNotNull(),
+            record(instruction=text(0), input=text(1), output=text(2))).otherwise(
+            record(messages=messages)).alias("record"),
+        F.when(large, direct).alias("direct"))
+
+
+def with_direct(df: DataFrame) -> DataFrame:
+    """Rows of :func:`canonical_turns` with the turns of conversations that had no record.
+
+    A row that is left without turns stops the job.
+    """
+    lost = F.raise_error(F.concat(F.lit("conversation "), F.coalesce(
+        F.col("conv_id").cast("string"), F.lit("null")), F.lit(": "), F.col("problem")))
+    return df.withColumn("turns", F.coalesce("turns", "direct", lost.cast(TURNS))).withColumn(
+        "problem", F.when(F.col("direct").isNull(), F.col("problem"))).drop("direct")

@@ -138,17 +138,29 @@ def op10_chat_layouts(spark, sf_dir):
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), probe)
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         "conv_id", "turn", "role", "text").unionByName(added)
-    records = chat.as_records(chat.conversations(rows))
-    formatted = chat.format_turns(chat.canonical_turns(records), template).select(
-        "conv_id", "formatted", "loss_spans")
-    read = formatted.select(
-        "conv_id", "formatted", template.turns(F.col("formatted")).alias("turns"),
-        F.array_join(chat.learned_texts(template), "").alias("learned"))
-    lines = F.transform("turns", lambda t: F.concat(
-        t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    return read.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+
+    def measured(said):
+        """Parts of conversations: what their formatted text holds when read back."""
+        turns = chat.with_direct(chat.canonical_turns(chat.as_records(said)))
+        read = chat.format_turns(turns, template).select(
+            "conv_id", "part", "formatted", template.turns(F.col("formatted")).alias("turns"),
+            F.array_join(chat.learned_texts(template), "").alias("learned"))
+        lines = F.transform("turns", lambda t: F.concat(
+            t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+        return read.select(
+            "conv_id", "part", F.size("turns").cast("long").alias("n_turns"),
+            F.length("formatted").cast("long").alias("formatted_chars"),
+            F.array_join(lines, "").alias("lines"), "learned")
+
+    def joined(name):
+        return F.array_join(F.transform("_parts", lambda p: p[name]), "").alias(name)
+
+    known = measured(chat.parts(chat.known_conversations(rows))).groupBy("conv_id").agg(
+        F.sum("n_turns").alias("n_turns"), F.sum("formatted_chars").alias("formatted_chars"),
+        F.sort_array(F.collect_list(F.struct("part", "lines", "learned"))).alias("_parts")).select(
+        "conv_id", "n_turns", "formatted_chars", joined("lines"), joined("learned"))
+    alone = measured(chat.parts(chat.lone_rows(rows))).drop("part")
+    return known.unionByName(alone).select(
+        "conv_id", "n_turns", F.sha2(F.col("lines").cast("binary"), 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"),
-        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"))
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")

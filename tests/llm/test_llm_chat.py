@@ -83,6 +83,31 @@ def test_long_turns(spark):
     assert learned[0] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_conversation_beyond_a_record(spark, tmp_path):
+    """One conversation of many turns, one of more bytes than a variant holds."""
+    big = "<|end|>0123456789abcdef" * 300_000
+    many = [(1, i, "assistant" if i % 2 else "user", f"turn {i} </s>") for i in range(20_000)]
+    wide = [(2, i, "user", None) for i in range(22)] + [(None, 0, "assistant", "alone")]
+    rows = spark.createDataFrame(many + wide,
+                                 "conv_id long, turn long, role string, text string").withColumn(
+        "text", F.when(F.col("conv_id") == 2, F.lit(big)).otherwise(F.col("text")))
+    rows.repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.QUERIES["op10_chat_layouts"](spark, str(tmp_path)).collect()}
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    assert set(got) == {1, 2, None, -7}
+    assert got[1].n_turns == 20_000 and got[1].loss_chars == sum(
+        len(t) for _, _, role, t in many if role == "assistant")
+    assert got[1].turns_sha256 == sha("".join(f"{role}\n{t}\n" for _, _, role, t in many))
+    assert got[1].loss_sha256 == sha("".join(t for _, _, role, t in many if role == "assistant"))
+    assert got[2].n_turns == 22 and len(big) * 22 > 128 << 20
+    assert got[2].turns_sha256 == sha(f"user\n{big}\n" * 22) and got[2].loss_chars == 0
+    assert got[2].formatted_chars == 22 * (len(big) + 300_000 + len("<|start|>user<|text|><|end|>"))
+    assert got[None].n_turns == 1 and got[None].loss_sha256 == sha("alone")
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 def test_census_and_control_row(spark):
     rows = queries.QUERIES["op10_chat_layouts"](spark, SF_DIR).filter("conv_id = -7").collect()
