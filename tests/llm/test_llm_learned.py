@@ -167,6 +167,20 @@ def test_held_out_accuracy(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.97
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_pages_table(spark):
+    """Pages with all evidence get the language of their markup, and nearly all are kept."""
+    pages = spark.read.parquet(f"{SF_DIR}/pages.parquet").repartition(8)
+    model = L.learn(spark.read.parquet(f"{SF_DIR}/documents.parquet").repartition(8))
+    found = L.identify(L.page_records(pages, "page_id"), model).join(
+        L.page_records(pages, "page_id").select("page_id", F.col("declared").alias("told")),
+        "page_id")
+    right = found.filter("told IS NOT NULL").agg(
+        F.count("*"), F.avg((F.col("lang") == F.col("told")).cast("int")),
+        F.avg(F.col("kept").cast("int"))).head()
+    assert right[0] == 250 and right[1] > 0.98 and right[2] > 0.98
+
+
 def test_rules_of_a_tree():
     described = """DecisionTreeClassificationModel: uid=x, depth=2
   If (feature 0 <= 2.5)
