@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexigrain.llm import (
     chat,
     compression,
+    grid_codes,
     hash_tree,
     jaccard_join,
     languages,
@@ -164,3 +165,52 @@ def op10_chat_layouts(spark, sf_dir):
         "conv_id", "n_turns", F.sha2(F.col("lines").cast("binary"), 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op13_grid_codes", r"""
+    WITH kept AS (
+        SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, embedding,
+            len(embedding) // 16 AS width
+        FROM embeddings WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    cells AS (
+        SELECT r, i // width AS part, i % width AS place,
+            floor(256 * embedding[i + 1]::DOUBLE)::BIGINT AS x
+        FROM (SELECT *, unnest(range(len(embedding))) AS i FROM kept)),
+    book0 AS (SELECT part, r AS entry, place, x AS c FROM cells WHERE r < 64),
+    near1 AS (
+        SELECT r, part, min(far) % 64 AS entry FROM (
+            SELECT r, part, sum((x - c) * (x - c)) * 64 + entry AS far
+            FROM cells JOIN book0 USING (part, place) GROUP BY r, part, entry) GROUP BY r, part),
+    sums1 AS (
+        SELECT part, entry, place, sum(x) AS s, count(*) AS n
+        FROM cells JOIN near1 USING (r, part) GROUP BY part, entry, place),
+    book1 AS (
+        SELECT part, entry, place, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c
+        FROM book0 LEFT JOIN sums1 USING (part, entry, place)),
+    near2 AS (
+        SELECT r, part, min(far) % 64 AS entry FROM (
+            SELECT r, part, sum((x - c) * (x - c)) * 64 + entry AS far
+            FROM cells JOIN book1 USING (part, place) GROUP BY r, part, entry) GROUP BY r, part),
+    sums2 AS (
+        SELECT part, entry, place, sum(x) AS s, count(*) AS n
+        FROM cells JOIN near2 USING (r, part) GROUP BY part, entry, place),
+    book2 AS (
+        SELECT part, entry, place, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c
+        FROM book1 LEFT JOIN sums2 USING (part, entry, place)),
+    near3 AS (
+        SELECT r, part, min(far) % 64 AS entry, min(far) // 64 AS lost FROM (
+            SELECT r, part, sum((x - c) * (x - c)) * 64 + entry AS far
+            FROM cells JOIN book2 USING (part, place) GROUP BY r, part, entry) GROUP BY r, part),
+    coded AS (
+        SELECT r, string_agg(format('{:02x}', entry::BIGINT), '' ORDER BY part) AS code,
+            sum(lost)::BIGINT AS error
+        FROM near3 GROUP BY r)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+        (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, place)) FROM book2)
+            AS codebooks_sha256
+    FROM kept JOIN coded USING (r)""")
+def op13_grid_codes(spark, sf_dir):
+    coded, books = grid_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error",
+                        F.lit(grid_codes.books_digest(books)).alias("codebooks_sha256"))
