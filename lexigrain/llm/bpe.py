@@ -36,7 +36,7 @@ class RunEncoder:
 
     def blocks(self, text: str) -> Iterator[bytes]:
         """The ids of a text, a block of runs at a time."""
-        yield from map(self._encode, _run_blocks(text))
+        yield from map(self._encode, run_blocks(text))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.blocks(text)), "<u4")
@@ -94,14 +94,14 @@ class RankEncoder:
         self.sizes: dict[str, int] = {}
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self._encode, _run_blocks(text)))
+        return b"".join(map(self._encode, run_blocks(text)))
 
     def forget(self) -> None:
         """Give the memory of remembered ids back; the sizes are small and stay."""
         self.known, self.before = {}, {}
 
     def count(self, text: str) -> int:
-        return sum(map(self._count, _run_blocks(text)))
+        return sum(map(self._count, run_blocks(text)))
 
     def _encode(self, runs: list[str]) -> bytes:
         if len(self.known) > self.limit:
@@ -120,7 +120,7 @@ class RankEncoder:
         return sum(map(sizes.__getitem__, runs))
 
 
-def _run_blocks(text: str) -> Iterator[list[str]]:
+def run_blocks(text: str) -> Iterator[list[str]]:
     """The runs of a text, a block of them at a time."""
     if len(text) <= BLOCK:
         yield RUNS.findall(text)

@@ -17,6 +17,7 @@ from lexigrain.llm import (
     jaccard_join,
     languages,
     packing,
+    prefix_trie,
     rule_ensemble,
     string_tiling,
     token_counts,
@@ -214,3 +215,13 @@ def op13_grid_codes(spark, sf_dir):
     coded, books = grid_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error",
                         F.lit(grid_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+@query("op12_prefix_trie_codec")
+def op12_prefix_trie_codec(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = prefix_trie.encode(table(spark, sf_dir, "documents"), path)
+    digest = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
+    decoded = prefix_trie.decode(encoded.withColumn("ids_sha256", digest), path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256",
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
