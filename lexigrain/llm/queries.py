@@ -22,6 +22,7 @@ from lexigrain.llm import (
     string_tiling,
     token_counts,
     training_order,
+    turn_repair,
 )
 from lexigrain.llm.common import table
 from lexigrain.session import shared_path
@@ -225,3 +226,9 @@ def op12_prefix_trie_codec(spark, sf_dir):
     decoded = prefix_trie.decode(encoded.withColumn("ids_sha256", digest), path)
     return decoded.select("doc_id", "n_tokens", "ids_sha256",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op11_turn_repair")
+def op11_turn_repair(spark, sf_dir):
+    rows = turn_repair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return turn_repair.summarise(turn_repair.repair(rows, copies="copies"))
