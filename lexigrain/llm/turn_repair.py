@@ -27,7 +27,7 @@ from lexigrain.llm.common import small_batches
 from lexigrain.llm.folders import landed
 from lexigrain.operators.joins import lookup
 
-CHUNK = 256  # rows that are searched at a time
+CHUNK = 64  # rows that are searched at a time
 CHUNK_TEXT = 8 << 20  # characters after which a chunk takes no further row
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 START, SYSTEM, USER, ASSISTANT = range(4)  # what was said last
@@ -95,15 +95,15 @@ def _least(symbols: str, behind: list[int]) -> list[int]:
 
 
 def search(symbols: str, entry: int = START, behind: list[int] = END_COSTS,
-           bound: int | None = None) -> tuple[int, str, int]:
+           least: list[int] | None = None) -> tuple[int, str, int]:
     """(cost, edits, state after) of the cheapest, then ASCII-least, path over rows.
 
     A path ends with its last row; ``behind`` gives the cost that follows in each state
-    (``FAR``: not allowed). A known cost may be given as the first bound.
+    (``FAR``: not allowed). ``least`` is what searches of the same rows have learned.
     """
-    least = _least(symbols, behind)
+    least = _least(symbols, behind) if least is None else least
     end = 4 * len(symbols)
-    bound = least[entry] if bound is None else bound
+    bound = least[entry]
     while bound < FAR:
         # a frame: state, cost so far, its moves, the next of them, the least cost seen beyond
         frames, path = [[entry, 0, None, 0, FAR]], []
@@ -140,15 +140,16 @@ def search(symbols: str, entry: int = START, behind: list[int] = END_COSTS,
 def crossing_costs(symbols: str) -> list[int]:
     """The costs of a chunk from each state to each state, ``FAR`` where there is no way."""
     costs = [FAR] * 16
-    for entry in range(4):
-        for leave in range(4):
+    for leave in range(4):
+        behind = [FAR] * 4
+        behind[leave] = 0
+        least = _least(symbols, behind)
+        for entry in reversed(range(4)):
             if leave < entry and entry < USER or leave < USER and entry >= USER:
                 continue  # nothing said is taken back
             if entry == START and leave == SYSTEM and not set(symbols) & {"s", "S"}:
                 continue
-            behind = [FAR] * 4
-            behind[leave] = 0
-            costs[4 * entry + leave] = search(symbols, entry, behind)[0]
+            costs[4 * entry + leave] = search(symbols, entry, behind, least)[0]
     return costs
 
 
@@ -352,8 +353,9 @@ def _walked(chunks: DataFrame) -> DataFrame:
             paths = []
             for symbols, behind in zip(column(batch, "symbols"), column(batch, "behind"),
                                        strict=True):
+                least = _least(symbols, behind)
                 paths.append([dict(zip(("cost", "edits", "state"), search(
-                    symbols, entry, behind), strict=True)) for entry in range(4)])
+                    symbols, entry, behind, least), strict=True)) for entry in range(4)])
             kind = pa.list_(pa.struct([("cost", pa.int64()), ("edits", pa.string()),
                                        ("state", pa.int32())]))
             kept = [i for i, n in enumerate(batch.schema.names) if n not in ("symbols", "behind")]
