@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from lexigrain.llm.memory import Generations
+
 #: The characters with the Unicode property White_Space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 RUNS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
@@ -23,16 +25,14 @@ BLOCK = 1 << 20  # characters of a long text that are encoded at a time
 class RunEncoder:
     """Encode texts as little-endian unsigned 32-bit ids, without special tokens added."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 32 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known = Generations(limit)
 
     def blocks(self, text: str) -> Iterator[bytes]:
         """The ids of a text, a block of runs at a time."""
@@ -41,24 +41,14 @@ class RunEncoder:
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.blocks(text)), "<u4")
 
-    def forget(self) -> None:
-        """Give the memory of remembered runs back; later tasks of the worker need it."""
-        self.known, self.before = {}, {}
-
     def _encode(self, runs: list[str]) -> bytes:
-        if len(self.known) > self.limit:  # runs of the generation before are kept if met again
-            self.before, self.known = self.known, {}
-        known, before, fresh = self.known, self.before, []
-        for run in set(runs).difference(known):
-            if run in before:
-                known[run] = before[run]
-            else:
-                fresh.append(run)
+        known = self.known
+        fresh = known.missing(set(runs))
         if fresh:
             for run, found in zip(fresh, self.tokenizer.encode_batch_fast(
                     fresh, add_special_tokens=False), strict=True):
-                known[run] = array("I", found.ids).tobytes()
-        return b"".join(map(known.__getitem__, runs))
+                known.put(run, array("I", found.ids).tobytes())
+        return b"".join(map(known.young.__getitem__, runs))
 
 
 _encoders: dict[str, RunEncoder] = {}
@@ -77,7 +67,7 @@ class RankEncoder:
     ``pattern`` splits text before the merges. Strings of special tokens are plain text.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+    def __init__(self, path: str, pattern: str, limit: int = 32 << 20):
         import base64
 
         import tiktoken
@@ -88,31 +78,24 @@ class RankEncoder:
             raise ValueError("ids do not fit into 16 bits")
         self.merge = tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known = Generations(limit)
+        self.most = limit // 50
         self.sizes: dict[str, int] = {}
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self._encode, run_blocks(text)))
 
-    def forget(self) -> None:
-        """Give the memory of remembered ids back; the sizes are small and stay."""
-        self.known, self.before = {}, {}
-
     def count(self, text: str) -> int:
         return sum(map(self._count, run_blocks(text)))
 
     def _encode(self, runs: list[str]) -> bytes:
-        if len(self.known) > self.limit:
-            self.before, self.known = self.known, {}
-        known, before, merge = self.known, self.before, self.merge
-        for run in set(runs).difference(known):
-            known[run] = before[run] if run in before else array("H", merge(run)).tobytes()
-        return b"".join(map(known.__getitem__, runs))
+        known, merge = self.known, self.merge
+        for run in known.missing(set(runs)):
+            known.put(run, array("H", merge(run)).tobytes())
+        return b"".join(map(known.young.__getitem__, runs))
 
     def _count(self, runs: list[str]) -> int:
-        if len(self.sizes) > 2 * self.limit:
+        if len(self.sizes) > self.most:
             self.sizes.clear()
         sizes, merge = self.sizes, self.merge
         for run in set(runs).difference(sizes):

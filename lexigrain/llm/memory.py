@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 OVERHEAD = 160  # bytes of a dictionary entry and the headers of its key and value
-LONGEST = 1 << 10  # longer keys are not remembered
 
 
 class Generations:
     """Values by key in two generations; keys met again outlive the older one.
 
-    The generations together take at most ``limit`` bytes, so a worker that stays for
-    many tasks neither grows nor starts cold.
+    The generations together take about ``limit`` bytes between calls, so a worker that
+    stays for many tasks neither grows nor starts cold.
     """
 
     def __init__(self, limit: int = 48 << 20):
@@ -19,25 +18,20 @@ class Generations:
         self.old: dict = {}
         self.size = 0
 
-    def take(self, wanted: set) -> tuple[dict, list]:
-        """The known values of keys, and the keys without one."""
-        young, old = self.young, self.old
-        found, missing = {}, []
-        for key in wanted:
-            value = young.get(key)
-            if value is None:
-                value = old.get(key)
-                if value is None:
-                    missing.append(key)
-                    continue
-                self.put(key, value)
-            found[key] = value
-        return found, missing
+    def missing(self, keys: set) -> list:
+        """The keys without a value; the values of all others are in ``young``."""
+        if self.size > 2 * self.half:  # one huge key or value
+            self.young, self.old, self.size = {}, {}, 0
+        elif self.size > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        old, out = self.old, []
+        for key in keys.difference(self.young):
+            if key in old:
+                self.put(key, old[key])
+            else:
+                out.append(key)
+        return out
 
     def put(self, key, value: bytes) -> None:
-        if len(key) > LONGEST:
-            return
-        if self.size > self.half:
-            self.old, self.young, self.size = self.young, {}, 0
         self.young[key] = value
         self.size += len(key) + len(value) + OVERHEAD

@@ -63,7 +63,6 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end_id:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)],
                 schema=schema)
-        encode.forget()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                          F.col(text).alias("text"))

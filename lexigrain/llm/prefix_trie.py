@@ -205,16 +205,14 @@ class TrieEncoder:
         return found
 
     def encode_runs(self, runs: set[str]) -> dict[str, bytes]:
-        """The ids of distinct runs: remembered, or put together from their words."""
-        found, missing = self.known.take(runs)
-        split = {run: self.words_of(run) for run in missing}
+        """The ids of these runs (and others): remembered, or put together from their words."""
+        split = {run: self.words_of(run) for run in self.known.missing(runs)}
         ids = self.encode_words({w for words in split.values() for w in words
                                  if isinstance(w, str)})
         for run, words in split.items():
-            found[run] = b"".join(ids[w] if isinstance(w, str) else array("I", [w]).tobytes()
-                                  for w in words)
-            self.known.put(run, found[run])
-        return found
+            self.known.put(run, b"".join(
+                ids[w] if isinstance(w, str) else array("I", [w]).tobytes() for w in words))
+        return self.known.young
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of texts; the new words of about 2 MB share a trie."""

@@ -99,7 +99,6 @@ def sequences(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH,
                 [pa.array(c, t) for c, t in zip(columns, (
                     pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                 names=["doc_id", "piece", "n_tokens", "body"])
-        encode.forget()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                          F.col(text).alias("text"))
@@ -117,7 +116,6 @@ def sequence_counts(docs: DataFrame, ranks: str, pattern: str, length: int = LEN
         encode, count = rank_encoder(ranks, pattern), 0
         for batch in small_batches(batches):
             count += sum(encode.count(value) // length + 1 for value in texts_of(batch))
-        encode.forget()
         yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["n"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
