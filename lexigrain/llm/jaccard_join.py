@@ -39,7 +39,7 @@ from lexigrain.operators.joins import first_per_key, lookup
 
 WIDTH = 5
 PERCENT = 75
-COUNTER_BITS = 20  # cells of the frequency table; 26 (64 MB in a task) for 100 TB
+COUNTER_BITS = 20  # cells of the frequency table, 4 MB that every task lands
 SET_BITS = 24  # bits of the set of candidates that tells which documents to read again
 BINS = 64  # ranges of shingles whose counts the suffix filter compares
 SEEN = 200_000  # sets a task remembers to send copies once
@@ -47,6 +47,8 @@ SALTED = 4096  # documents of one shingle that one group may hold
 # one number holds, from the low bits: the place of a shingle in its prefix, the size of the
 # set, the part of a hot shingle (1 to 32; 0 for others), how frequent its shingles are
 PLACE_BITS, SIZE_BITS, PART_BITS, SCORE_BITS = 23, 25, 6, 9
+HUGE = (1 << SIZE_BITS) - 1  # sets of this many shingles or more pass the filters
+SMALL = 32  # rows of a group that are all compared in place
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -203,7 +205,7 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, table) -> Dat
                 dealt = salts[cells[order]].astype(np.uint64)
                 part = np.uint64(sig & 0xFFFF) & ((np.uint64(1) << dealt) - np.uint64(1))
                 part = np.where(dealt > 0, part + np.uint64(1), np.uint64(0)).astype(np.int64)
-                size = min(len(values), (1 << SIZE_BITS) - 1)
+                size = min(len(values), HUGE)
                 parts[2].append(((score << PART_BITS | part) << SIZE_BITS | size) << PLACE_BITS
                                 | np.minimum(np.arange(len(order)), (1 << PLACE_BITS) - 1))
             if parts[0]:
@@ -230,6 +232,7 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, table) -> Dat
         n = (at >> PLACE_BITS & (1 << SIZE_BITS) - 1).astype(np.int32)
         pos = (at & (1 << PLACE_BITS) - 1).astype(np.int32)
         passed = ~first & within(n, n[starts], pos, pos[starts], percent)
+        keep &= partnered(starts, np.repeat(sizes, sizes), part, n, pos, percent)
         pivot = pa.array(sig[starts][keep], pa.int64(), mask=~passed[keep])
         columns = [h[keep], sig[keep], n[keep], pos[keep]]
         for low in range(0, len(pivot), 100_000):
@@ -243,11 +246,33 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, table) -> Dat
         group, "h long, sig long, n int, pos int, pivot long"), "postings")
 
 
+def partnered(starts: np.ndarray, sizes: np.ndarray, part: np.ndarray, n: np.ndarray,
+              pos: np.ndarray, percent: int) -> np.ndarray:
+    """Rows that may have a similar one in their group (all rows of a large or dealt group).
+
+    Rows of a group stand together; ``starts`` is the place of the first and ``sizes``
+    how many there are.
+    """
+    out = (sizes > SMALL) | (part > 0)
+    left = np.flatnonzero(~out & (sizes > 1))
+    for apart in range(1, SMALL):
+        left = left[starts[left] + sizes[left] > left + apart]
+        if not len(left):
+            break
+        met = left[within(n[left], n[left + apart], pos[left], pos[left + apart], percent)]
+        out[met] = out[met + apart] = True
+    return out
+
+
 def within(n_a, n_b, pos_a, pos_b, percent: int):
-    """Length and positional filter: can the pair be similar if this is its first match?"""
+    """Length and positional filter: can the pair be similar if this is its first match?
+
+    The size of a huge set is not known exactly; it passes.
+    """
     short, long = np.minimum(n_a, n_b).astype(np.int64), np.maximum(n_a, n_b).astype(np.int64)
     most = 1 + np.minimum(n_a - pos_a, n_b - pos_b).astype(np.int64) - 1
-    return (100 * short >= percent * long) & ((100 + percent) * most >= percent * (short + long))
+    return (long >= HUGE) | (
+        (100 * short >= percent * long) & ((100 + percent) * most >= percent * (short + long)))
 
 
 def within_columns(percent: int) -> Column:
@@ -255,9 +280,10 @@ def within_columns(percent: int) -> Column:
     b = {c: F.col(f"b.{c}") for c in ("n", "pos")}
     total = (a["n"] + b["n"]).cast("long")
     most = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
-    return ((100 * F.least(a["n"], b["n"]).cast("long")
-             >= percent * F.greatest(a["n"], b["n"]).cast("long"))
-            & ((100 + percent) * most.cast("long") >= percent * total))
+    similar = ((100 * F.least(a["n"], b["n"]).cast("long")
+                >= percent * F.greatest(a["n"], b["n"]).cast("long"))
+               & ((100 + percent) * most.cast("long") >= percent * total))
+    return (F.greatest(a["n"], b["n"]) >= HUGE) | similar
 
 
 def among(sets: DataFrame, chosen, *columns: str) -> DataFrame:
@@ -401,12 +427,14 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rooted = least.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select(
         "sig", "least", F.coalesce("root", "sig").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = rooted.join(named, "root").select("sig", "component_id", "root")
+    by_set = landed(lookup(rooted, landed(named, "named"), ["root"], ["sig"], "inner").select(
+        "sig", "component_id", "root"), "by_set")
     shown = ["doc_id", "n_shingles", "component_id", "root", *carry]
     words = sets.filter("sig is not null").withColumnRenamed("n", "n_shingles")
     none = sets.filter("sig is null").withColumnRenamed("n", "n_shingles").withColumn(
         "component_id", F.col("doc_id")).withColumn("root", F.col("sig"))
-    return words.join(by_set, "sig").select(*shown).unionAll(none.select(*shown))
+    found = lookup(words, by_set, ["sig"], ["doc_id"], "inner")
+    return found.select(*shown).unionAll(none.select(*shown))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -423,7 +451,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
                      F.col("_b"))
     best = found.groupBy("root").agg(F.min(order).alias("best"))
     key = F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    marked = found.join(best, "root").select(
+    marked = lookup(found, landed(best, "best"), ["root"], ["_a"], "inner").select(
         key.alias("key"), ((F.col("best._a") == F.col("_a")) & (F.col("best._b") == F.col("_b")))
         .alias("stays"))
     kept = without(docs, row_key("doc_id", "text"), marked.filter("not stays").select("key"))
