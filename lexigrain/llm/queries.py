@@ -102,10 +102,7 @@ def op8_training_order(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = training_order.sequences(docs, *tokenizer)
     counts = training_order.sequence_counts(docs, *tokenizer)
-    index = training_order.materialise(rows, counts, folder, key=2026)
-    stored = training_order.read_slots(spark, folder, index).select(
-        "slot", F.crc32("ids").alias("record_crc32"))
-    return index.join(stored, "slot")
+    return training_order.materialise(rows, counts, folder, key=2026)
 
 
 @query("op9_power_of_two_packing")

@@ -145,10 +145,11 @@ def numbered(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, int]:
 
 def materialise(rows: DataFrame, counts: DataFrame, folder: str, key: int = 1, length: int = LENGTH,
                 pad_id: int = 50256, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Write the shards and return their index (slot, shard, doc_id, piece, n_tokens).
+    """Write the shards and return their index (slot, shard, doc_id, piece, n_tokens,
+    record_crc32, the checksum of the whole stored record).
 
     ``rows`` and ``counts`` come from ``sequences`` and ``sequence_counts`` of the same
-    documents.
+    documents; more or fewer rows than counted stop the job.
 
     One task writes one shard, under a name of its own that is then moved into place,
     so a repeated or doubled task leaves the same whole file. No rows write nothing.
@@ -162,9 +163,12 @@ def materialise(rows: DataFrame, counts: DataFrame, folder: str, key: int = 1, l
         return pd.Series(permuted(numbers.to_numpy(), count, key))
 
     schema = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("doc_id", pa.int64()),
-                        ("piece", pa.int64()), ("n_tokens", pa.int64())])
+                        ("piece", pa.int64()), ("n_tokens", pa.int64()),
+                        ("record_crc32", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
         import zstandard
         from pyarrow import fs
 
@@ -180,6 +184,7 @@ def materialise(rows: DataFrame, counts: DataFrame, folder: str, key: int = 1, l
                 store.move(name, f"{root}/{shard_name(open_shard)}")
 
         for batch in batches:
+            sums = []
             for shard, body in zip(column_like(batch, "shard").to_pylist(),
                                    column_like(batch, "body"), strict=True):
                 if shard != open_shard:
@@ -187,16 +192,25 @@ def materialise(rows: DataFrame, counts: DataFrame, folder: str, key: int = 1, l
                     open_shard, name = shard, f"{root}/_{uuid.uuid4().hex}"
                     stream = store.open_output_stream(name)
                 data = expand.decompress(body.as_buffer())
-                stream.write(data + padding[len(data):])
-            yield batch.select(schema.names)
+                record = data + padding[len(data):]
+                stream.write(record)
+                sums.append(zlib.crc32(record))
+            yield pa.RecordBatch.from_arrays(
+                [*(column_like(batch, n) for n in schema.names[:-1]), pa.array(sums, pa.int64())],
+                schema=schema)
         close()
 
     shards = -(-count // shard_rows)
     dealt = placed.withColumn("slot", slot_of("number")).withColumn(
         "shard", (F.col("slot") / shard_rows).cast("int"))
     ranged = dealt.repartitionById(max(shards, 1), F.col("shard")).sortWithinPartitions("slot")
-    return landed(ranged.select("slot", "shard", "doc_id", "piece", "n_tokens", "body").mapInArrow(
-        write, "slot long, shard int, doc_id long, piece long, n_tokens long"), "index")
+    index = landed(ranged.select("slot", "shard", "doc_id", "piece", "n_tokens", "body").mapInArrow(
+        write, "slot long, shard int, doc_id long, piece long, n_tokens long, record_crc32 long"),
+        "index")
+    written = index.count()  # no task has more rows than counted, so equal sums are equal counts
+    if written != count:
+        raise RuntimeError(f"{written} sequences were written, {count} were counted")
+    return index
 
 
 def shard_name(shard: int) -> str:

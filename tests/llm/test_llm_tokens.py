@@ -110,6 +110,7 @@ def test_shards_hold_every_sequence_at_its_slot(spark, edge, empty, bpe):
     stored = {r.slot: np.frombuffer(r.ids, "<u2") for r in training_order.read_slots(
         spark, folder, index, 64, 0, 100).collect()}
     assert sorted(stored) == sorted(placed) and all(len(v) == 64 for v in stored.values())
+    assert all(r.record_crc32 == zlib.crc32(stored[r.slot].tobytes()) for r in placed.values())
     whole = Tokenizer.from_file(bpe)
     for doc in (7, 8, 12, 13):
         text = edge.filter(f"doc_id = {doc}").head().text
@@ -122,3 +123,14 @@ def test_shards_hold_every_sequence_at_its_slot(spark, edge, empty, bpe):
         training_order.sequences(empty, *ranks), training_order.sequence_counts(empty, *ranks),
         folder + "-none")
     assert nothing.count() == 0
+
+
+def test_fewer_or_more_sequences_than_counted_stop_the_job(spark, edge):
+    ranks = TOKENIZERS.path("byte_bpe_50k.tiktoken"), TOKENIZERS.PATTERN
+    some = edge.filter("doc_id > 5")
+    for counted, written in ((edge, some), (some, edge)):
+        rows = training_order.sequences(written, *ranks, length=64)
+        counts = training_order.sequence_counts(counted, *ranks, length=64)
+        with pytest.raises(Exception, match="were counted|between counting and writing"):
+            training_order.materialise(rows, counts, f"file://{shared_path(spark, 'torn')}",
+                                       length=64, shard_rows=100)
