@@ -25,7 +25,7 @@ BLOCK = 1 << 20  # characters of a long text that are encoded at a time
 class RunEncoder:
     """Encode texts as little-endian unsigned 32-bit ids, without special tokens added."""
 
-    def __init__(self, path: str, limit: int = 32 << 20):
+    def __init__(self, path: str, limit: int = 96 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,7 +67,7 @@ class RankEncoder:
     ``pattern`` splits text before the merges. Strings of special tokens are plain text.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 32 << 20):
+    def __init__(self, path: str, pattern: str, limit: int = 96 << 20):
         import base64
 
         import tiktoken
@@ -79,7 +79,7 @@ class RankEncoder:
         self.merge = tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known = Generations(limit)
-        self.most = limit // 50
+        self.most = limit // 160
         self.sizes: dict[str, int] = {}
 
     def ids(self, text: str) -> bytes:
