@@ -2,7 +2,9 @@
 
 English and German documents are articles (the German ones appear twice, English
 ones of one source carry no namespace), Spanish ones template pages, French ones
-template redirects, each after a page that is not closed.
+template redirects, each after a page that is not closed. Comments of English revisions
+hold a closing tag in CDATA, a page whose opening tag is torn stands before German ones,
+and one inside a comment after Spanish ones.
 """
 
 from __future__ import annotations
@@ -61,10 +63,14 @@ def land_dump(spark, sf_dir):
         F.lit("  <page>\n    <title>"), title, F.lit("</title>\n    "), ns, F.lit("\n    <id>"),
         F.col("doc_id").cast("string"), F.lit("</id>\n    "), redirect,
         F.lit("<revision><id>7</id>\n<text xml:space=\"preserve\">"), escape_markup(text),
-        F.lit("</text></revision>\n  </page>"))
+        F.lit("</text>"), F.when(F.col("lang") == "en", "<comment><![CDATA[ </page> ]]></comment>")
+        .otherwise(""), F.lit("</revision>\n  </page>"))
     unclosed = F.lit("  <page>\n    <title>Torn</title><id>1</id>")
-    copies = (F.when(F.col("lang") == "de", F.array(page, page))
-              .when(F.col("lang") == "fr", F.array(unclosed, page)).otherwise(F.array(page)))
+    torn = F.lit("age>\n    <title>Torn</title><id>1</id></page>")
+    comment = F.lit("<!-- <page><title>Old</title><id>2</id></page> -->")
+    copies = (F.when(F.col("lang") == "de", F.array(torn, page, page))
+              .when(F.col("lang") == "fr", F.array(unclosed, page))
+              .when(F.col("lang") == "es", F.array(page, comment)).otherwise(F.array(page)))
     # one range of pages per file, in order, as a dump is
     lines = documents(spark, sf_dir).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     path = shared_path(spark, "dump")
@@ -105,7 +111,8 @@ def dump_site_info(spark, sf_dir):
 
 
 @query("dump_rejects", """
-    SELECT 'malformed record' AS reason, count(*) AS n_pages FROM documents WHERE lang = 'fr'""")
+    SELECT CASE lang WHEN 'fr' THEN 'malformed record' ELSE 'no opening tag' END AS reason,
+        count(*) AS n_pages FROM documents WHERE lang IN ('fr', 'de') GROUP BY 1""")
 def dump_rejects(spark, sf_dir):
     return read_dump_rejects(spark, land_dump(spark, sf_dir) + "/pages").groupBy("reason").agg(
         F.count("*").alias("n_pages"))

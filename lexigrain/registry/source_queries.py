@@ -154,15 +154,23 @@ def common_document_table(spark, sf_dir):
 
 
 def _news_items(spark, sf_dir):
-    """XML items over several lines; German ones are malformed, Spanish ones unclosed."""
+    """XML items over several lines. German ones are malformed; before Spanish ones stands an
+    unclosed one, before French ones one whose opening tag is torn. French texts are CDATA
+    with an item in it, and after English items stands one inside a comment."""
+    tagged = "<newsitem><title>no</title></newsitem>"
+    text = F.when(F.col("lang") == "fr", F.concat(
+        F.lit("<![CDATA["), "text", F.lit(f"<!-- {tagged}]]>"))).otherwise(
+        escape_markup(F.col("text")))
     good = F.concat(F.lit('<newsitem itemid="'), "doc_id", F.lit('">\n<title>'), "source",
-                    F.lit("</title>\n<text>"), escape_markup(F.col("text")),
-                    F.lit("</text>\n</newsitem>"))
+                    F.lit("</title>\n<text>"), text, F.lit("</text>\n</newsitem>"))
     bad = F.concat(F.lit("<newsitem><title>"), "source", F.lit("</newsitem>"))
     unclosed = F.concat(F.lit("<newsitem><title>"), "source", F.lit("</title>\n<text>lost</text>"))
+    torn = F.concat(F.lit("ewsitem><title>"), "source", F.lit("</title></newsitem>"))
+    comment = F.concat(F.lit("<!-- <![CDATA[ "), F.lit(tagged), F.lit(tagged), F.lit(" -->"))
     # one file ends with a record that is whole, so that no unclosed one stands last
-    end = F.when(F.col("lang") == "es", F.array(unclosed, good)).otherwise(
-        F.array(F.when(F.col("lang") == "de", bad).otherwise(good)))
+    end = (F.when(F.col("lang") == "es", F.array(unclosed, good))
+           .when(F.col("lang") == "fr", F.array(torn, good))
+           .when(F.col("lang") == "de", F.array(bad)).otherwise(F.array(good, comment)))
     return documents(spark, sf_dir).select(F.explode(end).alias("value"))
 
 
@@ -175,8 +183,9 @@ def _read_items(spark, path):
 
 
 @query("xml_records", """
-    SELECT doc_id, source AS title, trim(text, E' \\t\\n\\r') AS text FROM documents
-    WHERE lang <> 'de'""")
+    SELECT doc_id, source AS title, trim(text, E' \\t\\n\\r') || CASE lang WHEN 'fr' THEN
+        '<!-- <newsitem><title>no</title></newsitem>' ELSE '' END AS text
+    FROM documents WHERE lang <> 'de'""")
 def xml_records(spark, sf_dir):
     records = _read_items(spark, land(_news_items(spark, sf_dir), "newsitems"))
     good = X.good_records(records)
@@ -186,15 +195,18 @@ def xml_records(spark, sf_dir):
 
 @query("xml_record_counts", """
     SELECT count(*) FILTER (lang <> 'de') AS good,
-           count(*) FILTER (lang IN ('de', 'es')) AS corrupt FROM documents""")
+           count(*) FILTER (lang IN ('de', 'es', 'fr')) AS corrupt FROM documents""")
 def xml_record_counts(spark, sf_dir):
     return X.record_counts(_read_items(spark, land(_news_items(spark, sf_dir), "newsitems")))
 
 
 @query("xml_rejects", """
-    SELECT 'malformed record' AS reason, CASE lang WHEN 'de' THEN '<newsitem><title>' || source
-        || '</newsitem>' ELSE '<newsitem><title>' || source || '</title> <text>lost</text>' END
-        AS record, count(*) AS n_records FROM documents WHERE lang IN ('de', 'es') GROUP BY ALL""")
+    SELECT CASE lang WHEN 'fr' THEN 'no opening tag' ELSE 'malformed record' END AS reason,
+        CASE lang WHEN 'de' THEN '<newsitem><title>' || source || '</newsitem>'
+        WHEN 'fr' THEN 'ewsitem><title>' || source || '</title></newsitem>'
+        ELSE '<newsitem><title>' || source || '</title> <text>lost</text>' END
+        AS record, count(*) AS n_records FROM documents WHERE lang IN ('de', 'es', 'fr')
+    GROUP BY ALL""")
 def xml_rejects(spark, sf_dir):
     bad = X.rejected_records(_read_items(spark, land(_news_items(spark, sf_dir), "newsitems")))
     return bad.groupBy("reason", F.trim(F.regexp_replace("record", r"\s+", " ")).alias(
@@ -472,31 +484,39 @@ _ITEM_DATE = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
 @query("feed_items", f"""
     SELECT CASE WHEN event_type <> 'click' THEN 'e' || event_id END AS entry_id,
            'http://x.org/' || event_id AS link,
+           CASE event_type WHEN 'view' THEN 't</item><item>' ELSE 't' END AS title,
            CASE WHEN event_type <> 'view' THEN {_ITEM_DATE} END AS published FROM events""")
 def feed_items(spark, sf_dir):
     return X.read_feed_entries(spark, _land_items(spark, sf_dir)).select(
-        "entry_id", "link", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
+        "entry_id", "link", "title", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
 @query("feed_item_rejects", """
-    SELECT 'malformed record' AS reason, count(*) AS n_records FROM events
-    WHERE event_type = 'click'""")
+    SELECT CASE event_type WHEN 'click' THEN 'malformed record' ELSE 'no opening tag' END AS reason,
+        count(*) AS n_records FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
 def feed_item_rejects(spark, sf_dir):
     return X.read_feed_rejects(spark, _land_items(spark, sf_dir)).groupBy("reason").agg(
         F.count("*").alias("n_records"))
 
 
 def _land_items(spark, sf_dir):
-    """One item per event; an unclosed one stands before that of a click."""
+    """One item per event. An unclosed one stands before that of a click, one with a torn
+    opening before that of a view, whose title is CDATA that closes an item; after the
+    others stands an item inside a comment."""
     guid = F.when(F.col("event_type") != "click", F.concat(
         F.lit("<guid>e"), "event_id", F.lit("</guid>"))).otherwise("")
     date = F.when(F.col("event_type") != "view", F.concat(
         F.lit("<pubDate>"), F.date_format("ts", "E, dd MMM yyyy HH:mm:ss"),
         F.lit(" GMT</pubDate>"))).otherwise("")
-    unclosed = F.when(F.col("event_type") == "click", "<item><title>u</title>").otherwise("")
+    before = (F.when(F.col("event_type") == "click", "<item><title>u</title>")
+              .when(F.col("event_type") == "view", "item><title>u</title></item>").otherwise(""))
+    title = F.when(F.col("event_type") == "view", "<![CDATA[t</item><item>]]>").otherwise("t")
+    after = F.when(F.col("event_type").isin("click", "view"), "").otherwise(
+        "<!-- <item><title>u</title></item> -->")
     items = table(spark, sf_dir, "events").select(F.concat(
-        unclosed, F.lit("<item>"), guid, F.lit("<link>http://x.org/"), "event_id",
-        F.lit("</link><title>t</title>"), date, F.lit("</item>")).alias("value"))
+        before, F.lit("<item>"), guid, F.lit("<link>http://x.org/"), "event_id",
+        F.lit("</link><title>"), title, F.lit("</title>"), date, F.lit("</item>"), after).alias(
+        "value"))
     return land(items, "items")
 
 

@@ -1,10 +1,11 @@
 """XML sources: news corpora, encyclopedia dumps, landed feed files.
 
 Records are cut at their closing tag by the text reader, which splits plain and
-bz2 files over many tasks, then before every opening tag, and each one is parsed on
-its own with ``from_xml``. So one huge file feeds the whole cluster, files glued
-together need no common root, and a malformed or unclosed record spoils only itself.
-A closing tag inside CDATA ends its record, which then counts as corrupt.
+bz2 files over many tasks, chunks whose closing tag stands in CDATA or in a comment are
+glued to the next (``xml_sections``), and what is left is cut before every opening tag and
+parsed record by record with ``from_xml``. So one huge file feeds the whole cluster, files
+glued together need no common root, and a malformed, torn or unclosed record spoils only
+itself. What stands in comments is no record.
 """
 
 from __future__ import annotations
@@ -16,29 +17,44 @@ from pyspark.sql import types as T
 from lexigrain import schemas
 from lexigrain.operators.once import with_once
 from lexigrain.operators.pages import dump_pages
+from lexigrain.sources.xml_sections import glue_sections, place, plain_sections
 
 CORRUPT = "_corrupt_record"
+REASON = "_corrupt_reason"
 
 
 def parse_xml_records(chunks: DataFrame, row_tag: str, schema: T.StructType) -> DataFrame:
     """Parse chunks that end where ``</row_tag>`` stood; other columns are kept.
 
-    A chunk is cut before every opening tag: what stands before the last one was
-    never closed. Unclosed and malformed records have their text in
-    ``_corrupt_record``. Text without an opening tag (what stands around the
-    records) is left out.
+    Comments go and CDATA becomes text, then a chunk is cut before every opening tag: what
+    stands before the last one was never closed. Unclosed and malformed records have their
+    text in ``_corrupt_record``, with the reason. So has a chunk without an opening tag,
+    unless only closing tags and white space are in it or a Boolean column ``tail``, which
+    is not kept, tells that it is the rest of a file.
     """
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
                "rowTag": row_tag, "ignoreSurroundingSpaces": "false"}
-    others = [c for c in chunks.columns if c != "value"]
+    others = [c for c in chunks.columns if c not in ("value", "tail")]
     opening = rf"<{row_tag}[\s>]"
-    started = F.filter(F.split("value", f"(?={opening})", -1), lambda p: p.rlike(f"^{opening}"))
-    pieces = with_once(chunks.filter(F.col("value").rlike(opening)), "_pieces", started)
+    tail = F.col("tail") if "tail" in chunks.columns else F.lit(False)
+    parts = F.split(plain_sections(F.col("value")), f"(?={opening})", -1)
+    cut = with_once(chunks, "_parts", parts)
+    started = F.filter("_parts", lambda p: p.rlike(f"^{opening}"))
+    around = F.regexp_replace(F.col("_parts")[0], r"</[^<>]*>|<\?.*?\?>", "")
+    torn = (F.size(started) == 0) & ~tail & around.rlike(r"\S")
+    closing = F.lit(f"</{row_tag}>")
+    pieces = with_once(cut, "_pieces", F.when(torn, F.col("_parts")).otherwise(started))
     closed = F.transform("_pieces", lambda p, i: F.when(
-        i == F.size("_pieces") - 1, F.concat(p, F.lit(f"</{row_tag}>"))).otherwise(p))
-    records = pieces.select(*others, F.explode_outer(closed).alias("_xml"))
-    return with_once(records, "_r", F.from_xml("_xml", full, options)).select(*others, "_r.*")
+        i == F.size("_pieces") - 1, F.concat(p, closing)).otherwise(p))
+    records = pieces.filter(F.size("_pieces") > 0).select(
+        *others, F.explode_outer(closed).alias("_xml"))
+    whole = F.col("_xml").rlike(f"^{opening}")
+    parsed = with_once(records, "_r", F.from_xml(F.when(whole, F.col("_xml")), full, options))
+    corrupt = F.when(whole, F.col(f"_r.{CORRUPT}")).otherwise(F.col("_xml"))
+    reason = F.when(~whole, "no opening tag").when(corrupt.isNotNull(), "malformed record")
+    return parsed.select(*others, *(F.col("_r")[f.name].alias(f.name) for f in schema.fields),
+                         corrupt.alias(CORRUPT), reason.alias(REASON))
 
 
 def read_xml_records(spark: SparkSession, path: str | list[str], row_tag: str,
@@ -48,18 +64,23 @@ def read_xml_records(spark: SparkSession, path: str | list[str], row_tag: str,
     A gz file cannot be split and arrives in one task; ``session.spread`` afterwards
     shares its records out.
     """
-    return parse_xml_records(
-        spark.read.text(path, lineSep=f"</{row_tag}>"), row_tag, schema)
+    return _records(spark, path, row_tag, schema).drop("pos")
+
+
+def _records(spark: SparkSession, path: str | list[str], row_tag: str,
+             schema: T.StructType) -> DataFrame:
+    chunks = spark.read.text(path, lineSep=f"</{row_tag}>").select("value", place().alias("pos"))
+    return parse_xml_records(glue_sections(chunks, f"</{row_tag}>"), row_tag, schema)
 
 
 def good_records(records: DataFrame) -> DataFrame:
-    return records.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return records.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, REASON)
 
 
 def rejected_records(records: DataFrame) -> DataFrame:
-    """(record, reason) of unclosed and malformed records."""
+    """(record, reason) of unclosed, malformed and torn records."""
     return records.filter(F.col(CORRUPT).isNotNull()).select(
-        F.col(CORRUPT).alias("record"), F.lit("malformed record").alias("reason"))
+        F.col(CORRUPT).alias("record"), F.col(REASON).alias("reason"))
 
 
 def record_counts(records: DataFrame) -> DataFrame:
@@ -69,12 +90,7 @@ def record_counts(records: DataFrame) -> DataFrame:
 
 
 def _dump_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    chunks = spark.read.text(path, lineSep="</page>")
-    place = F.struct(F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("row"))
-    return parse_xml_records(chunks.select("value", place.alias("pos")), "page",
-                             schemas.DUMP_PAGE)
+    return _records(spark, path, "page", schemas.DUMP_PAGE)
 
 
 def read_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
