@@ -34,10 +34,12 @@ DISCARDED_ELEMENTS = (
     "form", "input", "select", "option", "textarea", "ul", "li", "ol", "dl", "dt", "dd",
     "menu", "dir", "ref", "references", "img", "imagemap", "source", "small", "sub", "sup",
 )
+_IMAGE_URL = r'https?://[^\]\[<>"\x00-\x20\x7F\s]+/[A-Za-z0-9_.,~%\-+&;#*?!=()@]+\.(?:gif|png|jpe?g)'
 PLACEHOLDERS = {"math": "formula", "code": "codice"}
 
 _HOLE = "\x02"  # marks where a span was cut while nested spans are still open
 _CTRL = r"\x00-\x08\x0a-\x1F"
+LEVELS = 12  # nested spans that one pass over a text takes
 
 
 def _replace(text: Column, pattern: str, new: str = "") -> Column:
@@ -59,20 +61,49 @@ def until_stable(text: Column, passes: Column, step: Callable[[Column], Column])
     return F.aggregate(F.array_repeat(F.lit(0), passes), start, again, lambda acc: acc["text"])
 
 
+def balanced(opening: str, closing: str, other: str, first: str | None = None) -> str:
+    """A pattern of spans between delimiters with up to ``LEVELS`` levels of nested ones.
+
+    One pass over the tokens of a text: ``other`` matches what is no delimiter, and every
+    loop is possessive, so nothing is tried twice from the same start. ``first`` is the
+    opening of the outermost span, if it differs.
+    """
+    inside = rf"(?:{other})*+"
+    for _ in range(LEVELS):
+        inside = rf"(?:{other}|{opening}{inside}{closing})*+"
+    return rf"{first or opening}{inside}{closing}"
+
+
 def drop_nested(text: Column, opening: str, closing: str, unclosed: str = "last") -> Column:
-    """Drop spans between two delimiter patterns, nested ones included.
+    """Drop spans between two delimiters of two characters, nested ones included.
 
     An opening that never closes takes everything up to the last closed span after
     it (``unclosed='last'``) or the rest of the text (``unclosed='cut'``).
     """
-    span = rf"(?is){opening}(?:(?!{opening}|{closing}).)*+{closing}"
+    (o, p), (c, d) = (tuple(rf"\{char}" for char in pair) for pair in (opening, closing))
+    # of a run of equal characters every second one begins a token
+    first = rf"(?<=(?<!{o})(?:{o}{p}){{0,64}}){o}{p}" if o == p else None
+    span = balanced(o + p, c + d, rf"[^{o}{c}]++|{o}(?!{p})|{c}(?!{d})", first)
 
     def clean(t: Column) -> Column:
-        holes = until_stable(t, F.regexp_count(t, F.lit(rf"(?i){closing}")),
-                             lambda x: _replace(x, span, _HOLE))
-        tail = rf"(?is){opening}.*" + ("" if unclosed == "cut" else _HOLE)
-        return F.when(t.rlike(f"(?i){opening}"),
-                      _replace(_replace(holes, tail), _HOLE)).otherwise(t)
+        holes = until_stable(t, F.regexp_count(t, F.lit(c + d)), lambda x: _replace(x, span, _HOLE))
+        tail = rf"(?s){o}{p}.*" + ("" if unclosed == "cut" else _HOLE)
+        return F.when(t.contains(opening), _replace(_replace(holes, tail), _HOLE)).otherwise(t)
+
+    return let(text, clean)
+
+
+def drop_brace_templates(text: Column) -> Column:
+    """Drop transclusions by counting braces: one starts at ``{{`` and ends where as many
+    single braces are closed as were opened. One that never ends takes the rest of the text.
+    """
+    start = rf"\{{(?=[{{{_HOLE}])"  # a hole began with a brace
+    span = balanced(r"\{", r"\}", "[^{}]++", start)
+
+    def clean(t: Column) -> Column:
+        holes = until_stable(t, F.regexp_count(t, F.lit(r"\}")), lambda x: _replace(x, span, _HOLE))
+        return F.when(t.contains("{{"), _replace(_replace(holes, rf"(?s){start}.*"), _HOLE)
+                      ).otherwise(t)
 
     return let(text, clean)
 
@@ -83,12 +114,12 @@ def drop_comments(text: Column) -> Column:
 
 def drop_templates(text: Column, unclosed: str = "last") -> Column:
     """Drop transclusions ``{{...}}`` at any depth."""
-    return drop_nested(text, r"\{\{", r"\}\}", unclosed)
+    return drop_nested(text, "{{", "}}", unclosed)
 
 
 def drop_tables(text: Column) -> Column:
     """Drop tables ``{|...|}`` at any depth."""
-    return drop_nested(text, r"\{\|", r"\|\}")
+    return drop_nested(text, "{|", "|}")
 
 
 def drop_table_rows(text: Column) -> Column:
@@ -101,7 +132,6 @@ def drop_table_rows(text: Column) -> Column:
 _PROTOCOL = "(?:" + "|".join(URL_PROTOCOLS) + ")"
 _URL = rf'{_PROTOCOL}[^\]\[<>"\x00-\x20\x7F\s]+'
 _LABEL = rf"(?:[^\]\[{_CTRL}]++|\[\[[^\]\[{_CTRL}]++\]\])*+"
-_IMAGE_URL = r'https?://[^\]\[<>"\x00-\x20\x7F\s]+/[A-Za-z0-9_.,~%\-+&;#*?!=()@]+\.(?:gif|png|jpe?g)'
 
 
 def replace_external_links(text: Column, keep_links: bool = False) -> Column:
@@ -277,7 +307,7 @@ def light_clean(text: Column, passes: int | None = 3) -> Column:
     def raw_tags_dropped(t: Column) -> Column:
         return _replace(t, r"(?s)<.*?>")
 
-    start = file_captions(drop_templates(drop_language_links(decode_entities(text)), "cut"))
+    start = file_captions(drop_brace_templates(drop_language_links(decode_entities(text))))
     return F.translate(until_stable(
         start, F.length(start) if passes is None else F.lit(passes), once), "[]", "")
 

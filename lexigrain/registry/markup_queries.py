@@ -195,6 +195,17 @@ _step("wiki_light_clean", _light("wiki"), markup.light_clean)
 _step("wiki_clean", _full("wiki"), markup.clean_markup)
 
 
+@query("wiki_single_braces", f"""
+    SELECT doc_id, source || '  {{' || lang || '}} end' || chr(10) || {_light('wiki')} AS text FROM (
+        SELECT doc_id, source, lang, text, {WIKI} AS wiki FROM documents)""")
+def wiki_single_braces(spark, sf_dir):
+    """The light cleaner counts single braces in a template, and keeps those outside."""
+    before = F.concat("source", F.lit(" {{"), "source", F.lit("|x={"), "lang", F.lit(
+        "|{{b|{c}}}}}} {"), "lang", F.lit("} end\n"))
+    return wiki_pages(spark, sf_dir).select(
+        "doc_id", markup.light_clean(F.concat(before, "wiki")).alias("text"))
+
+
 @query("wiki_keep_links", f"""
     WITH p AS (SELECT doc_id, source, lang,
         '[[' || source || ' page|the ' || lang || ']]s [[' || lang || ']] [http://x.org/'

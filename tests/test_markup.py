@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lexigrain.functions import lines, markup, text
@@ -16,6 +18,62 @@ def test_unclosed_template(one):
     assert one("a {{b", markup.drop_templates) == "a {{b"
 
 
+def cut_by_counting(text):
+    """Templates dropped by a loop over characters that counts braces."""
+    out, at = "", 0
+    while at < len(text):
+        if text.startswith("{{", at):
+            depth, end = 0, at
+            while end < len(text):
+                depth += {"{": 1, "}": -1}.get(text[end], 0)
+                end += 1
+                if depth == 0:
+                    break
+            if depth:
+                return out
+            at = end
+        else:
+            out += text[at]
+            at += 1
+    return out
+
+
+def drop_by_tokens(text, opening, closing):
+    """Closed spans dropped by a loop over tokens; None if an opening is left over."""
+    out, depth, at = "", 0, 0
+    while at < len(text):
+        token = text[at:at + 2]
+        if token == opening:
+            depth, at = depth + 1, at + 2
+        elif token == closing and depth:
+            depth, at = depth - 1, at + 2
+        else:
+            out += text[at] if not depth else ""
+            at += 1
+    return None if depth else out
+
+
+def test_brackets_equal_a_loop_over_the_text(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["{", "}", "{{", "}}", "|", "{|", "|}", "a", "\n"])
+                     for _ in range(rng.randint(0, 16))) for _ in range(3000)]
+    texts += ["x {{a|{b}}} y", "{{" * 60 + "a" + "}}" * 60 + "b", "{" * 90 + "}" * 90 + "{a}",
+              "{{x|" * 500 + "y" + "}}" * 500 + "z", "q" + "{{a}} {b} " * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", markup.drop_brace_templates(F.col("t")).alias("braces"),
+                       markup.drop_templates(F.col("t")).alias("templates"),
+                       markup.drop_tables(F.col("t")).alias("tables")).collect():
+        assert r.braces == cut_by_counting(r.t), r.t
+        for got, pair in ((r.templates, "{{ }}"), (r.tables, "{| |}")):
+            expected = drop_by_tokens(r.t, *pair.split())
+            assert expected is None or got == expected, r.t
+
+
+def test_single_braces_in_a_template(one):
+    assert one("x {{a|{b}}} y", markup.light_clean) == "x  y"
+    assert one("{b} {{c", markup.light_clean) == "{b} "
+
+
 def test_tables(one):
     assert one("x{| a\n{| b |}\n|}y", markup.drop_tables) == "xy"
 
