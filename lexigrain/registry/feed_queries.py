@@ -9,6 +9,7 @@ from lexigrain.operators import feeds as B
 from lexigrain.operators.rows import FIRST_VERSION_RUN_SECONDS, recent
 from lexigrain.registry.core import query, table
 from lexigrain.session import shared_path
+from lexigrain.streaming import batches as Y
 from lexigrain.streaming import feeds as X
 
 # event_type is the feed, ts the publication time, value the latency; an entry is
@@ -141,3 +142,82 @@ def stream_routed_entries(spark, sf_dir):
         f"{path}/rejected")
     return good.select("event_id", F.lit(None).cast("string").alias("reason")).unionByName(
         bad.select("event_id", "reason"))
+
+
+#: Events land in five files by time; every third click arrives two files late.
+_DELIVERED = """
+    spread AS (SELECT *, least(4, 5 * (epoch_us(ts) - min(epoch_us(ts)) OVER ())
+        // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER ())) AS part FROM events),
+    landed AS (SELECT *, least(4, part + CASE WHEN event_type = 'click' AND event_id % 3 = 0
+        THEN 2 ELSE 0 END) AS file FROM spread)"""
+
+
+def _land_files(spark, sf_dir):
+    """Write the files one after the other, as a stream finds them."""
+    events = table(spark, sf_dir, "events").withColumn(
+        "at", F.unix_micros(F.col("ts").cast("timestamp")))
+    low, high = events.agg(F.min("at"), F.max("at")).head()
+    part = F.least(F.lit(4), F.expr(f"5 * (at - {low}) div {high - low}"))
+    moved = F.when((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0), 2).otherwise(0)
+    files = events.withColumn("file", F.least(F.lit(4), part + moved)).drop("at")
+    path = shared_path(spark, "landed")
+    for number in range(5):
+        files.filter(F.col("file") == number).drop("file").coalesce(1).write.mode("append").parquet(
+            path)
+    return path
+
+
+def _land_batches(spark, sf_dir, write, runs=("first",), times=1):
+    """The folder of what batches of one file each left; ``write`` gets it."""
+    path, landed = shared_path(spark, "batches"), _land_files(spark, sf_dir)
+    for run in runs:
+        stream = entries(X.stream_parquet(spark, landed, _EVENTS, max_files=1))
+        copies = stream.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        Y.start_batches(copies.drop("copy"), write(path), f"{path}/checkpoint-{run}",
+                        f"{path}/log", run).awaitTermination()
+    return path
+
+
+def _late(path):
+    return Y.late_apart("published", "15 minutes", f"{path}/rows", f"{path}/late", f"{path}/marks")
+
+
+def _unseen(path):
+    return Y.unseen_only("event_id", F.col("published"), f"{path}/rows", f"{path}/seen")
+
+
+@query("stream_late_entries", f"""
+    WITH {_DELIVERED}, marks AS (
+        SELECT file, max(max(ts)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING
+            AND 1 PRECEDING) - INTERVAL 15 minutes AS watermark FROM landed GROUP BY file)
+    SELECT event_id, file::BIGINT AS batch_id, CASE WHEN ts < watermark
+        THEN 'older than the watermark' END AS reason FROM landed JOIN marks USING (file)""")
+def stream_late_entries(spark, sf_dir):
+    """Rows on time and late rows, five batches."""
+    path = _land_batches(spark, sf_dir, _late)
+    rows = Y.left(spark, f"{path}/rows", "event_id long")
+    late = Y.left(spark, f"{path}/late", "event_id long, reason string")
+    return rows.withColumn("reason", F.lit(None).cast("string")).unionByName(late).drop("run")
+
+
+@query("stream_unseen_entries", f"""
+    WITH {_DELIVERED} SELECT event_id, 'first' AS run, file::BIGINT AS batch_id FROM landed""")
+def stream_unseen_entries(spark, sf_dir):
+    """Every entry arrives twice in each of two runs over the same files."""
+    path = _land_batches(spark, sf_dir, _unseen, ("first", "second"), times=2)
+    return Y.left(spark, f"{path}/rows", "event_id long")
+
+
+@query("stream_batch_log", f"""
+    WITH {_DELIVERED}, n AS (SELECT file, count(*) AS n FROM landed GROUP BY file)
+    SELECT run, file::BIGINT AS batch_id, 2 * n AS n_rows, n * (run = 'first')::INT AS n_written,
+        2 * n - n * (run = 'first')::INT AS n_repeated, true AS timed
+    FROM n, (VALUES ('first'), ('second')) r(run)""")
+def stream_batch_log(spark, sf_dir):
+    """One row a batch: what came in, what was new, and whether the rate fits the time."""
+    path = _land_batches(spark, sf_dir, _unseen, ("first", "second"), times=2)
+    log = Y.left(spark, f"{path}/log", "n_rows long, n_written long, n_repeated long, "
+                                       "seconds double, rows_per_second double")
+    rate = F.col("n_rows") / F.col("seconds")
+    return log.select("run", "batch_id", "n_rows", "n_written", "n_repeated", (F.abs(
+        F.col("rows_per_second") / rate - 1) < 1e-6).alias("timed"))

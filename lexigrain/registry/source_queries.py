@@ -15,6 +15,7 @@ from lexigrain.registry import sql as S
 from lexigrain.registry.core import documents, pages, query, table
 from lexigrain.session import shared_path
 from lexigrain.sinks import files as K
+from lexigrain.sinks import rolled as R
 from lexigrain.sources import lines as L
 from lexigrain.sources import tabular as B
 from lexigrain.sources import xml as X
@@ -448,6 +449,28 @@ def report_file(spark, sf_dir):
     return rows.withColumn("n_files", files)
 
 
+@query("rolled_files", """
+    SELECT doc_id, lang, replace(replace(replace(text, chr(9), ' '), chr(10), ' '), chr(13), ' ')
+        AS text, true AS within_bound, true AS filled, true AS dense FROM documents""")
+def rolled_files(spark, sf_dir):
+    """Two runs append to one log, the first one twice; only the last file of a run was not
+    full, and the second run went on in a new version of it."""
+    folder, docs = shared_path(spark, "rolled-log"), documents(spark, sf_dir)
+    runs = [docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")]
+    bound = 8 * docs.agg(F.max(F.octet_length("text"))).head()[0]
+    for number in (1, 1, 2):
+        R.append_rolled(runs[number - 1].select("doc_id", "lang", "text"), folder, bound, number)
+    runs = spark.read.schema(R.MANIFEST).parquet(f"{folder}/manifest")
+    state = runs.agg(
+        (F.max("bytes") <= bound).alias("within_bound"),
+        (F.count_distinct(F.when(F.col("bytes") < bound * 6 / 8, F.col("name"))) <= 2).alias("filled"),
+        (F.count_distinct("number") == F.max("number") + 1).alias("dense"))
+    field = F.split("value", "\t", 3)
+    lines = R.read_rolled(spark, folder).select(
+        field[0].cast("long").alias("doc_id"), field[1].alias("lang"), field[2].alias("text"))
+    return lines.join(F.broadcast(state))
+
+
 @query("size_bounded_files", """
     WITH s AS (SELECT doc_id, strlen(doc_id || ' ' || regexp_replace(text, '[\\n\\t\\r]', ' ', 'g'))
         + 1 AS b FROM documents)
