@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 from lexigrain.llm.memory import Generations
+from lexigrain.llm.token_table import token_bytes
 
 #: The characters with the Unicode property White_Space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -32,6 +33,7 @@ class RunEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.sizes = np.asarray([len(token) for token in token_bytes(path)])
         self.known = Generations(limit)
 
     def blocks(self, text: str) -> Iterator[bytes]:
@@ -45,11 +47,35 @@ class RunEncoder:
         known = self.known
         fresh = known.missing(set(runs))
         if fresh:
-            for run, found in zip(fresh, self.tokenizer.encode_batch_fast(
-                    fresh, add_special_tokens=False), strict=True):
+            joined = [r for r in fresh if r[0] in SPACES and r[-1] not in SPACES]
+            single = [r for r in fresh if r[0] not in SPACES or r[-1] in SPACES]
+            if not self._encode_joined(joined):
+                single = fresh
+            for run, found in zip(single, self.tokenizer.encode_batch_fast(
+                    single, add_special_tokens=False), strict=True):
                 known.put(run, array("I", found.ids).tobytes())
         return b"".join(map(known.young.__getitem__, runs))
 
+    def _encode_joined(self, runs: list[str]) -> bool:
+        """Encode runs of white space and a word as one text, cut where their bytes end.
+
+        False if a token goes over the end of a run; then nothing is kept.
+        """
+        if not runs:
+            return True
+        (found,) = self.tokenizer.encode_batch_fast(["".join(runs)], add_special_tokens=False)
+        ids = np.asarray(found.ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        run_ends = np.cumsum([len(run.encode()) for run in runs])
+        cuts = np.searchsorted(ends, run_ends)
+        if ends[-1] != run_ends[-1] or (ends[cuts] != run_ends).any():
+            return False
+        data, start = ids.tobytes(), 0
+        for run, cut in zip(runs, ((cuts + 1) * 4).tolist(), strict=True):
+            self.known.put(run, data[start:cut])
+            start = cut
+        return True
+
 
 _encoders: dict[str, RunEncoder] = {}
 

@@ -28,22 +28,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lexigrain.llm.bpe import run_blocks
 from lexigrain.llm.common import column_like, small_batches, texts_of
 from lexigrain.llm.memory import Generations
+from lexigrain.llm.token_table import byte_letters, token_bytes
 
 NEVER = 1 << 30  # the rank of a merge that does not happen
 GROUP = 2 << 20  # characters of texts whose new words share a trie
 IDS = 1 << 20  # ids of a long text that are decoded at a time
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in byte-level vocabularies, and its byte.
-
-    Printable bytes stand for themselves, the others, in order, for the letters from 256.
-    """
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def common_prefix(a: str, b: str) -> int:
     """Length of the common prefix, by halving: one comparison a step, whatever the length."""
     low, high = 0, min(len(a), len(b))
@@ -273,23 +264,6 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text",
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
-_tables: dict[str, list[bytes]] = {}
-
-
-def token_bytes(path: str) -> list[bytes]:
-    """The bytes of every id of a file, kept by this worker process."""
-    if path not in _tables:
-        letters = byte_letters()
-        with open(path, encoding="utf-8") as file:
-            data = json.load(file)
-        added = {t["id"]: t["content"].encode() for t in data.get("added_tokens") or []}
-        vocab = {i: text for text, i in data["model"]["vocab"].items()}
-        _tables[path] = [
-            added[i] if i in added else bytes(map(letters.__getitem__, vocab.get(i, "")))
-            for i in range(max([*vocab, *added]) + 1)]
-    return _tables[path]
-
-
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """Replaces the ids by ``decoded``, the text they stand for; other columns pass.
 
