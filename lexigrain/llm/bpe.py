@@ -26,7 +26,7 @@ BLOCK = 1 << 20  # characters of a long text that are encoded at a time
 class RunEncoder:
     """Encode texts as little-endian unsigned 32-bit ids, without special tokens added."""
 
-    def __init__(self, path: str, limit: int = 96 << 20):
+    def __init__(self, path: str, limit: int = 128 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,10 +70,9 @@ class RunEncoder:
         cuts = np.searchsorted(ends, run_ends)
         if ends[-1] != run_ends[-1] or (ends[cuts] != run_ends).any():
             return False
-        data, start = ids.tobytes(), 0
-        for run, cut in zip(runs, ((cuts + 1) * 4).tolist(), strict=True):
-            self.known.put(run, data[start:cut])
-            start = cut
+        data, ends = ids.tobytes(), ((cuts + 1) * 4).tolist()
+        self.known.put_all(runs, [data[start:end] for start, end in zip(
+            [0, *ends[:-1]], ends, strict=True)])
         return True
 
 

@@ -35,3 +35,7 @@ class Generations:
     def put(self, key, value: bytes) -> None:
         self.young[key] = value
         self.size += len(key) + len(value) + OVERHEAD
+
+    def put_all(self, keys: list, values: list) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self.size += sum(map(len, keys)) + sum(map(len, values)) + OVERHEAD * len(keys)
