@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions.text import escape_markup
 from lexigrain.functions.tokens import document_words
-from lexigrain.operators.codes import describe_codes, hierarchy_closure
+from lexigrain.operators.codes import (
+    describe_codes,
+    hierarchy_closure,
+    is_below,
+    roll_up,
+    tree_intervals,
+)
+from lexigrain.operators.joins import lookup
 from lexigrain.operators.measure import measured_write
 from lexigrain.operators.ordering import sort_for_output
 from lexigrain.plans import ingest
@@ -412,6 +419,43 @@ def closure_of_hierarchy(spark, sf_dir):
     return hierarchy_closure(edges).withColumn("distance", F.col("distance").cast("long"))
 
 
+_PATHS = """c AS (SELECT child AS ancestor, child AS descendant, 0 AS distance FROM x
+          UNION ALL SELECT x.parent, c.descendant, c.distance + 1 FROM c
+          JOIN x ON x.child = c.ancestor WHERE x.parent <> 'None')"""
+
+
+@query("tree_intervals", f"""
+    WITH RECURSIVE {_EDGES}, {_PATHS},
+    d AS (SELECT descendant AS code, max(distance) AS depth FROM c GROUP BY ALL),
+    s AS (SELECT ancestor AS code, count(*) - 1 AS n FROM c GROUP BY ALL)
+    SELECT code, depth::BIGINT AS depth, n AS n_descendants, code <> 'Root' AS inside
+    FROM d JOIN s USING (code)""")
+def intervals_of_tree(spark, sf_dir):
+    """Every interval holds as many places as descendants and lies in that of the parent."""
+    places = tree_intervals(B.read_hierarchy(spark, land(_tree_lines(spark, sf_dir), "tree")))
+    upper = places.select(F.col("code").alias("parent"), F.col("first").alias("_first"),
+                          F.col("last").alias("_last"))
+    inside = is_below(F.col("first"), F.col("_first"), F.col("_last")) & (
+        F.col("last") <= F.col("_last"))
+    return lookup(places, upper, ["parent"], ["code"]).select(
+        "code", "depth", (F.col("last") - F.col("first")).alias("n_descendants"),
+        F.coalesce(inside, F.lit(False)).alias("inside"))
+
+
+@query("tree_roll_up", f"""
+    WITH RECURSIVE {_EDGES}, {_PATHS},
+    o AS (SELECT 'C' || o_custkey AS code, count(*) AS n FROM orders GROUP BY ALL)
+    SELECT ancestor AS code, coalesce(sum(n) FILTER (distance = 0), 0)::BIGINT AS n,
+        coalesce(sum(n) FILTER (distance > 0), 0)::BIGINT AS n_below
+    FROM c LEFT JOIN o ON o.code = descendant GROUP BY ancestor""")
+def rolled_up_tree(spark, sf_dir):
+    """Orders of each customer, and of all customers below a nation, a region and the root."""
+    edges = B.read_hierarchy(spark, land(_tree_lines(spark, sf_dir), "tree"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("C"), "o_custkey").alias("customer"))
+    return roll_up(orders, tree_intervals(edges), "customer")
+
+
 @query("described_tree_codes", f"""
     WITH {_EDGES} SELECT o_orderkey, description FROM orders
     LEFT JOIN x ON child = 'C' || o_custkey""")
