@@ -37,20 +37,23 @@ def run_statistics(entries: DataFrame, catalogue: DataFrame, run: str = "run_id"
     if failed is not None:
         measures["failed_count"] = F.count_if(failed)
     stats = entries.groupBy(run, feed).agg(*[m.alias(name) for name, m in measures.items()])
-    runs = stats.select(run).distinct()
-    if fits_broadcast(catalogue.select(feed)):
-        names = catalogue.agg(F.array_sort(F.collect_list(feed))).scalar()
-        grid = runs.withColumn(feed, F.explode(names))
-    else:
-        parts = F.sequence(F.lit(0), F.lit(PARTS - 1))
-        dealt = catalogue.select(feed, F.pmod(F.xxhash64(feed), F.lit(PARTS)).cast("int").alias(
-            "_part"))
-        grid = runs.withColumn("_part", F.explode(parts)).join(dealt, "_part").drop("_part")
-    return grid.join(stats, [run, feed], "left").select(
+    return run_grid(stats.select(run).distinct(), catalogue, run, feed).join(
+        stats, [run, feed], "left").select(
         run, feed, *[F.coalesce(name, F.lit(0.0 if name == "article_avg" else 0)).alias(name)
                      for name in measures])
 
 
+def run_grid(runs: DataFrame, catalogue: DataFrame, run: str, feed: str) -> DataFrame:
+    """Each run with each feed of the catalogue, as often as it is listed."""
+    if fits_broadcast(catalogue.select(feed)):
+        names = catalogue.agg(F.array_sort(F.collect_list(feed))).scalar()
+        return runs.withColumn(feed, F.explode(names))
+    parts = F.sequence(F.lit(0), F.lit(PARTS - 1))
+    dealt = catalogue.select(feed, F.pmod(F.xxhash64(feed), F.lit(PARTS)).cast("int").alias(
+        "_part"))
+    return runs.withColumn("_part", F.explode(parts)).join(dealt, "_part").drop("_part")
+
+
 def window_statistics(entries: DataFrame, published: str = "published",
                       feed: str = "feed_name", latency: str = "latency",
                       width: str = "15 minutes") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrain.operators import feeds as B
+from lexigrain.operators import run_ledger as L
 from lexigrain.operators.rows import FIRST_VERSION_RUN_SECONDS, recent
 from lexigrain.registry.core import query, table
 from lexigrain.session import shared_path
@@ -152,14 +153,18 @@ _DELIVERED = """
         THEN 2 ELSE 0 END) AS file FROM spread)"""
 
 
-def _land_files(spark, sf_dir):
-    """Write the files one after the other, as a stream finds them."""
-    events = table(spark, sf_dir, "events").withColumn(
-        "at", F.unix_micros(F.col("ts").cast("timestamp")))
-    low, high = events.agg(F.min("at"), F.max("at")).head()
+def _with_file(events):
+    """Events with the number of the file that brings them."""
+    found = events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    low, high = found.agg(F.min("at"), F.max("at")).head()
     part = F.least(F.lit(4), F.expr(f"5 * (at - {low}) div {high - low}"))
     moved = F.when((F.col("event_type") == "click") & (F.col("event_id") % 3 == 0), 2).otherwise(0)
-    files = events.withColumn("file", F.least(F.lit(4), part + moved)).drop("at")
+    return found.withColumn("file", F.least(F.lit(4), part + moved)).drop("at")
+
+
+def _land_files(spark, sf_dir):
+    """Write the files one after the other, as a stream finds them."""
+    files = _with_file(table(spark, sf_dir, "events"))
     path = shared_path(spark, "landed")
     for number in range(5):
         files.filter(F.col("file") == number).drop("file").coalesce(1).write.mode("append").parquet(
@@ -221,3 +226,45 @@ def stream_batch_log(spark, sf_dir):
     rate = F.col("n_rows") / F.col("seconds")
     return log.select("run", "batch_id", "n_rows", "n_written", "n_repeated", (F.abs(
         F.col("rows_per_second") / rate - 1) < 1e-6).alias("timed"))
+
+
+_DELIVERED_RUNS = f"""{_DELIVERED},
+    g AS (SELECT *, (round((epoch_us(ts) / 1e6 + value * 20) / 900.0) * 900)::BIGINT AS run_id
+        FROM landed)"""
+
+
+def _deliver_files(spark, sf_dir):
+    """The statistics after five deliveries, the second one taken twice."""
+    path = shared_path(spark, "ledger")
+    files = _with_file(table(spark, sf_dir, "events"))
+    for number in (0, 1, 1, 2, 3, 4):
+        one = files.filter(F.col("file") == number)
+        found = entries(one).withColumn("run_id", B.run_bucket(seen()))
+        L.deliver(found, f"file-{number}", f"{path}/ledger", f"{path}/statistics",
+                  F.col("latency") > 90)
+    return L.read_statistics(spark, f"{path}/statistics")
+
+
+@query("delivered_run_statistics", f"""
+    WITH {_DELIVERED_RUNS}, s AS (SELECT DISTINCT run_id, feed FROM g, (SELECT DISTINCT event_type
+        AS feed FROM events UNION ALL SELECT 'silent'))
+    SELECT s.run_id, feed AS feed_name, count(event_id) AS article_count,
+           round(coalesce(avg(value), 0), 6) AS article_avg,
+           count(*) FILTER (value > 90) AS failed_count
+    FROM s LEFT JOIN g ON g.run_id = s.run_id AND event_type = feed GROUP BY ALL""")
+def delivered_run_statistics(spark, sf_dir):
+    """Increments add up to the statistics of all entries at once."""
+    feeds = table(spark, sf_dir, "events").select(F.col("event_type").alias("feed_name")).distinct()
+    catalogue = feeds.unionByName(spark.createDataFrame([("silent",)], "feed_name string"))
+    return L.with_silent_feeds(_deliver_files(spark, sf_dir), catalogue).withColumn(
+        "article_avg", F.round("article_avg", 6))
+
+
+@query("run_deliveries", f"""
+    WITH {_DELIVERED_RUNS} SELECT run_id, event_type AS feed_name,
+        count(DISTINCT file) AS deliveries, 'file-' || max(file) AS last_delivery
+    FROM g GROUP BY ALL""")
+def run_deliveries(spark, sf_dir):
+    """Which delivery changed a run last, and how many did."""
+    return _deliver_files(spark, sf_dir).select(
+        "run_id", "feed_name", "deliveries", "last_delivery")
