@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from lexigrain.functions.arrays import term_counts
-from lexigrain.operators.joins import fits_broadcast, frequent_split_lookup
+from lexigrain.operators.joins import fits_broadcast, frequent_split_lookup, lookup
 from lexigrain.operators.once import inline_once
 from lexigrain.operators.ordering import top_rows
 from lexigrain.session import ensure_checkpoint_dir
 
+MAX_TRACKED = 1_000_000  # terms of the widest summary
+BUCKETS = 1 << 16  # of the terms that are not candidates
+
 
 def document_bags(docs: DataFrame, *keys: str, words: str = "words") -> DataFrame:
     """(keys, bag): the term counts of a row as one array, counted inside the row."""
@@ -64,6 +67,51 @@ def vocabulary(docs: DataFrame, words: str = "words", min_df: float = 1,
     return _choose(term_frequencies(docs, words), docs, min_df, vocab_size)
 
 
+def bounded_vocabulary(docs: DataFrame, vocab_size: int, words: str = "words",
+                       tracked: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """(term_idx, term, cf, df, rest_most): the same terms as :func:`vocabulary` with
+    ``vocab_size``, from shuffles whose size does not depend on the number of distinct terms.
+
+    A first pass keeps a mergeable summary of frequent terms a task, ``tracked`` terms wide
+    (at first 8 times the size of the vocabulary), and takes the terms it still holds as
+    candidates. A second pass counts candidates exactly and all other terms by the bucket
+    of their hash. ``rest_most``, the fullest bucket, is as much as any other term can
+    count: below the least count of the vocabulary it proves that no term is missing. If it
+    is not, a round with four times the terms and buckets follows; past ``MAX_TRACKED``
+    terms all are counted one by one, and ``rest_most`` is 0. Ties go by term; null terms
+    are no terms; a vocabulary of fewer terms than asked for is whole.
+    """
+    if vocab_size < 1:
+        raise ValueError("vocab_size must be positive")
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    spoken = docs.select(F.array_compact(words).alias("words"))
+    bags = document_bags(spoken.withColumn("_doc", F.xxhash64("words")), "_doc")
+    counts = inline_once(bags, F.col("bag"), "term", "_doc")
+    spelled = spoken.select(F.explode("words").alias("term"))
+    order = [F.desc("cf"), F.asc("term")]
+    number = (F.row_number().over(Window.orderBy(*order)) - 1).alias("term_idx")
+    tracked = tracked or 8 * vocab_size
+    while tracked <= MAX_TRACKED:
+        held = spelled.agg(F.expr(
+            f"approx_top_k_estimate(approx_top_k_accumulate(term, {tracked}), {tracked})").alias(
+            "held")).select(F.explode("held.item").alias("term")).checkpoint()
+        marked = lookup(counts, held.withColumn("_held", F.lit(True)), ["term"], ["_doc"])
+        bucket = F.when(F.col("_held").isNull(), F.pmod(F.xxhash64("term"), F.lit(buckets)))
+        sums = marked.groupBy(F.when(F.col("_held"), F.col("term")).alias("term"),
+                              bucket.alias("_bucket")).agg(
+            F.sum("tf").alias("cf"), F.count("*").alias("df")).checkpoint()
+        top = top_rows(sums.filter("term IS NOT NULL").drop("_bucket"), order, vocab_size)
+        least, found = top.agg(F.min("cf"), F.count("*")).head()
+        most = sums.filter("term IS NULL").agg(F.max("cf")).head()[0] or 0
+        if not most or (found == vocab_size and most < least):
+            return top.select(number, "term", "cf", "df", F.lit(most).cast("long").alias(
+                "rest_most"))
+        tracked, buckets = 4 * tracked, 4 * buckets
+    every = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    return _choose(every, docs, 1, vocab_size).withColumn("rest_most", F.lit(0).cast("long"))
+
+
 def idf_weight(documents: Column, df: Column) -> Column:
     return F.log((documents + 1) / (df + 1))
 

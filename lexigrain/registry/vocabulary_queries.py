@@ -36,6 +36,16 @@ def vocabulary_top_terms(spark, sf_dir):
     return top.withColumn("term_idx", F.col("term_idx").cast("long"))
 
 
+@query("vocabulary_bounded", f"""
+    WITH {_FREQ} SELECT row_number() OVER (ORDER BY cf DESC, term) - 1 AS term_idx,
+    term, cf, df, true AS proven FROM v ORDER BY cf DESC, term LIMIT 25""")
+def vocabulary_bounded(spark, sf_dir):
+    """The top terms by frequent-item summaries; no other term can count as much."""
+    top = V.bounded_vocabulary(word_documents(spark, sf_dir), 25)
+    return top.select(F.col("term_idx").cast("long").alias("term_idx"), "term", "cf", "df",
+                      (F.col("rest_most") < F.col("cf")).alias("proven"))
+
+
 @query("vocabulary_min_count", f"WITH {_FREQ} SELECT term, cf, df FROM v WHERE df >= 5")
 def vocabulary_min_count(spark, sf_dir):
     return V.vocabulary(word_documents(spark, sf_dir), min_df=5)

@@ -1,6 +1,7 @@
 """Ordering, joins, vocabularies and reports against brute force on skewed tables."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,31 @@ def test_counts_need_no_shuffle(spark, bags):
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
     vocab = V.term_frequencies(bags)._jdf.queryExecution().executedPlan().toString()
     assert vocab.count("Exchange hashpartitioning") == 1
+
+
+def _texts(seed):
+    """300 documents; one term holds a third of the words, most terms are rare, some tie."""
+    rng = random.Random(seed)
+    return [[rng.choice([None, "the", "the", "the", f"a{rng.randrange(8)}", f"b{rng.randrange(60)}",
+                         f"c{rng.randrange(3000)}", f"c{rng.randrange(3000)}"])
+             for _ in range(rng.randrange(40))] for _ in range(300)] + [None, []]
+
+
+@pytest.mark.parametrize("size,tracked,most", [
+    (5, None, V.MAX_TRACKED), (30, 30, V.MAX_TRACKED), (30, 30, 200), (5000, None, 1000),
+    (5000, None, V.MAX_TRACKED)], ids=["easy", "widened", "counted", "all counted", "whole"])
+def test_bounded_vocabulary(spark, monkeypatch, size, tracked, most):
+    texts = _texts(size)
+    cf, df = Counter(), Counter()
+    for words in texts:
+        cf.update(w for w in words or [] if w is not None)
+        df.update({w for w in words or [] if w is not None})
+    docs = spark.createDataFrame([(t, 1, 2) for t in texts],
+                                 "words array<string>, term int, tf int").repartition(6)
+    monkeypatch.setattr(V, "MAX_TRACKED", most)
+    rows = V.bounded_vocabulary(docs, size, tracked=tracked, buckets=64).collect()
+    want = sorted(cf, key=lambda w: (-cf[w], w))[:size]
+    assert [(r.term_idx, r.term, r.cf, r.df) for r in sorted(rows)] == [
+        (i, w, cf[w], df[w]) for i, w in enumerate(want)]
+    assert all(r.rest_most < r.cf for r in rows)
+    assert V.bounded_vocabulary(docs.limit(0), size).count() == 0
