@@ -22,7 +22,10 @@ def sorted_distinct(values: Column) -> Column:
 
 
 def term_counts(words: Column) -> Column:
-    """``array<struct<term, tf>>`` of a word array by run length on the sorted words."""
+    """``array<struct<term, tf>>`` of a word array by run length on the sorted words.
+
+    Null words count nowhere.
+    """
 
     empty = F.array().cast("array<struct<term:string,tf:bigint>>")
 
@@ -33,7 +36,7 @@ def term_counts(words: Column) -> Column:
             F.get(s, at).alias("term"),
             (F.coalesce(F.get(h, j + 1), F.size(s)) - at).cast("long").alias("tf"))))
 
-    return let(F.sort_array(words),
+    return let(F.sort_array(F.array_compact(words)),
                lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
 
 

@@ -202,6 +202,14 @@ def test_counts_need_no_shuffle(spark, bags):
     assert vocab.count("Exchange hashpartitioning") == 1
 
 
+def test_null_words_are_no_terms(spark):
+    docs = spark.createDataFrame(
+        [(1, ["b", None, "a", "b", None]), (2, [None]), (3, []), (4, None)],
+        "id long, words array<string>")
+    found = sorted(tuple(r) for r in V.bag_of_words(docs, "id").select("id", "term", "tf").collect())
+    assert found == [(1, "a", 1), (1, "b", 2)]
+
+
 def _texts(seed):
     """300 documents; one term holds a third of the words, most terms are rare, some tie."""
     rng = random.Random(seed)
