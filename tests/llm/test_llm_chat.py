@@ -74,6 +74,15 @@ def test_conversations_of_odd_rows(spark, edge):
                    ("None", [("user", "n")]), ("None", [("user", "n")])]
 
 
+def test_no_conversations(spark, tmp_path):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, record int")
+    turns = chat.with_direct(chat.canonical_turns(chat.as_records(chat.conversations(none))))
+    assert turns.count() == 0 and chat.format_turns(turns, chat.Template()).count() == 0
+    none.write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = queries.QUERIES["op10_chat_layouts"](spark, str(tmp_path)).collect()
+    assert (row.conv_id, row.n_turns) == (-7, 2)
+
+
 def test_long_turns(spark):
     text = "<|end|> é " * 300_000
     df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)],

@@ -1,5 +1,7 @@
+import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as TOKENIZERS
@@ -90,6 +92,19 @@ def test_pieces_rebuild_their_documents(spark, edge, empty, bpe):
         packing.pack(edge, bpe, max_length=1000)
 
 
+def test_buckets_hold_pieces_of_one_length(spark, edge, bpe, tmp_path):
+    pieces = packing.pack(edge, bpe, max_length=256)
+    packing.write_buckets(pieces, f"{tmp_path}/buckets")
+    wanted = Counter((r.length, bytes(r.ids)) for r in pieces.collect())
+    found = Counter()
+    for name in (n for n in os.listdir(f"{tmp_path}/buckets") if n.startswith("length=")):
+        length = int(name.removeprefix("length="))
+        assert length & (length - 1) == 0 and length <= 256
+        found.update((length, bytes(r.ids)) for r in spark.read.parquet(
+            f"{tmp_path}/buckets/{name}").collect())
+    assert found == wanted
+
+
 def test_permutation_is_a_bijection():
     for count in (1, 2, 3, 7, 100, 4097, 70_000):
         numbers = np.arange(count)
