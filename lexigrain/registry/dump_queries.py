@@ -87,7 +87,7 @@ _ARTICLE = ("'{{' || source || '|x={{R-' || source || '}}}} {{#if:a|b}} {{{1}}}'
     SELECT doc_id AS id, source || ' ' || doc_id AS title, 0 AS ns, {_ARTICLE} AS text
     FROM documents WHERE lang IN ('en', 'de')""")
 def dump_pages(spark, sf_dir):
-    pages = P.content_pages(read_dump(spark, land_dump(spark, sf_dir) + "/pages"))
+    pages = P.content_pages(read_dump(spark, land_dump(spark, sf_dir) + "/pages", land=True))
     return P.split_templates(pages)[0].select("id", "title", "ns", "text")
 
 
@@ -141,7 +141,7 @@ def template_redirects(spark, sf_dir):
 
 
 def _inventory_and_calls(spark, sf_dir):
-    pages = read_dump(spark, land_dump(spark, sf_dir) + "/pages")
+    pages = read_dump(spark, land_dump(spark, sf_dir) + "/pages", land=True)
     bodies, redirects = P.template_inventory(pages)
     articles, _ = P.split_templates(P.content_pages(pages))
     return bodies, redirects, P.template_calls(articles, NAMESPACES)
@@ -174,7 +174,7 @@ def resolved_template_calls(spark, sf_dir):
     SELECT doc_id AS id, 10 AS ns, 'Template:' || {_ucfirst_sql('source')} AS title,
            length(text) > 0 AS has_text FROM documents WHERE lang = 'es'""")
 def saved_templates(spark, sf_dir):
-    pages = P.content_pages(read_dump(spark, land_dump(spark, sf_dir) + "/pages"))
+    pages = P.content_pages(read_dump(spark, land_dump(spark, sf_dir) + "/pages", land=True))
     path = shared_path(spark, "templates")
     write_templates(P.split_templates(pages)[1], path)
     return spark.read.parquet(path).select(
@@ -201,5 +201,5 @@ def known_namespace_titles(spark, sf_dir):
                 AND NOT regexp_matches(line, '^[{{|:*#;]|\}}$|^\(.*\)$|^[.-]*$')), '') AS text
     FROM l GROUP BY ALL""")
 def extracted_articles(spark, sf_dir):
-    pages = read_dump(spark, land_dump(spark, sf_dir) + "/pages")
+    pages = read_dump(spark, land_dump(spark, sf_dir) + "/pages", land=True)
     return extract_articles(pages, "http://enc.example.org/wiki")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from lexigrain import schemas
 from lexigrain.operators.once import with_once
 from lexigrain.operators.pages import dump_pages
+from lexigrain.session import shared_path
 from lexigrain.sources.xml_sections import glue_sections, place, plain_sections
 
 CORRUPT = "_corrupt_record"
@@ -93,12 +94,19 @@ def _dump_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _records(spark, path, "page", schemas.DUMP_PAGE)
 
 
-def read_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_dump(spark: SparkSession, path: str | list[str], land: bool = False) -> DataFrame:
     """Encyclopedia pages (id, title, ns, text, redirect, is_redirect, pos).
 
-    ``pos`` is the place in the files: file, block and row within the block.
+    ``pos`` is the place in the files: file, block and row within the block. With ``land``
+    the pages are parsed once, at once, and written below the shared folder: for flows that
+    read them more than once, often a few columns only.
     """
-    return dump_pages(good_records(_dump_records(spark, path)))
+    pages = dump_pages(good_records(_dump_records(spark, path)))
+    if not land:
+        return pages
+    landed = shared_path(spark, "dump-pages")
+    pages.write.parquet(landed)
+    return spark.read.parquet(landed)
 
 
 def read_dump_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:

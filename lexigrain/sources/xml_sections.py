@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.operators.joins import lookup
+from lexigrain.operators.joins import fits_broadcast, lookup
 from lexigrain.operators.once import with_once
 from lexigrain.session import shared_path
 
 TEXT, CDATA, COMMENT = range(3)
-BUCKET = 12  # bits of a chunk's row within one entry of the table of spans
+BUCKET = 8  # bits of a chunk's row within one entry of the table of glued chunks
 _SECTION = r"(?s)<!\[CDATA\[.*?(?:\]\]>|\z)|<!--.*?(?:-->|\z)"
 _PIECE = r"(?s)(<!\[CDATA\[.*?\]\]>|<!--.*?-->|[^<]++|<)"
 
@@ -210,6 +210,31 @@ def _spans(marks: DataFrame, starts: DataFrame) -> DataFrame:
         run, "file string, block long, first long, last long, key_block long, key_row long")
 
 
+def _glued_rows(spans: DataFrame, starts: DataFrame) -> DataFrame:
+    """(file, block, bucket, _at, _back, _tail): for each bucket of a block the chunks that are
+    glued, in two arrays: place in the bucket, and how far behind the first chunk of the whole
+    is. ``_tail`` is the last row of the file, if it is here."""
+    rows = spans.select("file", "block", "key_row", F.explode(F.sequence("first", "last")).alias("row"))
+    entry = F.struct(_in_bucket(F.col("row")).alias("at"), (F.col("row") - F.col("key_row")).alias("back"))
+    glued = rows.select("file", "block", _bucket(F.col("row")).alias("bucket"), entry.alias("entry"),
+                        F.lit(None).cast("long").alias("tail"))
+    tails = starts.filter("tail is not null").select(
+        "file", "block", _bucket(F.col("tail")).alias("bucket"),
+        F.lit(None).cast("struct<at: int, back: long>").alias("entry"), "tail")
+    held = glued.unionByName(tails).groupBy("file", "block", "bucket").agg(
+        F.sort_array(F.collect_list("entry")).alias("e"), F.max("tail").alias("_tail"))
+    return held.select("file", "block", "bucket", F.col("e.at").alias("_at"),
+                       F.col("e.back").alias("_back"), "_tail")
+
+
+def _bucket(row: Column) -> Column:
+    return F.shiftright(row, BUCKET)
+
+
+def _in_bucket(row: Column) -> Column:
+    return row.bitwiseAND(F.lit((1 << BUCKET) - 1)).cast("int")
+
+
 def glue_sections(chunks: DataFrame, closing: str) -> DataFrame:
     """(value, pos, tail): chunks joined where a section goes over a closing tag.
 
@@ -220,40 +245,27 @@ def glue_sections(chunks: DataFrame, closing: str) -> DataFrame:
     """
     spark = chunks.sparkSession
     marks = _marks(chunks)
-    starts_path, spans_path = (shared_path(spark, label) for label in ("xml-starts", "xml-spans"))
+    starts_path, glued_path = (shared_path(spark, label) for label in ("xml-starts", "xml-glued"))
     _block_starts(_block_transitions(marks)).write.parquet(starts_path)
     starts = spark.read.parquet(starts_path)
-    _spans(marks, starts).write.parquet(spans_path)
-    spans = spark.read.parquet(spans_path)
-
-    def bucket(row: Column) -> Column:
-        return F.shiftright(row, BUCKET)
-
-    spread_out = spans.withColumn("bucket", F.explode(F.sequence(
-        bucket(F.col("first")), bucket(F.col("last")))))
-    tails = starts.filter("tail is not null").select(
-        "file", "block", bucket(F.col("tail")).alias("bucket"), F.col("tail"))
-    span = F.struct("first", "last", "key_block", "key_row")
-    entries = spread_out.select("file", "block", "bucket", span.alias("span"), F.lit(None).cast(
-        "long").alias("tail")).unionByName(tails.withColumn("span", F.lit(None).cast(
-            "struct<first: long, last: long, key_block: long, key_row: long>")))
-    table = entries.groupBy("file", "block", "bucket").agg(
-        F.collect_list("span").alias("_spans"), F.max("tail").alias("_tail"))
+    _glued_rows(_spans(marks, starts), starts).write.parquet(glued_path)
+    table = spark.read.parquet(glued_path)
 
     row = F.col("pos.row")
     keyed = chunks.select("value", "pos", F.col("pos.file").alias("file"), F.col("pos.block").alias(
-        "block"), bucket(row).alias("bucket"))
-    found = lookup(keyed, table, ["file", "block", "bucket"], ["pos"]).withColumn(
-        "_span", F.try_element_at(F.filter(
-            "_spans", lambda s: (s["first"] <= row) & (s["last"] >= row)), F.lit(1)))
+        "block"), _bucket(row).alias("bucket"))
+    # a key holds the chunks of one bucket at most, so a join by shuffle needs no salt
+    found = keyed.join(F.broadcast(table) if fits_broadcast(table) else table,
+                       ["file", "block", "bucket"], "left")
+    place_of = F.array_position("_at", _in_bucket(row)).cast("int")
+    found = found.withColumn("_key", row - F.get("_back", place_of - 1))
     tail = F.coalesce(row == F.col("_tail"), F.lit(False)).alias("tail")
-    alone = found.filter("_span is null").select("value", "pos", tail)
-    if spans.isEmpty():
+    alone = found.filter("_key is null").select("value", "pos", tail)
+    if table.filter(F.size("_at") > 0).isEmpty():
         return alone
-    joined = found.filter("_span is not null").groupBy(
-        "file", "_span.key_block", "_span.key_row").agg(
-        F.sort_array(F.collect_list(F.struct("block", "pos.row", "value", tail))).alias("_parts"))
+    joined = found.filter("_key is not null").groupBy("file", "_key").agg(
+        F.sort_array(F.collect_list(F.struct("pos.block", "pos.row", "value", tail))).alias("_parts"))
     return alone.unionByName(joined.select(
         F.array_join("_parts.value", closing).alias("value"),
-        F.struct("file", F.col("key_block").alias("block"), F.col("key_row").alias("row")).alias(
+        F.struct("file", F.get("_parts.block", F.lit(0)).alias("block"), F.col("_key").alias("row")).alias(
             "pos"), F.element_at("_parts.tail", -1).alias("tail")))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigrain.operators.pages import content_pages
 from lexigrain.sources import xml as X
 from lexigrain.sources import xml_sections
 
@@ -107,3 +108,40 @@ def test_transitions_equal_a_character_scan(spark):
 def test_no_files_with_records(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<r>\n</r>")
     assert read(spark, tmp_path) == ([], [])
+
+
+def _glued_file(tmp_path):
+    out = [f'<i id="{at}"><t><![CDATA[{at}</i>]]></t></i><i id="{at + 1}"><t>p</t></i>'
+           for at in range(0, 2000, 2)]
+    (tmp_path / "a.xml").write_text("".join(out))
+    return [(at, "p" if at % 2 else f"{at}</i>") for at in range(2000)]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_glued_chunks_by_broadcast_and_by_shuffle(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(xml_sections, "fits_broadcast", lambda table: small)
+    expected = _glued_file(tmp_path)
+    good, bad = read(spark, tmp_path)
+    assert (good, bad) == (expected, [])
+
+
+def test_a_chunk_finds_its_section_without_trying_all_of_its_block(spark, tmp_path):
+    _glued_file(tmp_path)
+    chunks = spark.read.text(str(tmp_path), lineSep="</i>").select(
+        "value", xml_sections.place().alias("pos"))
+    plan = xml_sections.glue_sections(chunks, "</i>")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" in plan and "lambda" not in plan
+
+
+def test_a_landed_dump_is_not_parsed_again(spark, tmp_path):
+    (tmp_path / "d.xml").write_text("<m>" + "".join(
+        f"<page><title>T{i}</title><id>{i % 3}</id><revision><text>x {i}</text></revision></page>"
+        for i in range(6)) + "</m>")
+    once = X.read_dump(spark, str(tmp_path))
+    landed = X.read_dump(spark, str(tmp_path), land=True)
+    assert landed.columns == once.columns
+    assert sorted(r.title for r in landed.collect()) == sorted(r.title for r in once.collect())
+    kept = content_pages(landed)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "from_xml" not in plan
+    assert sorted(r.title for r in kept.collect()) == ["T0", "T1", "T2"]
