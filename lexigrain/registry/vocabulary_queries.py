@@ -95,14 +95,23 @@ def idf_weights(spark, sf_dir):
         "term", "df", F.round(V.idf_weight(total, F.col("df")), 6).alias("idf"))
 
 
+def _count_vectorizer(docs, column, share):
+    """A vectorizer of terms in at least a share of the documents.
+
+    The share is passed as a number of documents: given a share, the fit keeps all words of
+    a partition as objects, many times their text, only to count the rows.
+    """
+    least = max(1.0, share * docs.count())
+    return CountVectorizer(inputCol="words", outputCol=column, minDF=least, vocabSize=1 << 18)
+
+
 @query("ml_count_vectors", f"""
     WITH {_FREQ}, k AS (SELECT term FROM v WHERE df >= 0.05 * (SELECT count(*) FROM documents)),
     c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)
     SELECT doc_id, term, tf FROM c JOIN k USING (term)""")
 def ml_count_vectors(spark, sf_dir):
     docs = word_documents(spark, sf_dir)
-    model = CountVectorizer(inputCol="words", outputCol="v", minDF=0.05,
-                            vocabSize=1 << 18).fit(docs)
+    model = _count_vectorizer(docs, "v", 0.05).fit(docs)
     return _decode(model, model.transform(docs), "v", "tf").withColumn(
         "tf", F.col("tf").cast("long"))
 
@@ -116,8 +125,7 @@ def ml_count_vectors(spark, sf_dir):
     FROM c JOIN k USING (term), n""")
 def ml_tf_idf_vectors(spark, sf_dir):
     docs = word_documents(spark, sf_dir)
-    model = CountVectorizer(inputCol="words", outputCol="tf", minDF=0.05,
-                            vocabSize=1 << 18).fit(docs)
+    model = _count_vectorizer(docs, "tf", 0.05).fit(docs)
     counts = model.transform(docs)
     weighted = IDF(inputCol="tf", outputCol="v").fit(counts).transform(counts)
     return _decode(model, weighted, "v", "tfidf").withColumn("tfidf", F.round("tfidf", 6))
