@@ -153,6 +153,9 @@ _DELIVERED = """
         THEN 2 ELSE 0 END) AS file FROM spread)"""
 
 
+ALL_FILES = 1 << 30  # of one delivery, in one batch
+
+
 def _with_file(events):
     """Events with the number of the file that brings them."""
     found = events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
@@ -163,23 +166,29 @@ def _with_file(events):
 
 
 def _land_files(spark, sf_dir):
-    """Write the files one after the other, as a stream finds them."""
+    """Write the deliveries, each into a folder of its own by as many tasks as read it."""
     files = _with_file(table(spark, sf_dir, "events"))
     path = shared_path(spark, "landed")
-    for number in range(5):
-        files.filter(F.col("file") == number).drop("file").coalesce(1).write.mode("append").parquet(
-            path)
-    return path
+    folders = [f"{path}/delivery-{number}" for number in range(5)]
+    for number, folder in enumerate(folders):
+        files.filter(F.col("file") == number).drop("file").write.parquet(folder)
+    return folders
 
 
 def _land_batches(spark, sf_dir, write, runs=("first",), times=1):
-    """The folder of what batches of one file each left; ``write`` gets it."""
+    """The folder of what batches of one delivery each left; ``write`` gets it.
+
+    A run takes the deliveries one after the other, and goes on from its checkpoint. Their
+    folders are given as patterns, since a plain one would be the base path of all batches.
+    """
     path, landed = shared_path(spark, "batches"), _land_files(spark, sf_dir)
     for run in runs:
-        stream = entries(X.stream_parquet(spark, landed, _EVENTS, max_files=1))
-        copies = stream.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
-        Y.start_batches(copies.drop("copy"), write(path), f"{path}/checkpoint-{run}",
-                        f"{path}/log", run).awaitTermination()
+        for folder in landed:
+            found = f"{folder[:-1]}[{folder[-1]}]"
+            stream = entries(X.stream_parquet(spark, found, _EVENTS, max_files=ALL_FILES))
+            copies = stream.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+            Y.start_batches(copies.drop("copy"), write(path), f"{path}/checkpoint-{run}",
+                            f"{path}/log", run).awaitTermination()
     return path
 
 
