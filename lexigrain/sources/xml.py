@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from lexigrain import schemas
 from lexigrain.operators.once import with_once
 from lexigrain.operators.pages import dump_pages
-from lexigrain.session import shared_path
+from lexigrain.session import landed
 from lexigrain.sources.xml_sections import glue_sections, place, plain_sections
 
 CORRUPT = "_corrupt_record"
@@ -102,11 +102,7 @@ def read_dump(spark: SparkSession, path: str | list[str], land: bool = False) ->
     read them more than once, often a few columns only.
     """
     pages = dump_pages(good_records(_dump_records(spark, path)))
-    if not land:
-        return pages
-    landed = shared_path(spark, "dump-pages")
-    pages.write.parquet(landed)
-    return spark.read.parquet(landed)
+    return landed(pages, "dump-pages") if land else pages
 
 
 def read_dump_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:

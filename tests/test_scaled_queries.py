@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrain.registry import feed_queries, vocabulary_queries
+from lexigrain.operators import vocabulary
+from lexigrain.registry import feed_queries, topic_queries, vocabulary_queries
 
 
 @pytest.fixture()
@@ -39,3 +40,29 @@ def test_a_share_of_documents_is_fitted_as_their_number(spark, rows):
     if rows:
         expected = {"all"} | ({f"w{i}" for i in range(3)} if rows == 3 else set())
         assert set(vectorizer.fit(docs).vocabulary) == expected
+
+
+def test_words_are_read_once_by_a_bounded_vocabulary(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(
+        [([f"w{i % 7}", "all", None, f"x{i}"],) for i in range(40)] + [(None,), ([],)],
+        "words array<string>").repartition(2).mapInArrow(told, "words array<string>")
+    found = vocabulary.bounded_vocabulary(docs, 3, tracked=4).collect()
+    assert [(r.term, r.cf, r.df) for r in found] == [("all", 40, 40), ("w0", 6, 6), ("w1", 6, 6)]
+    assert seen.value == 42
+
+
+def test_topic_documents_are_written_with_their_words(spark, tmp_path):
+    spark.createDataFrame([(1, "A b a.", "en", "src1", 6)], "doc_id long, text string, "
+                          "lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    docs = topic_queries.topic_documents(spark, str(tmp_path))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:string,dataset:string,published:string,words:array<string>>" in plan
+    assert docs.count() == 1
