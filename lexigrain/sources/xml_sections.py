@@ -2,9 +2,9 @@
 
 The text reader cuts at every closing tag, also at those that are only text. Each chunk
 is a small state transition: given whether it begins in text, in CDATA or in a comment, it
-tells where it ends. Transitions compose, so every file block is scanned for itself for
-all three beginnings, one row a block is carried through a file, and then each block knows
-the state it begins in and which of its chunks belong together. Only chunks that hold a
+tells where it ends. Transitions compose, so every part of a file block is scanned for
+itself for all three beginnings, one row a part is carried through a file, and then each part
+knows the state it begins in and which of its chunks belong together. Only chunks that hold a
 section mark take part, and only chunks that are glued are shuffled with their text.
 """
 
@@ -12,18 +12,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.operators.joins import fits_broadcast, lookup
+from lexigrain.functions.arrays import let
+from lexigrain.operators.joins import fits_broadcast
 from lexigrain.operators.once import with_once
-from lexigrain.session import shared_path
+from lexigrain.session import landed
 
 TEXT, CDATA, COMMENT = range(3)
+PART = 16  # bits of a chunk's row within a part of a block
+NEXT = [(code // 9, code // 3 % 3, code % 3) for code in range(27)]  # states by code
 BUCKET = 8  # bits of a chunk's row within one entry of the table of glued chunks
 _SECTION = r"(?s)<!\[CDATA\[.*?(?:\]\]>|\z)|<!--.*?(?:-->|\z)"
-_PIECE = r"(?s)(<!\[CDATA\[.*?\]\]>|<!--.*?-->|[^<]++|<)"
+_PIECE = (r"(?s)(<!\[CDATA\[.*?\]\]>|<!--.*?-->"
+          r"|(?:[^<]++|<(?!!(?:\[CDATA\[|--)))++|<)")
 
 
 def place() -> Column:
@@ -36,9 +42,9 @@ def place() -> Column:
 def state_after(text: Column) -> Column:
     """Where a text that begins outside of sections ends: in its last section, if unclosed."""
     last = F.try_element_at(F.regexp_extract_all(text, F.lit(_SECTION), F.lit(0)), F.lit(-1))
-    return (F.when(last.startswith("<![CDATA[") & ~last.rlike(r"(?s)^<!\[CDATA\[.*\]\]>\z"), CDATA)
-            .when(last.startswith("<!--") & ~last.rlike(r"(?s)^<!--.*-->\z"), COMMENT)
-            .otherwise(TEXT))
+    return let(last, lambda s: (
+        F.when(s.startswith("<![CDATA[") & ~s.rlike(r"(?s)^<!\[CDATA\[.*\]\]>\z"), CDATA)
+        .when(s.startswith("<!--") & ~s.rlike(r"(?s)^<!--.*-->\z"), COMMENT).otherwise(TEXT)))
 
 
 def transition(text: Column) -> Column:
@@ -68,36 +74,63 @@ def plain_sections(text: Column) -> Column:
                   F.array_join(F.transform(pieces, plain), "")).otherwise(text)
 
 
-def _marks(chunks: DataFrame) -> DataFrame:
-    """(file, block, row, after) of chunks with section marks, and of the first and last
-    chunk of every block (``after`` may be null there). One pass over the files."""
-    names = ["file", "block", "row", "after"]
+def _transition_code(text: Column) -> Column:
+    """The three states of ``transition`` as one number of base 3; null stays null."""
+    return F.aggregate(transition(text), F.lit(0), lambda code, state: code * 3 + state)
+
+
+def _parts(chunks: DataFrame) -> DataFrame:
+    """(file, block, part, first, last, at, codes, states, opened): the chunks of a block in
+    parts of ``PART`` bits of their row.
+
+    ``at`` and ``codes`` hold the chunks with section marks (place in the part, transition),
+    ``states`` is the transition of the whole part. ``opened`` is the row whose section is
+    open at its end, null if that began before. One pass over the files.
+    """
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("part", pa.int64()),
+                        ("first", pa.int64()), ("last", pa.int64()), ("at", pa.binary()),
+                        ("codes", pa.binary()), ("states", pa.list_(pa.int32())),
+                        ("opened", pa.list_(pa.int64()))])
+
+    def ended(key: tuple, first: int, last: int, at: list, codes: list) -> tuple:
+        at, codes = np.concatenate(at).astype(np.int32), np.concatenate(codes).astype(np.int8)
+        found = [_end_state(at, codes, start) for start in range(3)]
+        return (*key, first, last, at.tobytes(), codes.tobytes(), [s for s, _ in found],
+                [None if o is None else first + o for _, o in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, block = None, None  # the latest row, if it has not been given out
+        held = None
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != block:
-                    out += [held] if held else []
-                    block, held = row[:2], None
-                    out.append(row)
-                elif row[3] is not None:
-                    out.append(row)
-                    held = None
-                else:
-                    held = row
-            if out:
-                yield _batch(out, batch.schema)
+            if not batch.num_rows:
+                continue
+            file, block, row, code = batch.columns
+            block, row = block.to_numpy(), row.to_numpy()
+            code = code.fill_null(-1).to_numpy()
+            part = row >> PART
+            other = (block[1:] != block[:-1]) | (part[1:] != part[:-1]) | pc.not_equal(
+                file.slice(1), file.slice(0, len(file) - 1)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(other) + 1).tolist(), len(row)]
+            done = []
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                key = (file[start].as_py(), int(block[start]), int(part[start]))
+                if held is None or held[0] != key:
+                    done += [ended(*held)] if held else []
+                    held = [key, int(row[start]), 0, [], []]
+                marked = start + np.flatnonzero(code[start:stop] >= 0)
+                held[2] = int(row[stop - 1])
+                held[3].append(row[marked] - held[1])
+                held[4].append(code[marked])
+            if done:
+                yield _batch(done, schema)
         if held:
-            yield _batch([held], batch.schema)
+            yield _batch([ended(*held)], schema)
 
-    rows = with_once(chunks, "_after", transition(F.col("value"))).select(
+    rows = with_once(chunks, "_code", _transition_code(F.col("value"))).select(
         F.col("pos.file").alias("file"), F.col("pos.block").alias("block"),
-        F.col("pos.row").alias("row"), F.col("_after").alias("after"))
-    path = shared_path(chunks.sparkSession, "xml-marks")
-    rows.mapInArrow(run, "file string, block long, row long, after array<int>").write.parquet(path)
-    return chunks.sparkSession.read.parquet(path).select(*names)
+        F.col("pos.row").alias("row"), "_code")
+    return landed(rows.mapInArrow(
+        run, "file string, block long, part long, first long, last long, at binary, "
+             "codes binary, states array<int>, opened array<long>"), "xml-marks")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -106,48 +139,25 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         names=schema.names)
 
 
-def _in_order(marks: DataFrame) -> DataFrame:
-    return marks.repartition("file", "block").sortWithinPartitions("file", "block", "row")
-
-
-def _block_transitions(marks: DataFrame) -> DataFrame:
-    """(file, block, last, states, opened): the transition of each block. ``opened`` is the
-    row whose section is open at its end, null if that began before the block."""
-    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("last", pa.int64()),
-                        ("states", pa.list_(pa.int32())), ("opened", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            done = []
-            for file, block, row, after in zip(*(c.to_pylist() for c in batch.columns),
-                                               strict=True):
-                if held is None or held[:2] != [file, block]:
-                    done += [held] if held else []
-                    held = [file, block, row, [TEXT, CDATA, COMMENT], [None] * 3]
-                held[2] = row
-                for start in range(3) if after else ():
-                    before, now = held[3][start], after[held[3][start]]
-                    if now == TEXT:
-                        held[4][start] = None
-                    elif before == TEXT:
-                        held[4][start] = row
-                    held[3][start] = now
-            if done:
-                yield _batch(done, schema)
-        if held:
-            yield _batch([held], schema)
-
-    return _in_order(marks).mapInArrow(
-        run, "file string, block long, last long, states array<int>, opened array<long>")
+def _end_state(at: np.ndarray, codes: np.ndarray, state: int) -> tuple[int, int | None]:
+    """The state after some transitions, and the place that opened its section."""
+    opened = None
+    for place_, code in zip(at.tolist(), codes.tolist(), strict=True):
+        now = NEXT[code][state]
+        if now == TEXT:
+            opened = None
+        elif state == TEXT:
+            opened = place_
+        state = now
+    return state, opened
 
 
-def _block_starts(blocks: DataFrame) -> DataFrame:
-    """(file, block, state, key_block, key_row, lost_block, lost_row, tail): how each block
-    begins, which section of its file is never closed, and the last row of the file."""
+def _part_starts(parts: DataFrame) -> DataFrame:
+    """(file, block, part, state, key_block, key_row, lost_block, lost_row, tail): how each
+    part begins, which section of its file is never closed, and the last row of the file."""
 
     def run(frame):
-        frame = frame.sort_values("block")
+        frame = frame.sort_values(["block", "part"])
         state, key, starts = TEXT, (-1, -1), []
         for block, states, opened in zip(frame["block"], frame["states"], frame["opened"],
                                          strict=True):
@@ -158,73 +168,76 @@ def _block_starts(blocks: DataFrame) -> DataFrame:
             elif row is not None and row == row:
                 key = (int(block), int(row))
         last = int(frame["last"].iloc[-1])
-        out = frame[["file", "block"]].copy()
+        out = frame[["file", "block", "part"]].copy()
         for at, name in enumerate(("state", "key_block", "key_row")):
             out[name] = [s[at] for s in starts]
         out["lost_block"], out["lost_row"] = key
         out["tail"] = [None] * (len(out) - 1) + [last]
         return out
 
-    return blocks.groupBy("file").applyInPandas(
-        run, "file string, block long, state int, key_block long, key_row long, "
+    return parts.select("file", "block", "part", "last", "states", "opened").groupBy(
+        "file").applyInPandas(
+        run, "file string, block long, part long, state int, key_block long, key_row long, "
              "lost_block long, lost_row long, tail long")
 
 
-def _spans(marks: DataFrame, starts: DataFrame) -> DataFrame:
-    """(file, block, first, last, key_block, key_row): chunks of a block that one section joins."""
-    schema = pa.schema([(n, pa.string() if n == "file" else pa.int64()) for n in (
-        "file", "block", "first", "last", "key_block", "key_row")])
+def _glued_rows(parts: DataFrame, starts: DataFrame) -> DataFrame:
+    """(file, block, bucket, _at, _back, _tail): for each bucket of a block the chunks that are
+    glued, in two arrays: place in the bucket, and how far behind the first chunk of the whole
+    is. ``_tail`` is the last row of the file, if it is here. A bucket lies in one part."""
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("bucket", pa.int64()),
+                        ("_at", pa.list_(pa.int32())), ("_back", pa.list_(pa.int64())),
+                        ("_tail", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out = None, []
-
-        def ended(last: int) -> None:
-            if held["key"] != held["lost"]:
-                out.append((*held["at"], held["first"], last, *held["key"]))
-
         for batch in batches:
-            for row in batch.to_pylist():
-                if held is None or held["at"] != (row["file"], row["block"]):
-                    if held and held["state"] != TEXT:
-                        ended(held["row"])
-                    held = {"at": (row["file"], row["block"]), "state": row["state"],
-                            "first": row["row"], "key": (row["key_block"], row["key_row"]),
-                            "lost": (row["lost_block"], row["lost_row"])}
-                held["row"] = row["row"]
-                before, after = held["state"], row["after"]
-                held["state"] = now = after[before] if after else before
-                if before == TEXT and now != TEXT:
-                    held["first"], held["key"] = row["row"], (row["block"], row["row"])
-                elif before != TEXT and now == TEXT:
-                    ended(row["row"])
-            if out:
-                yield _batch(out, schema)
-                out.clear()
-        if held and held["state"] != TEXT:
-            ended(held["row"])
-            if out:
-                yield _batch(out, schema)
-
-    entered = lookup(marks, starts.drop("tail"), ["file", "block"], ["row"])
-    return _in_order(entered).mapInArrow(
-        run, "file string, block long, first long, last long, key_block long, key_row long")
-
-
-def _glued_rows(spans: DataFrame, starts: DataFrame) -> DataFrame:
-    """(file, block, bucket, _at, _back, _tail): for each bucket of a block the chunks that are
-    glued, in two arrays: place in the bucket, and how far behind the first chunk of the whole
-    is. ``_tail`` is the last row of the file, if it is here."""
-    rows = spans.select("file", "block", "key_row", F.explode(F.sequence("first", "last")).alias("row"))
-    entry = F.struct(_in_bucket(F.col("row")).alias("at"), (F.col("row") - F.col("key_row")).alias("back"))
-    glued = rows.select("file", "block", _bucket(F.col("row")).alias("bucket"), entry.alias("entry"),
-                        F.lit(None).cast("long").alias("tail"))
-    tails = starts.filter("tail is not null").select(
-        "file", "block", _bucket(F.col("tail")).alias("bucket"),
-        F.lit(None).cast("struct<at: int, back: long>").alias("entry"), "tail")
-    held = glued.unionByName(tails).groupBy("file", "block", "bucket").agg(
-        F.sort_array(F.collect_list("entry")).alias("e"), F.max("tail").alias("_tail"))
-    return held.select("file", "block", "bucket", F.col("e.at").alias("_at"),
-                       F.col("e.back").alias("_back"), "_tail")
+            for part in batch.to_pylist():
+                spans = np.array(_spans(part), np.int64).reshape(-1, 3)
+                sizes = spans[:, 1] - spans[:, 0] + 1
+                before = np.cumsum(sizes) - sizes
+                rows = np.arange(sizes.sum()) + np.repeat(spans[:, 0] - before, sizes)
+                back = rows - np.repeat(spans[:, 2], sizes)
+                tail = part["tail"]
+                buckets, first = np.unique(rows >> BUCKET, return_index=True)
+                if tail is not None and tail >> BUCKET not in buckets:
+                    place_ = np.searchsorted(buckets, tail >> BUCKET)
+                    first = np.insert(first, place_, first[place_] if place_ < len(first)
+                                      else len(rows))
+                    buckets = np.insert(buckets, place_, tail >> BUCKET)
+                if not len(buckets):
+                    continue
+                offsets = pa.array(np.append(first, len(rows)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part["file"]] * len(buckets)),
+                     pa.array([part["block"]] * len(buckets), pa.int64()), pa.array(buckets),
+                     pa.ListArray.from_arrays(
+                         offsets, pa.array((rows & ((1 << BUCKET) - 1)).astype(np.int32))),
+                     pa.ListArray.from_arrays(offsets, pa.array(back)),
+                     pa.array([None if tail is None or tail >> BUCKET != b else tail
+                               for b in buckets.tolist()], pa.int64())], schema=schema)
+
+    entered = parts.drop("states", "opened").join(starts, ["file", "block", "part"])
+    return entered.mapInArrow(run, "file string, block long, bucket long, _at array<int>, "
+                                   "_back array<long>, _tail long")
+
+
+def _spans(part: dict) -> list[tuple[int, int, int]]:
+    """(first, last, key row) of the chunks of a part that one section joins."""
+    base, state, out = part["first"], part["state"], []
+    lost = (part["lost_block"], part["lost_row"])
+    first, key = base, (part["key_block"], part["key_row"])
+    at = np.frombuffer(part["at"], np.int32).tolist()
+    for place_, code in zip(at, np.frombuffer(part["codes"], np.int8).tolist(), strict=True):
+        now = NEXT[code][state]
+        if state == TEXT and now != TEXT:
+            first = base + place_
+            key = (part["block"], first)
+        elif state != TEXT and now == TEXT and key != lost:
+            out.append((first, base + place_, key[1]))
+        state = now
+    if state != TEXT and key != lost:
+        out.append((first, part["last"], key[1]))
+    return out
 
 
 def _bucket(row: Column) -> Column:
@@ -243,13 +256,8 @@ def glue_sections(chunks: DataFrame, closing: str) -> DataFrame:
     section that is never closed joins nothing. Reads the files once at once, to find the
     marks, and once or, if chunks are to be joined, twice for the result.
     """
-    spark = chunks.sparkSession
-    marks = _marks(chunks)
-    starts_path, glued_path = (shared_path(spark, label) for label in ("xml-starts", "xml-glued"))
-    _block_starts(_block_transitions(marks)).write.parquet(starts_path)
-    starts = spark.read.parquet(starts_path)
-    _glued_rows(_spans(marks, starts), starts).write.parquet(glued_path)
-    table = spark.read.parquet(glued_path)
+    parts = _parts(chunks)
+    table = landed(_glued_rows(parts, _part_starts(parts)), "xml-glued")
 
     row = F.col("pos.row")
     keyed = chunks.select("value", "pos", F.col("pos.file").alias("file"), F.col("pos.block").alias(

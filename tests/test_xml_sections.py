@@ -145,3 +145,14 @@ def test_a_landed_dump_is_not_parsed_again(spark, tmp_path):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "FileScan text" not in plan and "from_xml" not in plan
     assert sorted(r.title for r in kept.collect()) == ["T0", "T1", "T2"]
+
+
+@pytest.mark.parametrize("bits", [16, 8])
+def test_marks_are_carried_by_part_not_by_chunk(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(xml_sections, "PART", bits)
+    expected = _glued_file(tmp_path)
+    chunks = spark.read.text(str(tmp_path), lineSep="</i>").select(
+        "value", xml_sections.place().alias("pos"))
+    rows = chunks.count()
+    assert rows > 2900 and xml_sections._parts(chunks).count() == -(-rows // (1 << bits))
+    assert read(spark, tmp_path) == (expected, [])
