@@ -46,17 +46,25 @@ def _replace(text: Column, pattern: str, new: str = "") -> Column:
     return F.regexp_replace(text, pattern, new)
 
 
-def until_stable(text: Column, passes: Column, step: Callable[[Column], Column]) -> Column:
+def _replace_at(text: Column, mark: str, pattern: str, new: str = "") -> Column:
+    """``_replace`` with a pattern that matches only texts with ``mark``; those without it are
+    passed on untried."""
+    return let(text, lambda t: F.when(t.contains(mark), _replace(t, pattern, new)).otherwise(t))
+
+
+def until_stable(text: Column, passes: Column, step: Callable[[Column], Column],
+                 left: Callable[[Column], Column] = lambda t: F.lit(True)) -> Column:
     """Apply ``step`` until it changes nothing, at most ``passes`` times.
 
     ``passes`` comes from the row itself (how many closing delimiters it has), so
-    any nesting depth is covered and a flat text costs one pass plus a check.
+    any nesting depth is covered and a flat text costs one pass plus a check. ``left``
+    tells cheaply whether a text can be changed at all, which spares the last pass.
     """
     start = F.struct(text.alias("text"), F.lit(False).alias("done"))
 
     def again(acc: Column, _: Column) -> Column:
         return F.when(acc["done"], acc).otherwise(let(step(acc["text"]), lambda new: F.struct(
-            new.alias("text"), (new == acc["text"]).alias("done"))))
+            new.alias("text"), (~left(new) | (new == acc["text"])).alias("done"))))
 
     return F.aggregate(F.array_repeat(F.lit(0), passes), start, again, lambda acc: acc["text"])
 
@@ -82,13 +90,16 @@ def drop_nested(text: Column, opening: str, closing: str, unclosed: str = "last"
     """
     (o, p), (c, d) = (tuple(rf"\{char}" for char in pair) for pair in (opening, closing))
     # of a run of equal characters every second one begins a token
-    first = rf"(?<=(?<!{o})(?:{o}{p}){{0,64}}){o}{p}" if o == p else None
+    # looking ahead before behind: the look behind tries 64 widths
+    first = rf"(?={o}{p})(?<=(?<!{o})(?:{o}{p}){{0,64}}){o}{p}" if o == p else None
     span = balanced(o + p, c + d, rf"[^{o}{c}]++|{o}(?!{p})|{c}(?!{d})", first)
 
     def clean(t: Column) -> Column:
-        holes = until_stable(t, F.regexp_count(t, F.lit(c + d)), lambda x: _replace(x, span, _HOLE))
+        holes = until_stable(t, F.regexp_count(t, F.lit(c + d)), lambda x: _replace(x, span, _HOLE),
+                             lambda x: x.contains(closing))
         tail = rf"(?s){o}{p}.*" + ("" if unclosed == "cut" else _HOLE)
-        return F.when(t.contains(opening), _replace(_replace(holes, tail), _HOLE)).otherwise(t)
+        return F.when(t.contains(opening), _replace(_replace_at(holes, opening, tail), _HOLE)
+                      ).otherwise(t)
 
     return let(text, clean)
 
@@ -101,7 +112,8 @@ def drop_brace_templates(text: Column) -> Column:
     span = balanced(r"\{", r"\}", "[^{}]++", start)
 
     def clean(t: Column) -> Column:
-        holes = until_stable(t, F.regexp_count(t, F.lit(r"\}")), lambda x: _replace(x, span, _HOLE))
+        holes = until_stable(t, F.regexp_count(t, F.lit(r"\}")), lambda x: _replace(x, span, _HOLE),
+                             lambda x: x.contains("}"))
         return F.when(t.contains("{{"), _replace(_replace(holes, rf"(?s){start}.*"), _HOLE)
                       ).otherwise(t)
 
@@ -109,7 +121,7 @@ def drop_brace_templates(text: Column) -> Column:
 
 
 def drop_comments(text: Column) -> Column:
-    return _replace(text, r"(?s)<!--.*?-->")
+    return _replace_at(text, "<!--", r"(?s)<!--.*?-->")
 
 
 def drop_templates(text: Column, unclosed: str = "last") -> Column:
@@ -125,8 +137,13 @@ def drop_tables(text: Column) -> Column:
 def drop_table_rows(text: Column) -> Column:
     """Cells on lines of their own, formatting lines emptied, cell prefixes dropped."""
     out = F.replace(text, F.lit("||"), F.lit("\n|"))
-    out = _replace(out, r"\n(?:\{\||\|-|\|\})[^\n]*(?=\n)", "\n")
-    return _replace(out, r"\n[|!](?:[^\n]*\|)?", "\n")
+
+    def dropped(t: Column) -> Column:
+        rows = _replace(t, r"\n(?:\{\||\|-|\|\})[^\n]*(?=\n)", "\n")
+        return F.when(t.contains("\n|") | t.contains("\n!") | t.contains("\n{|"), _replace(
+            rows, r"\n[|!](?:[^\n]*\|)?", "\n")).otherwise(t)
+
+    return let(out, dropped)
 
 
 _PROTOCOL = "(?:" + "|".join(URL_PROTOCOLS) + ")"
@@ -185,7 +202,7 @@ def replace_internal_links(text: Column, keep_links: bool = False,
 
     step = linked if keep_links else flat
     return let(text, lambda t: F.when(t.contains("[["), until_stable(
-        t, F.regexp_count(t, F.lit(r"\]\]")), step)).otherwise(t))
+        t, F.regexp_count(t, F.lit(r"\]\]")), step, lambda x: x.contains("]]"))).otherwise(t))
 
 
 def file_captions(text: Column) -> Column:
@@ -200,18 +217,18 @@ def drop_language_links(text: Column) -> Column:
 
 
 def drop_categories(text: Column) -> Column:
-    return _replace(text, r"\[\[Category:[^\]\[]*\]\]")
+    return _replace_at(text, "[[Category:", r"\[\[Category:[^\]\[]*\]\]")
 
 
 def drop_inline_blocks(text: Column) -> Column:
     """Drop footnotes, nowiki and math blocks."""
     for tag in ("ref", "nowiki", "math"):
-        text = _replace(text, rf"(?s)<{tag}[> ].*?(?:</{tag}>|/>)")
+        text = _replace_at(text, f"<{tag}", rf"(?s)<{tag}[> ].*?(?:</{tag}>|/>)")
     return text
 
 
 def drop_switches(text: Column) -> Column:
-    return _replace(text, "__(?:" + "|".join(BEHAVIOUR_SWITCHES) + ")__")
+    return _replace_at(text, "__", "__(?:" + "|".join(BEHAVIOUR_SWITCHES) + ")__")
 
 
 def unquote_emphasis(text: Column) -> Column:
@@ -237,11 +254,13 @@ def drop_elements(text: Column, elements: tuple[str, ...] = DISCARDED_ELEMENTS)
     """Drop listed elements with their content, nested ones included."""
     names = "|".join(elements)
     opening = rf"<\s*({names})\b[^>/]*>"
-    span = (rf"(?is){opening}(?:(?!<\s*\1\b[^>/]*>|<\s*/\s*\1\s*>).)*+<\s*/\s*\1\s*>")
+    span = (rf"(?is){opening}(?:[^<]++|(?!<\s*\1\b[^>/]*>|<\s*/\s*\1\s*>)<)*+<\s*/\s*\1\s*>")
+    closing = rf"(?i)<\s*/\s*(?:{names})\s*>"
 
     def clean(t: Column) -> Column:
-        closings = F.regexp_count(t, F.lit(rf"(?i)<\s*/\s*(?:{names})\s*>"))
-        holes = until_stable(t, closings, lambda x: _replace(x, span, f"{_HOLE}$1{_HOLE}"))
+        closings = F.regexp_count(t, F.lit(closing))
+        holes = until_stable(t, closings, lambda x: _replace(x, span, f"{_HOLE}$1{_HOLE}"),
+                             lambda x: x.rlike(closing))
         unclosed = _replace(holes, rf"(?is){opening}.*{_HOLE}\1{_HOLE}")
         return F.when(closings > 0, _replace(unclosed, rf"{_HOLE}\w+{_HOLE}")).otherwise(t)
 
@@ -300,12 +319,12 @@ def light_clean(text: Column, passes: int | None = 3) -> Column:
 
     def once(t: Column) -> Column:
         out = drop_categories(raw_tags_dropped(drop_inline_blocks(drop_comments(t))))
-        out = _replace(out, r"\[\w+://[^\n]*?(?:( [^\n]*?)|)\]", "$1")
-        out = _replace(out, r"\[[^\]\[]*\|([^\]\[]*)\]", "$1")
+        out = _replace_at(out, "://", r"\[\w+://[^\n]*?(?:( [^\n]*?)|)\]", "$1")
+        out = _replace_at(out, "[", r"\[[^\]\[]*\|([^\]\[]*)\]", "$1")
         return F.replace(drop_table_rows(out), F.lit("[]"), F.lit(""))
 
     def raw_tags_dropped(t: Column) -> Column:
-        return _replace(t, r"(?s)<.*?>")
+        return _replace_at(t, "<", r"(?s)<.*?>")
 
     start = file_captions(drop_brace_templates(drop_language_links(decode_entities(text))))
     return F.translate(until_stable(

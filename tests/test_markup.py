@@ -141,3 +141,19 @@ def test_compact_carries_state_over_blocks(one):
 def test_long_content_does_not_overflow(one):
     page = "{{" + "x " * 400_000 + "}}t<div>" + "y " * 200_000 + "</div>[http://a.b " + "z " * 100_000 + "]"
     assert one(page, lambda c: F.length(markup.clean_markup(c))) > 100_000
+
+
+def test_nothing_is_tried_where_no_mark_is_left(spark):
+    texts = ["{{a|{{b}}}}x", "{{{{a}}", "}}{{", "{{a}}{{b", "<DIV>a<div>b</div></div >c<div>",
+             "<ref>a</REF>b</ref>", "[[a|[[b]]]]c]]", "{{{a}}}b", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    marked = markup.until_stable(F.col("t"), F.lit(3), lambda x: F.concat(x, F.lit("+")),
+                                 lambda x: F.lit(False))
+    assert [r.m for r in df.select(marked.alias("m")).collect()] == [
+        t if t is None else t + "+" for t in texts]
+    found = df.select(
+        markup.drop_templates(F.col("t")).alias("a"), markup.drop_elements(F.col("t")).alias("b"),
+        markup.replace_internal_links(F.col("t")).alias("c")).collect()
+    assert [r.a for r in found[:4]] == ["x", "", "}}{{", "{{b"]
+    assert [r.b for r in found[4:6]] == ["c<div>", "b</ref>"]
+    assert found[6].c == "bc]]" and tuple(found[-1]) == (None,) * 3
