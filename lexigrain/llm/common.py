@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
                   limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that one holds about ``limit`` bytes of a text column, or one row."""
+    """Cut batches so that one holds about ``limit`` bytes of a text column, or one row.
+
+    After the last one the worker's free memory goes back to the system (:func:`freed`).
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -29,6 +33,19 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
         step = max(1, int(batch.num_rows * limit / max(sizes, 1)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    freed()
+
+
+def freed() -> None:
+    """Give memory that is not in use back to the system.
+
+    Python workers outlive their tasks; what the allocators keep counts against the
+    executor in every later stage.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

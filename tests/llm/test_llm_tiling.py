@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from lexigrain.llm import common
 from lexigrain.llm import string_tiling as T
 from llm_samples import prose
 
@@ -67,3 +69,11 @@ def test_edges(spark, edge, empty):
     assert T.decontaminated(empty, bench).count() == 0
     assert T.decontaminated(edge, empty.selectExpr("doc_id AS item_id", "text")).filter(
         "contaminated").count() == 0
+
+
+def test_a_task_gives_its_free_memory_back_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "freed", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 100, None, "b"]})
+    cut = list(common.small_batches(iter([batch, batch]), limit=50))
+    assert sum(b.num_rows for b in cut) == 6 and len(cut) > 2 and calls == [1]
