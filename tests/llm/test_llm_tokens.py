@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as TOKENIZERS
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 from lexigrain.llm import packing, token_counts, training_order
 from lexigrain.llm.bpe import RankEncoder, RunEncoder
 from lexigrain.session import shared_path
-from llm_samples import sample_texts
+from llm_samples import prose, sample_texts
 
 
 def odd_texts(seed=5, count=120):
@@ -151,3 +152,54 @@ def test_fewer_or_more_sequences_than_counted_stop_the_job(spark, edge):
         with pytest.raises(Exception, match="were counted|between counting and writing"):
             training_order.materialise(rows, counts, f"file://{shared_path(spark, 'torn')}",
                                        length=64, shard_rows=100)
+
+
+class Spy:
+    """Hands texts on to a library and keeps them."""
+
+    def __init__(self, encoder):
+        self.texts, self.library = [], encoder.library
+        encoder.library = self
+
+    def __call__(self, texts):
+        self.texts += texts
+        return self.library(texts)
+
+
+@pytest.mark.parametrize("block", [30, 1 << 20])
+def test_columns_give_the_ids_of_whole_texts(bpe, block):
+    whole = Tokenizer.from_file(bpe)
+    spaces = ["\x85", " ", " ", " ", " ", "　", " ", "\n", "\r\n", "\t "]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([*spaces, "a", "-x", "é", "ok.", "Рах", "漢", "🙂",
+                                 "<|endoftext|>", "\x1c", "'s"]) for _ in range(rng.randint(0, 60)))
+             for _ in range(200)] + [None, "", "y" * 500] + sample_texts()
+    ids = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    column = pa.array(["cut", *texts], pa.string())[1:]
+    found, counts = RunEncoder(bpe, limit=2000, block=block).encode(column)
+    assert counts.tolist() == list(map(len, ids))
+    assert found.tolist() == [i for text in ids for i in text]
+    ranks = RankEncoder(TOKENIZERS.path("byte_bpe_50k.tiktoken"), TOKENIZERS.PATTERN,
+                        block=block)
+    plain = [None if t is None else t.replace("<|endoftext|>", "") for t in texts]
+    ids = [whole.encode(t or "", add_special_tokens=False).ids for t in plain]
+    found, counts = ranks.encode(pa.array(plain))
+    assert found.tolist() == [i for text in ids for i in text]
+    assert counts.tolist() == ranks.counts(pa.array(plain)).tolist() == list(map(len, ids))
+
+
+def test_libraries_get_the_distinct_runs_only(bpe):
+    column = pa.array([prose(1), prose(2)] * 50)
+    for encoder in (RunEncoder(bpe, limit=0), RankEncoder(
+            TOKENIZERS.path("byte_bpe_50k.tiktoken"), TOKENIZERS.PATTERN)):
+        spy = Spy(encoder)
+        encoder.encode(column)
+        assert sum(map(len, spy.texts)) <= len(prose(1)) + len(prose(2))
+
+
+def test_pieces_of_many_counts():
+    counts = np.asarray([1, 2, 3, 255, 256, 257, 700, 1024])
+    owner, lengths = packing.piece_lengths(counts, 256)
+    for at, count in enumerate(counts):
+        assert lengths[owner == at].tolist() == packing.decompose(int(count), 256)
+    assert packing.piece_lengths(np.asarray([3]), 1)[1].tolist() == [1, 1, 1]
