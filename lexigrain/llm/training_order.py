@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrain.llm.bpe import rank_encoder
-from lexigrain.llm.common import column_like, mixed, small_batches, texts_of
+from lexigrain.llm.common import column_like, mixed, small_batches
 from lexigrain.llm.folders import landed
 
 LENGTH = 512  # tokens of a sequence
@@ -82,22 +82,21 @@ def sequences(docs: DataFrame, ranks: str, pattern: str, length: int = LENGTH,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encode = rank_encoder(ranks, pattern)
-        squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True)
-        end = np.asarray([end_id], "<u2").tobytes()
+        encode = rank_encoder(ranks, pattern).encode
+        squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         for batch in small_batches(batches):
-            rows: list[tuple] = []
-            for key, value in zip(column_like(batch, "doc_id").to_pylist(), texts_of(batch),
-                                  strict=True):
-                data = encode.ids(value) + end
-                for at in range(0, len(data), 2 * length):
-                    piece = data[at:at + 2 * length]
-                    rows.append((key, at // (2 * length), len(piece) // 2,
-                                 squeeze.compress(piece)))
-            columns = zip(*rows, strict=True)
+            ids, counts = encode(column_like(batch, "text"))
+            ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+            pieces = -(-counts // length)
+            owner = np.repeat(np.arange(len(counts)), pieces)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            sizes = np.minimum(counts[owner] - place * length, length)
+            ends = np.cumsum(sizes)
+            bodies = [squeeze(ids[start:end]) for start, end in zip(
+                (ends - sizes).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (
-                    pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                [column_like(batch, "doc_id").take(pa.array(owner)), pa.array(place),
+                 pa.array(sizes), pa.array(bodies, pa.binary())],
                 names=["doc_id", "piece", "n_tokens", "body"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
@@ -113,9 +112,9 @@ def sequence_counts(docs: DataFrame, ranks: str, pattern: str, length: int = LEN
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, count = rank_encoder(ranks, pattern), 0
+        counts, count = rank_encoder(ranks, pattern).counts, 0
         for batch in small_batches(batches):
-            count += sum(encode.count(value) // length + 1 for value in texts_of(batch))
+            count += int((counts(column_like(batch, "text")) // length + 1).sum())
         yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["n"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
