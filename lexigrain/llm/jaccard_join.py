@@ -43,10 +43,13 @@ COUNTER_BITS = 20  # cells of the frequency table, 4 MB that every task lands
 SET_BITS = 24  # bits of the set of candidates that tells which documents to read again
 BINS = 64  # ranges of shingles whose counts the suffix filter compares
 SEEN = 200_000  # sets a task remembers to send copies once
+KEY = np.uint64(0xFFFFFFFFFFFF0000)  # what posting rows carry of a shingle: more candidates, no fewer
 SALTED = 4096  # documents of one shingle that one group may hold
-# one number holds, from the low bits: the place of a shingle in its prefix, the size of the
-# set, the part of a hot shingle (1 to 32; 0 for others), how frequent its shingles are
-PLACE_BITS, SIZE_BITS, PART_BITS, SCORE_BITS = 23, 25, 6, 9
+# one number holds, from the low bits: the size of the set, how frequent its shingles are, the
+# place of a shingle in its prefix, the part of a hot shingle (1 to 32; 0 for others); so the
+# bytes that mostly are null stand next to those of the row's head and compress with them
+SIZE_BITS, SCORE_BITS, PLACE_BITS, PART_BITS = 25, 9, 23, 6
+PLACE_AT, PART_AT = SIZE_BITS + SCORE_BITS, SIZE_BITS + SCORE_BITS + PLACE_BITS
 HUGE = (1 << SIZE_BITS) - 1  # sets of this many shingles or more pass the filters
 SMALL = 32  # rows of a group that are all compared in place
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -200,14 +203,14 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, table) -> Dat
                 order = np.argsort(found_classes, kind="stable")[
                     :prefix_length(len(values), percent)]
                 score = min(int(3 * found_classes.mean()), (1 << SCORE_BITS) - 1)
-                parts[0].append(values[order].view(np.int64))
+                parts[0].append((values[order] & KEY).view(np.int64))
                 parts[1].append(np.full(len(order), sig, np.int64))
                 dealt = salts[cells[order]].astype(np.uint64)
                 part = np.uint64(sig & 0xFFFF) & ((np.uint64(1) << dealt) - np.uint64(1))
                 part = np.where(dealt > 0, part + np.uint64(1), np.uint64(0)).astype(np.int64)
                 size = min(len(values), HUGE)
-                parts[2].append(((score << PART_BITS | part) << SIZE_BITS | size) << PLACE_BITS
-                                | np.minimum(np.arange(len(order)), (1 << PLACE_BITS) - 1))
+                place = np.minimum(np.arange(len(order)), (1 << PLACE_BITS) - 1)
+                parts[2].append(part << PART_AT | place << PLACE_AT | score << SIZE_BITS | size)
             if parts[0]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(p)) for p in parts], names=["h", "sig", "at"])
@@ -219,18 +222,18 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, table) -> Dat
         rows = pa.Table.from_batches(held)
         h, sig, at = (rows.column(c).to_numpy() for c in range(3))
         del held, rows
-        part = at >> PLACE_BITS + SIZE_BITS & (1 << PART_BITS) - 1
-        score = at >> PLACE_BITS + SIZE_BITS + PART_BITS
-        order = np.lexsort((sig, -score, part, h))
+        part = at >> PART_AT
+        score = at >> SIZE_BITS & (1 << SCORE_BITS) - 1
+        order = np.lexsort((at, sig, -score, part, h))
         h, part, sig, at = h[order], part[order], sig[order], at[order]
         first = np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])]
-        fresh = first | np.r_[True, sig[1:] != sig[:-1]]  # copies sent by several tasks
+        fresh = first | np.r_[True, sig[1:] != sig[:-1]]  # of equal keys of a set the first
         h, part, sig, at, first = (x[fresh] for x in (h, part, sig, at, first))
         sizes = np.bincount(np.cumsum(first) - 1)
         starts = np.repeat(np.flatnonzero(first), sizes)
         keep = (np.repeat(sizes, sizes) > 1) | (part > 0)
-        n = (at >> PLACE_BITS & (1 << SIZE_BITS) - 1).astype(np.int32)
-        pos = (at & (1 << PLACE_BITS) - 1).astype(np.int32)
+        n = (at & (1 << SIZE_BITS) - 1).astype(np.int32)
+        pos = (at >> PLACE_AT & (1 << PLACE_BITS) - 1).astype(np.int32)
         passed = ~first & within(n, n[starts], pos, pos[starts], percent)
         keep &= partnered(starts, np.repeat(sizes, sizes), part, n, pos, percent)
         pivot = pa.array(sig[starts][keep], pa.int64(), mask=~passed[keep])
@@ -241,7 +244,7 @@ def postings(docs: DataFrame, width: int, percent: int, bits: int, table) -> Dat
                 names=["h", "sig", "n", "pos", "pivot"])
 
     rows = docs.mapInArrow(emit, "h long, sig long, at long")
-    part = F.shiftright("at", PLACE_BITS + SIZE_BITS).bitwiseAND((1 << PART_BITS) - 1)
+    part = F.shiftright("at", PART_AT)
     return landed(rows.repartition(F.col("h"), part).mapInArrow(
         group, "h long, sig long, n int, pos int, pivot long"), "postings")
 
@@ -364,15 +367,16 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int,
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    # copies sent by several tasks come together here, before they meet the pairs
-    sets = landed(docs.mapInArrow(fetch, "sig long, values binary"), "values").groupBy("sig").agg(
+    # copies sent by several tasks come together here, before they meet the pairs; both sides
+    # read this one shuffle, so the sets are not written as a table as well
+    sets = docs.mapInArrow(fetch, "sig long, values binary").groupBy("sig").agg(
         F.first("values").alias("values"))
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("sig").alias(name), F.col("values").alias(f"values_{name}"))
 
-    return landed(pairs.join(side("v"), "v").join(side("u"), "u").mapInArrow(
-        check, "u long, v long"), "verified")
+    return landed(pairs.join(side("v").hint("merge"), "v").join(side("u").hint("merge"), "u")
+                  .mapInArrow(check, "u long, v long"), "verified")
 
 
 def similar_links(docs: DataFrame, sets: DataFrame, width: int, percent: int,

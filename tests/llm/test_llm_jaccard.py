@@ -97,3 +97,21 @@ def test_components_of_a_path(spark):
                                   "u long, v long")
     found = {r.node: r.root for r in components(links).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_sets_to_verify_are_not_landed(spark, monkeypatch):
+    labels, landed = [], J.landed
+    monkeypatch.setattr(J, "landed", lambda df, label: (labels.append(label), landed(df, label))[1])
+    texts = fixture_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = J.join_components(docs).orderBy("doc_id").collect()
+    assert [r.component_id for r in found] == brute(texts)[1]
+    assert "verified" in labels and "values" not in labels
+
+
+def test_posting_rows_with_coarse_keys_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(J, "KEY", J.np.uint64(0xFC00000000000000))  # 64 groups
+    texts = fixture_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = J.join_components(docs).orderBy("doc_id").collect()
+    assert [r.component_id for r in found] == brute(texts)[1]
