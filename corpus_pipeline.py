@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from lexigrain.llm.keep import row_key, without
 from lexigrain.session import shared_path
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+BATCH = 2 << 20  # bytes; Spark's own bounds are 10,000 rows and 64 MB
 
 #: None: compression ratios, posteriors and token ids are not SQL; tests use brute force.
 ORACLE_SQL = None
@@ -47,9 +50,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
-STAGES = [("quality_rules", quality_rules), ("language", language),
-          ("near_duplicates", near_duplicates), ("decontamination", decontamination),
-          ("packing", packed)]
+def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage in a session that hands texts to Python ``BATCH`` bytes at a time.
+
+    An executor and its Python workers hold some copies of a batch for every running task.
+    """
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, in_small_batches(stage)) for name, stage in [
+    ("quality_rules", quality_rules), ("language", language),
+    ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("packing", packed)]]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,26 @@ def runs_of(texts: pa.Array, block: int) -> Iterator[tuple[pa.Array, np.ndarray]
         low, size = high, block
 
 
+def joinable(runs: pa.Array) -> tuple[np.ndarray, int]:
+    """An order that puts runs of ASCII white space and a word first, and how many these are."""
+    offsets, data = bytes_of(runs)
+    joined = WHITE[data[offsets[:-1]]] & ~after_white(data, offsets[1:])
+    return np.argsort(~joined, kind="stable"), int(joined.sum())
+
+
+def spliced(flat: np.ndarray, ends: np.ndarray, index: np.ndarray,
+            sizes: np.ndarray) -> np.ndarray:
+    """The values of runs in a row; those of run i begin at ``ends[i]``."""
+    stops = np.cumsum(sizes)
+    out = np.empty(stops[-1] if len(stops) else 0, flat.dtype)
+    for low in range(0, len(index), SPLICED):
+        size, stop = sizes[low:low + SPLICED], stops[low:low + SPLICED]
+        first, last = stop[0] - size[0], stop[-1]
+        shift = ends[index[low:low + SPLICED]] - (stop - size)
+        out[first:last] = flat[np.repeat(shift, size) + np.arange(first, last)]
+    return out
+
+
 class Encoder:
     """Encode texts by their distinct runs.
 
@@ -102,7 +122,7 @@ class Encoder:
         for index, owner in self._blocks(texts):
             sizes = np.diff(self.ends)[index]
             counts += np.bincount(owner, sizes, len(counts)).astype(np.int64)
-            parts.append(self._spliced(index, sizes))
+            parts.append(spliced(self.flat, self.ends, index, sizes))
         return np.concatenate(parts), counts
 
     def counts(self, texts: pa.Array) -> np.ndarray:
@@ -122,8 +142,10 @@ class Encoder:
         """Places of runs among the known ones; unknown ones are encoded."""
         if self.runs.nbytes + self.flat.nbytes + self.ends.nbytes > self.limit:
             self._forget()
-        found = pc.index_in(distinct, value_set=self.runs)
-        places = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        found = pc.index_in(self.runs, value_set=distinct)  # the table of the few takes less
+        known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        places = np.full(len(distinct), -1)
+        places[found.drop_null().to_numpy()] = known
         fresh = np.flatnonzero(places < 0)
         if len(fresh):
             order, ids, counts = self._encode(distinct.take(pa.array(fresh)))
@@ -136,10 +158,7 @@ class Encoder:
 
     def _encode(self, runs: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Encode distinct runs: the order they come in, their ids, how many each has."""
-        offsets, data = bytes_of(runs)
-        joined = WHITE[data[offsets[:-1]]] & ~after_white(data, offsets[1:])
-        order = np.argsort(~joined, kind="stable")
-        joined = int(joined.sum())
+        order, joined = joinable(runs)
         runs = runs.take(pa.array(order))
         offsets, data = bytes_of(runs)
         ids, counts = [], []
@@ -173,17 +192,6 @@ class Encoder:
             return None
         return [(ids, np.diff(cuts + 1, prepend=0))]
 
-    def _spliced(self, index: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The ids of runs in a row."""
-        ends = np.cumsum(sizes)
-        out = np.empty(ends[-1] if len(ends) else 0, self.dtype)
-        for low in range(0, len(index), SPLICED):
-            size, end = sizes[low:low + SPLICED], ends[low:low + SPLICED]
-            first, last = end[0] - size[0], end[-1]
-            shift = self.ends[index[low:low + SPLICED]] - (end - size)
-            out[first:last] = self.flat[np.repeat(shift, size) + np.arange(first, last)]
-        return out
-
 
 class RunEncoder(Encoder):
     """Unsigned 32-bit ids of a file of the tokenizers library, without special tokens added."""

@@ -2,6 +2,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -58,3 +59,18 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "language", "near_duplicates", "decontamination", "packing"]
     assert os.path.basename(path)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_hand_texts_out_in_small_batches(spark, folder, name):
+    path, *_ = folder
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    texts = spark.range(3000, numPartitions=1).selectExpr("repeat(string(id), 1000) AS text")
+    found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 10 << 20 and max(found) < 3 << 20
