@@ -25,13 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lexigrain.llm.bpe import run_blocks
-from lexigrain.llm.common import column_like, small_batches, texts_of
-from lexigrain.llm.memory import Generations
+from lexigrain.llm.bpe import BYTES, JOINED, Encoder, bytes_of, joinable, spliced
+from lexigrain.llm.common import column_like, small_batches
 from lexigrain.llm.token_table import byte_letters, token_bytes
 
 NEVER = 1 << 30  # the rank of a merge that does not happen
-GROUP = 2 << 20  # characters of texts whose new words share a trie
 IDS = 1 << 20  # ids of a long text that are decoded at a time
 
 
@@ -146,16 +144,17 @@ class Merges:
         return known
 
 
-class TrieEncoder:
+class TrieEncoder(Encoder):
     """Ids of texts; runs of white space and letters are remembered, new words go to a trie."""
 
-    def __init__(self, path: str, limit: int = 128 << 20):
+    def __init__(self, path: str, limit: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.merges = Merges(path)
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.known = Generations(limit)
+        self.lengths = list(map(len, self.merges.bytes))
+        super().__init__(np.asarray(self.lengths), "<u4", limit, BYTES)
 
     def words_of(self, run: str) -> list[str | int]:
         """The words of a run, in letters that stand for bytes, and ids of added tokens."""
@@ -168,11 +167,12 @@ class TrieEncoder:
                 return words
         return [word for word, _ in self.split(run)] if run else []
 
-    def encode_words(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of distinct words, by a depth-first walk over their trie."""
-        endings, neighbours = self.merges.endings, self.merges.neighbours
-        last, before, found = array("i", [-1]), "", {}
-        for word in sorted(words):
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of sorted distinct words, and how many each has, by a depth-first walk."""
+        endings, merges, lengths = self.merges.endings, self.merges, self.lengths
+        allowed, across = merges.allowed, merges.size
+        last, before, found, counts = array("i", [-1]), "", array("I"), array("i")
+        for word in words:
             depth = common_prefix(before, word)
             del last[depth + 1:]
             for end in range(depth + 1, len(word) + 1):
@@ -182,49 +182,79 @@ class TrieEncoder:
                         fits.append((start, token))
                     start -= 1
                 for start, token in reversed(fits):
-                    if start == 0 or neighbours(last[start], token):
-                        last.append(token)
+                    if start == 0:
+                        break
+                    known = allowed.get(last[start] * across + token)
+                    if merges.neighbours(last[start], token) if known is None else known:
                         break
                 else:
                     raise ValueError(f"no token ends {word[max(0, end - 20):end]!r}")
-            ids, end = array("I"), len(word)
+                last.append(token)
+            ids, end = [], len(word)
             while end:
-                ids.append(last[end])
-                end -= len(self.merges.bytes[last[end]])
-            found[word] = ids[::-1].tobytes()
+                token = last[end]
+                ids.append(token)
+                end -= lengths[token]
+            counts.append(len(ids))
+            found.extend(ids[::-1])
             before = word
-        return found
-
-    def encode_runs(self, runs: set[str]) -> dict[str, bytes]:
-        """The ids of these runs (and others): remembered, or put together from their words."""
-        split = {run: self.words_of(run) for run in self.known.missing(runs)}
-        ids = self.encode_words({w for words in split.values() for w in words
-                                 if isinstance(w, str)})
-        for run, words in split.items():
-            self.known.put(run, b"".join(
-                ids[w] if isinstance(w, str) else array("I", [w]).tobytes() for w in words))
-        return self.known.young
+        return np.frombuffer(found, "<u4"), np.frombuffer(counts, np.int32)
+
+    def _encode(self, runs: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Encode distinct runs: all their distinct words share a trie."""
+        order, joined = joinable(runs)
+        runs = runs.take(pa.array(order))
+        offsets, data = bytes_of(runs)
+        numbers: dict[str | int, int] = {}
+        parts, counts = [], []
+        for low in range(0, len(runs), JOINED):
+            high = min(low + JOINED, len(runs))
+            words = None
+            if high <= joined:
+                text = data[offsets[low]:offsets[high]].tobytes().decode()
+                words, sizes = self._split_joined(text, offsets[low + 1:high + 1] - offsets[low])
+            if words is None:
+                found = [self.words_of(run) for run in
+                         runs[low:high].cast(pa.string()).to_pylist()]
+                words = [word for run in found for word in run]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+            parts.append(np.fromiter((numbers.setdefault(word, len(numbers)) for word in words),
+                                     np.int64, len(words)))
+            counts.append(sizes)
+        words = sorted(word for word in numbers if isinstance(word, str))
+        flat, sizes = self.encode_words(words)
+        tokens = [word for word in numbers if not isinstance(word, str)]  # added ones
+        flat = np.concatenate([flat, np.asarray(tokens, "<u4")])
+        sizes = np.concatenate([sizes, np.ones(len(tokens), np.int32)])
+        places = np.empty(len(numbers), np.int64)
+        places[np.fromiter(map(numbers.__getitem__, [*words, *tokens]), np.int64,
+                           len(numbers))] = np.arange(len(numbers))
+        index = places[np.concatenate(parts)]
+        found = spliced(flat, np.append(0, np.cumsum(sizes)), index, sizes[index])
+        counts = np.concatenate(counts)
+        return order, [found], np.add.reduceat(sizes[index], np.cumsum(counts) - counts)
+
+    def _split_joined(self, text: str, run_ends: np.ndarray):
+        """The words of runs that were joined to one text, and how many each run has.
+
+        None if an added token is in the text or a word goes over the end of a run.
+        """
+        if any(added in text for added in self.merges.added):
+            return None, None
+        words = [word for word, _ in self.split(text)]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        cuts = np.searchsorted(ends, run_ends)
+        if ends[-1] != run_ends[-1] or (ends[cuts] != run_ends).any():
+            return None, None
+        return words, np.diff(cuts + 1, prepend=0)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of texts; the new words of about 2 MB share a trie."""
-        out, group, size = [], [], 0
-        for text in texts:
-            if len(text) > GROUP:
-                out += self._group(group)
-                group, size = [], 0
-                out.append(b"".join(b for runs in run_blocks(text)
-                                    for b in self._group([runs])))
-                continue
-            group.append([run for runs in run_blocks(text) for run in runs])
-            size += len(text)
-            if size > GROUP:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
+    encode_column = Encoder.encode
 
-    def _group(self, group: list[list[str]]) -> list[bytes]:
-        found = self.encode_runs({run for runs in group for run in runs})
-        return [b"".join(map(found.__getitem__, runs)) for runs in group]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        return [ids[end - size:end].tobytes() for end, size in zip(ends, counts, strict=True)]
 
 
 _encoders: dict[str, TrieEncoder] = {}
@@ -250,11 +280,9 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = trie_encoder(tokenizer)
         for batch in small_batches(batches):
-            ids = encoder.encode(texts_of(batch))
-            sizes = np.asarray([len(i) // 4 for i in ids], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = pa.Array.from_buffers(
-                pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
+            ids, sizes = encoder.encode_column(column_like(batch, "text"))
+            offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
                 [column_like(batch, "doc_id"), pa.array(sizes),
                  pa.ListArray.from_arrays(pa.array(offsets), values)],

@@ -45,6 +45,25 @@ def test_long_texts_are_encoded_by_blocks(bpe, trie):
         assert ids_of(trie, text) == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_of_a_block_share_a_trie(bpe):
+    """Words come from few calls of the library, and a run that is known is not walked again."""
+    trie, whole = prefix_trie.TrieEncoder(bpe), Tokenizer.from_file(bpe)
+    split, walk, calls, walked = trie.split, trie.encode_words, [], []
+    trie.split = lambda text: calls.append(1) or split(text)
+    trie.encode_words = lambda words: walked.append(len(words)) or walk(words)
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.choice('abc')}{i}-{j}" for j in range(40)) + "\u2003 x" for i in range(500)]
+    for _ in range(2):
+        for text, found in zip(texts, trie.encode(texts), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == whole.encode(
+                text, add_special_tokens=False).ids
+    assert sum(1 for n in walked if n) == 1 and len(calls) < 5000
+    mixed = [text.replace("-7 ", "<|endoftext|>\n") for text in texts]
+    for text, found in zip(mixed, trie.encode(mixed), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == whole.encode(
+            text, add_special_tokens=False).ids
+
+
 def test_neighbours_are_those_that_plain_merging_leaves(bpe, trie):
     merges, rng = trie.merges, random.Random(3)
     names = {i: t for t, i in merges.vocab.items()}
