@@ -20,8 +20,6 @@ from lexigrain.llm.token_table import token_bytes
 
 #: The characters with the Unicode property White_Space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-RUNS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-BLOCK = 1 << 20  # characters of a long text that are cut into runs at a time
 BYTES = 8 << 20  # bytes of texts whose runs are told apart at a time
 JOINED = 4096  # distinct runs that a library gets as one text
 SPLICED = 1 << 17  # runs whose ids are put together at a time
@@ -257,22 +255,6 @@ class RankEncoder(Encoder):
         return int(self.counts(pa.array([text], pa.string()))[0])
 
 
-def run_blocks(text: str, block: int = BLOCK) -> Iterator[list[str]]:
-    """The runs of a text, a block of them at a time."""
-    if len(text) <= block:
-        yield RUNS.findall(text)
-        return
-    runs: list[str] = []
-    size = 0
-    for found in RUNS.finditer(text):
-        runs.append(found.group())
-        size += len(runs[-1])
-        if size >= block:
-            yield runs
-            runs, size = [], 0
-    yield runs
-
-
 _rank_encoders: dict[tuple[str, str], RankEncoder] = {}
 
 
