@@ -27,24 +27,23 @@ def salted_lookup(facts: DataFrame, dims: DataFrame, keys: list[str], salt_by: l
 
 
 def frequent_split_lookup(facts: DataFrame, dims: DataFrame, key: str, weight: str,
-                          spread_by: list[str], frequent: int = 1000) -> DataFrame:
+                          spread_by: list[str] | None = None, frequent: int = 1000) -> DataFrame:
     """Inner lookup of one value by a string key when the table tells how often each occurs.
 
-    The ``frequent`` keys of largest weight are broadcast. Their fact rows get a
-    scattered key that matches nothing in the shuffle join of the rest, where no key
-    can hold more than one part in ``frequent`` of the total weight.
+    The ``frequent`` keys of largest weight are broadcast, and their fact rows are not
+    shuffled (``spread_by`` once dealt them out; it has no effect). The rest is joined by
+    shuffle, where no key can hold more than one part in ``frequent`` of the total weight.
+    ``facts`` are read twice.
     """
     top = dims.orderBy(F.desc(weight), key).limit(frequent).select(
-        key, F.col(weight).alias("_top"))
-    rest = dims.join(F.broadcast(top.select(key)), key, "left_anti").select(
-        F.struct(F.col(key).alias("k"), F.lit(0).alias("s")).alias("_key"),
-        F.col(weight).alias("_rest"))
-    scattered = F.struct(F.lit("").alias("k"), F.hash(*spread_by).alias("s"))
-    plain = F.struct(F.col(key).alias("k"), F.lit(0).alias("s"))
-    marked = facts.join(F.broadcast(top), key, "left").withColumn(
-        "_key", F.when(F.col("_top").isNotNull(), scattered).otherwise(plain))
-    found = marked.join(rest, "_key", "left").withColumn(weight, F.coalesce("_top", "_rest"))
-    return found.filter(F.col(weight).isNotNull()).drop("_key", "_top", "_rest")
+        key, F.col(weight).alias("_weight"))
+    known = F.broadcast(top.select(key))
+    rest = dims.join(known, key, "left_anti").select(
+        F.col(key).alias("_key"), F.col(weight).alias("_weight"))
+    others = facts.join(known, key, "left_anti").join(
+        rest, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    found = facts.join(F.broadcast(top), key).unionByName(others)
+    return found.filter("_weight IS NOT NULL").withColumn(weight, F.col("_weight")).drop("_weight")
 
 
 def lookup(facts: DataFrame, dims: DataFrame, keys: list[str], salt_by: list[str],
