@@ -3,10 +3,12 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrain.plans import topics as P
-from lexigrain.session import kept_on_disk
+from lexigrain.session import kept_on_disk, landed
 
 CONFIG = P.TopicConfig(k=2, max_iter=2, vocab_size=50, min_df=2, learning_offset=10)
 BAGS = [["aa", "bb", "aa", None], ["bb", "cc", "the"], ["aa", "dd"], [], None]
@@ -45,21 +47,28 @@ def test_fits_keep_no_words_or_counts_in_memory(spark, levels, monkeypatch, opti
 
 
 def test_a_share_is_fitted_as_a_number_of_documents(spark):
-    docs = spark.createDataFrame([(["every", f"w{i % 4}"],) for i in range(10)], "words array<string>")
+    docs = spark.createDataFrame([(["every", f"w{i % 4}"],) for i in range(10)],
+                                 "words array<string>")
     model = P.build_topics(docs, replace(CONFIG, min_df=0.3))
     assert sorted(model.stages[1].vocabulary) == ["every", "w0", "w1"]
     assert model.stages[1].getMinDF() == pytest.approx(3)
 
 
 def test_vectors_are_dealt_by_their_entries(spark):
-    docs = spark.createDataFrame([([f"w{i % 20}", f"w{(i + 1) % 20}"],) for i in range(60)],
-                                 "words array<string>").coalesce(1)
-    counts = P.PipelineModel(P.build_topics(docs, CONFIG).stages[:-1]).transform(docs)
-    vectors = counts.select("features")
-    parts = [len(p) for p in P._dealt(vectors, 30).rdd.glom().collect()]
-    assert sum(parts) == 60 and len(parts) == 4 and max(parts) <= 16
-    assert P._dealt(vectors, 120).rdd.getNumPartitions() == vectors.rdd.getNumPartitions() == 1
-    assert P._dealt(vectors.limit(0), 30).rdd.getNumPartitions() <= 1
+    kind = T.StructType([T.StructField("features", VectorUDT())])
+    rows = spark.createDataFrame(
+        [(SparseVector(90, {i: 1.0, 89: 2.0}),) for i in range(60)], kind).repartition(5)
+    for vectors in (rows.coalesce(1), rows):
+        vectors = landed(vectors, "vectors").coalesce(2)
+        dealt = P._dealt(vectors, 30).rdd.glom()
+        parts = [[int(row.features.indices[0]) for row in part] for part in dealt.collect()]
+        place = [int(row.features.indices[0]) for row in vectors.collect()]
+        assert sorted(sum(parts, [])) == list(range(60))
+        assert len(parts) == 4 and max(map(len, parts)) < 30
+        assert all(part == sorted(part, key=place.index) for part in parts)
+        kept = P._dealt(vectors, 120)
+        assert kept.rdd.getNumPartitions() == vectors.rdd.getNumPartitions()
+    assert P._dealt(vectors.limit(0), 30).count() == 0
 
 
 def test_rows_kept_on_disk_leave_the_session_as_it_was(spark):
